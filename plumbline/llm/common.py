@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the space and the characters 9 to 13.
@@ -58,26 +60,25 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str, group: list[str] = ()) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], value: str, out: str, group: list[str] = (), few_groups: bool = False) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows before this one in the order of group and order columns.
 
-    Range partitions are kept first, so that each is summed once and no group has to fit one task.
-    What meets in a single task is one row for each partition (and group within it).
+    The rows are range-partitioned by both and kept, so that a large group lies in many partitions and each
+    is summed once. What is added up over partitions is one row for each partition and each group in it;
+    few_groups says that the groups have a fixed bound, so that those rows may be broadcast.
     """
-    pid = "__pid"
     group = list(group)
-    dealt = df.repartitionByRange(partitions_for(df), *group, *order).withColumn(pid, F.spark_partition_id())
-    dealt = checkpointed(dealt)
-    sums = dealt.groupBy(pid, *group).agg(F.sum(value).alias("__sum"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(*group).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(pid, *group, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy(pid, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = checkpointed(df.repartitionByRange(partitions_for(df), *group, *order).withColumn("__pid", F.spark_partition_id()))
+    sums = dealt.groupBy("__pid", *group).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*[F.col(c).alias(f"__b_{c}") for c in ["__pid", *group]], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = [own[c].eqNullSafe(base[c]) for c in [pid, *group]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    joined = own.join(F.broadcast(base), cond)
-    return joined.select(*[own[c] for c in df.columns], (F.col("__own") + F.col("__base")).alias(out))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in ["__pid", *group]])
+    return own.join(F.broadcast(base) if few_groups else base, same).select(*df.columns, (F.col("__own") + F.col("__base")).alias(out))
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, kept, for the small side of a join: to be broadcast if it has at most so many rows, else shuffled."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

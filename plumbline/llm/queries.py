@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repetition, simhash
-from .common import table
+from . import mixing, packing, pfor, repetition, simhash
+from .common import checkpointed, table
+
+
+def vocabulary(spark: SparkSession) -> str:
+    """The path of the tokenizer file: spark.plumbline.tokenizer, or the installed public vocabulary."""
+    import public_tokenizers
+
+    return spark.conf.get("spark.plumbline.tokenizer", None) or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +23,30 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary(spark))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.read_ids(spark, pfor.write_ids(table(spark, sf_dir, "documents"), vocabulary(spark)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "covered_words", "spans")
 
 
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = checkpointed(docs.select("doc_id", "source", mixing.key_of().alias("key"), mixing.size_of().alias("size")))
+    by = mixing.plan(docs, kept=rows)
+    found = mixing.mixed(rows, by, key="key")
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_best_fit_packing, op6_token_id_files, op8_quality_rules, op9_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
