@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pfor, repetition, simhash
+from . import mixing, packing, pfor, repetition, secrets, simhash
 from .common import checkpointed, table
 
 
@@ -23,6 +23,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(i).alias(f"n_{name}") for i, name in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *counts, F.sha2(secrets.rendered("__base"), 256).alias("base_sha256"), secrets.rendered("__spans").alias("spans"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary(spark))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -46,7 +53,7 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_best_fit_packing, op6_token_id_files, op8_quality_rules, op9_mixing_sources)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op5_best_fit_packing, op6_token_id_files, op8_quality_rules, op9_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
