@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pfor, repetition, secrets, simhash
+from . import chat, licenses, mixing, neighbours, packing, pfor, repetition, secrets, simhash
 from .common import checkpointed, table
 
 
@@ -30,6 +30,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.rendered("__base"), 256).alias("base_sha256"), secrets.rendered("__spans").alias("spans"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary(spark))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -39,6 +43,11 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_ids(spark, pfor.write_ids(table(spark, sf_dir, "documents"), vocabulary(spark)))
 
 
+def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = chat.steps(table(spark, sf_dir, "conversations"))
+    return chat.preferences(chosen, chat.alternatives(chosen))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "covered_words", "spans")
@@ -52,9 +61,29 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = neighbours.scored(docs, neighbours.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= neighbours.THRESHOLD, 1).otherwise(0)
+    return found.select("doc_id", neighbours.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+OPERATORS = (
+    op1_simhash_near_dedup,
+    op3_secret_scan,
+    op4_license_scan,
+    op5_best_fit_packing,
+    op6_token_id_files,
+    op7_chat_preferences,
+    op8_quality_rules,
+    op9_mixing_sources,
+    op10_quality_classifier,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op5_best_fit_packing, op6_token_id_files, op8_quality_rules, op9_mixing_sources)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": licenses.scan_sql(), "op7_chat_preferences": chat.preferences_sql()}
