@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, neighbours, packing, pfor, repetition, secrets, simhash
+from . import chat, licenses, media, mixing, neighbours, packing, pfor, repetition, secrets, simhash
 from .common import checkpointed, table
 
 
@@ -23,6 +23,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.store(table(spark, sf_dir, "documents")))
+    clip = lambda c: F.format_string("%.2f-%.2f:%d:%.4f", c["start"], c["end"], c["frames"], c["level"])
+    feature = F.array_join(F.transform("clips", clip), ",").alias("feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long")
@@ -70,6 +77,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_simhash_near_dedup,
+    op2_media_clips,
     op3_secret_scan,
     op4_license_scan,
     op5_best_fit_packing,
