@@ -80,3 +80,11 @@ def mixed(docs: DataFrame, by: DataFrame, seed: int = SEED, columns: bool = True
     copies = (F.col("__epochs") + F.when((F.col("__key") <= F.col("__last_key")) | (F.col("__key") == F.col("__extra_key")), 1).otherwise(0)).cast("long")
     extra = [F.col("__source_size").alias("source_size"), F.col("__target").alias("target")] if columns else []
     return joined.select(*docs.columns, *extra, copies.alias("copies"))
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """docs as mixed: each row as often as it is taken, columns unchanged."""
+    rows = checkpointed(docs.select("source", key_of(seed=seed).alias("key"), size_of().alias("size")))
+    inside = docs.select(F.struct(*docs.columns).alias("__row"), "source", "doc_id", "text")
+    taken = mixed(inside, plan(docs, weights, cap, seed, rows), seed, columns=False).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")

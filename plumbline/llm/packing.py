@@ -30,11 +30,11 @@ LENGTH = 2048
 
 def _pieces(path: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end).ids
+        encode = encoder(path, end).ids_of
         for b in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                ids = memoryview(encode(text))
+            for i, encoded in enumerate(encode(b.column(1).to_pylist())):
+                ids = memoryview(encoded)
                 n = len(ids) // 4
                 at, number, cut = 0, 0, n % length or length
                 while at < n:

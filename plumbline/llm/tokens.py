@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
 from tokenizers import Tokenizer
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -20,6 +21,7 @@ DOUBLE = ("  ", "\n\n", " \n", "\n ")
 #: Of a word without its space: runs of letters, and runs of other signs.
 PART = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
 WORDS, PARTS = 500_000, 700_000
+GROUP = 1 << 20
 
 
 class Encoder:
@@ -29,6 +31,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end is None else end.to_bytes(4, "little")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a byte-level vocabulary writes each byte as one character
         self.words: dict[str, bytes] = {}  # of words that a space precedes
         self.parts: dict[str, bytes] = {}
 
@@ -36,6 +42,14 @@ class Encoder:
         batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in batch]
 
+    def _encode_led(self, parts: list[str]) -> list[bytes]:
+        """ids of parts that begin with a space, encoded as one text and told apart by the tokens' bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _learn(self, words: dict[str, list[str]]) -> dict[str, bytes]:
         """ids of words, given with their parts."""
         new = [p for p in {p for parts in words.values() for p in parts} if p not in self.parts]
@@ -43,25 +57,65 @@ class Encoder:
             if len(self.parts) + len(new) > PARTS:
                 self.parts.clear()
                 new = list({p for parts in words.values() for p in parts})
-            self.parts.update(zip(new, self._encode(new)))
-        return {w: b"".join([self.parts[p] for p in parts]) for w, parts in words.items()}
+            led = [p for p in new if p[0] == " " and p[1:2] in _LETTER]
+            if led:
+                self.parts.update(zip(led, self._encode_led(led)))
+            rest = [p for p in new if p not in self.parts]
+            if rest:
+                self.parts.update(zip(rest, self._encode(rest)))
+        known = self.parts
+        return {w: known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for w, parts in words.items()}
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return self.end
-        if not SAFE.fullmatch(text) or any(d in text for d in DOUBLE) or text[-1] == " " or any(s in text for s in self.special):
-            return self._encode([text])[0] + self.end
-        first, *rest = text.split(" ")
-        head = self._learn({first: PART.findall(first)})[first] if first else b""
-        words = self.words
-        found = [words.get(w) for w in rest]
-        if None in found:
-            new = self._learn({w: PART.findall(" " + w) if w[0] not in _LETTER else [" " + (p := PART.findall(w))[0], *p[1:]] for w, ids in zip(rest, found) if ids is None})
-            if len(words) + len(new) > WORDS:
-                words.clear()
-            words.update(new)
-            found = [new[w] if ids is None else ids for w, ids in zip(rest, found)]
-        return head + b"".join(found) + self.end
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """ids of each text; what is new in up to `GROUP` characters of texts is encoded together."""
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        out = [self.end] * len(texts)
+        whole: list[int] = []
+        cut: list[tuple[int, str, list[str], list[bytes | None]]] = []
+        known = self.words.get
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not SAFE.fullmatch(text) or any(d in text for d in DOUBLE) or text[-1] == " " or any(s in text for s in self.special):
+                whole.append(i)
+            else:
+                first, *rest = text.split(" ")
+                cut.append((i, first, rest, [known(w) for w in rest]))
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+            out[i] = ids + self.end
+        missing = {w for _, _, rest, found in cut if None in found for w, ids in zip(rest, found) if ids is None}
+        heads = self._learn({first: PART.findall(first) for _, first, _, _ in cut})
+        new = self._learn({w: (" " + w,) if w.isalpha() else self._parts(w) for w in missing})
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
+        self.words.update(new)
+        for i, first, rest, found in cut:
+            if None in found:
+                found = [new[w] if ids is None else ids for w, ids in zip(rest, found)]
+            out[i] = heads[first] + b"".join(found) + self.end
+        return out
+
+    @staticmethod
+    def _parts(word: str) -> list[str]:
+        if word[0] not in _LETTER:
+            return PART.findall(" " + word)
+        parts = PART.findall(word)
+        parts[0] = " " + parts[0]
+        return parts
 
 
 _LETTER = frozenset(chr(c) for c in range(256) if re.fullmatch(f"[{LETTERS}]", chr(c)))
