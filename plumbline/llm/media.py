@@ -295,13 +295,16 @@ def read_avi(media: bytes) -> tuple[bytes, list[tuple[float, float, int, float]]
     """The stored bytes, and clips: start and end in seconds, frames, mean level."""
     avi = Avi(media)
     planes = [decode_frame(media[at : at + size])[0] for at, size in avi.frames]
+    if (left := avi.payload_bytes()) is not None:  # what fills the last frame up is no picture
+        for i, p in enumerate(planes):
+            planes[i], left = p[:left], max(0, left - len(p))
     histograms = np.array([np.bincount(p >> 4, minlength=LEVELS) / max(1, len(p)) for p in planes]).reshape(len(planes), LEVELS)
     starts = shots(histograms)
     clips = []
     for a, b in zip(starts, [*starts[1:], len(planes)]):
         level = sum(int(p.sum()) for p in planes[a:b]) / max(1, sum(len(p) for p in planes[a:b]))
         clips.append((a / avi.rate, b / avi.rate, b - a, round(level, 4)))
-    return b"".join(p.tobytes() for p in planes)[: avi.payload_bytes()], clips
+    return b"".join(p.tobytes() for p in planes), clips
 
 
 def padded(text: str) -> bytes:
