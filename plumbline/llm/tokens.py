@@ -4,7 +4,7 @@ Such a BPE first cuts a text into pre-tokens (a run of letters, digits or other
 before it; white space; English contractions) and merges within them only. So a text may be cut wherever a
 pre-token surely begins, and words recur: bounded caches hold the ids of what was encoded. The cuts here are
 sure in texts of the letters and signs in `SAFE` without apostrophes or neighbouring white space; any other
-text is encoded whole.
+text is encoded whole. New words are encoded together, over many texts: a call costs more than a word.
 """
 
 from __future__ import annotations
