@@ -15,9 +15,9 @@ def point_lookup(t):
     return S.lookup(t.orders, o_orderkey=7)
 
 
-@query("SELECT * FROM lineitem WHERE l_orderkey = 7 AND l_linenumber = 1 AND l_linestatus = 'O'")
+@query("SELECT * FROM lineitem WHERE l_orderkey = 7 AND l_linenumber = 4 AND l_linestatus = 'O'")
 def composite_lookup(t):
-    return S.lookup(t.lineitem, l_orderkey=7, l_linenumber=1, l_linestatus="O")
+    return S.lookup(t.lineitem, l_orderkey=7, l_linenumber=4, l_linestatus="O")
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_custkey = 10")
@@ -150,9 +150,9 @@ def predicate_mix(t):
     )
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_type LIKE '%BRASS' OR p_name LIKE '%\\_x' ESCAPE '\\' ORDER BY p_partkey LIMIT 200")
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_type LIKE '%NOMY' OR p_name LIKE '%gear' ORDER BY p_partkey LIMIT 200")
 def suffix_filter(t):
-    return S.top(t.part.where(F.col("p_type").endswith("BRASS") | F.col("p_name").endswith("_x")).select("p_partkey", "p_name", "p_type"), 200, "p_partkey")
+    return S.top(t.part.where(F.col("p_type").endswith("NOMY") | F.col("p_name").endswith("gear")).select("p_partkey", "p_name", "p_type"), 200, "p_partkey")
 
 
 @query("""SELECT o_orderkey, coalesce(m.attempt, 0)::INT AS attempt FROM orders
