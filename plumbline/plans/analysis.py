@@ -8,6 +8,7 @@ from ..operators import store as S
 from ..operators import traces as R
 from ..operators import windows as W
 from .registry import query
+from .store import cost
 
 # Labels as evaluation runs: quality is what was expected, toxic the outcome; no source starts with src1: harness errors.
 RUNS_SQL = """runs AS (SELECT doc_id AS case_id, source AS project, lang, n_chars, CASE WHEN quality = 1 THEN 'SUCCEEDED' ELSE 'FAILED' END AS expect,
@@ -130,10 +131,8 @@ def all_match(t):
     SELECT o_orderkey, coalesce(llm_calls, 0) AS llm_calls, coalesce(tokens, 0) AS tokens, coalesce(cost, 0) AS cost, coalesce(rounds, 0) AS rounds,
     greatest(0, datediff('second', o_orderdate, last)) AS duration_s FROM orders LEFT JOIN calls ON l_orderkey = o_orderkey""")
 def metrics_row(t):
-    from .store import COST
-
     calls = t.lineitem.groupBy("l_orderkey").agg(
-        F.count("*").alias("llm_calls"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.sum(COST).cast("double").alias("cost"),
+        F.count("*").alias("llm_calls"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.sum(cost()).cast("double").alias("cost"),
         F.count_distinct(F.when(F.col("l_returnflag") != "N", F.col("l_linenumber"))).alias("rounds"), F.max("l_shipdate").alias("last"),
     )
     joined = t.orders.join(calls, F.col("l_orderkey") == F.col("o_orderkey"), "left")

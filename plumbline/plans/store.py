@@ -6,7 +6,11 @@ from ..functions import text as T
 from ..operators import store as S
 from .registry import query
 
-COST = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
+
+def cost():
+    return (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
+
+
 COST_SQL = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
 
 
@@ -79,14 +83,14 @@ def count_distinct_rounds(t):
     FROM lineitem WHERE l_orderkey = 7""")
 def cost_summary_global(t):
     rows = t.lineitem.where("l_orderkey = 7")
-    return rows.agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(COST), F.lit(0)).cast("double").alias("cost"))
+    return rows.agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(cost()), F.lit(0)).cast("double").alias("cost"))
 
 
 @query(f"""SELECT l_orderkey AS task_id, count(*) AS calls, sum(l_quantity::BIGINT)::BIGINT AS tokens, sum({COST_SQL})::DOUBLE AS cost
     FROM lineitem GROUP BY l_orderkey""")
 def cost_summary_by_task(t):
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("task_id"))
-    return rows.agg(F.count("*").alias("calls"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.sum(COST).cast("double").alias("cost"))
+    return rows.agg(F.count("*").alias("calls"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.sum(cost()).cast("double").alias("cost"))
 
 
 @query("""SELECT source, count(d.doc_id) AS n_docs, count(l.doc_id) AS n_labelled, count(CASE WHEN l.quality = 1 THEN 1 END) AS n_good
@@ -176,7 +180,7 @@ def suffix_key_join(t):
     spans AS (SELECT user_id AS trace, count(*) AS spans FROM events GROUP BY user_id)
     SELECT trace, spans, calls, cost FROM spans JOIN calls USING (trace)""")
 def trace_call_join(t):
-    calls = t.lineitem.groupBy(F.col("l_orderkey").alias("trace")).agg(F.count("*").alias("calls"), F.sum(COST).cast("double").alias("cost"))
+    calls = t.lineitem.groupBy(F.col("l_orderkey").alias("trace")).agg(F.count("*").alias("calls"), F.sum(cost()).cast("double").alias("cost"))
     return t.events.groupBy(F.col("user_id").alias("trace")).agg(F.count("*").alias("spans")).join(calls, "trace").select("trace", "spans", "calls", "cost")
 
 
