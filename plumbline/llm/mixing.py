@@ -65,7 +65,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP
     before = running_total(keyed, ["key"], "size", "before", ["source"])
     placed = before.join(goal, F.col("source").eqNullSafe(F.col("__s"))).select("__s", "key", "size", "rest", (F.col("before") + F.col("size")).alias("after"))
     placed = checkpointed(placed)
-    inside = placed.where("after <= rest").groupBy(F.col("__s").alias("__c")).agg(F.max("key").alias("last_key"), F.max("after").alias("filled"))
+    inside = placed.where("rest > 0 and after <= rest").groupBy(F.col("__s").alias("__c")).agg(F.max("key").alias("last_key"), F.max("after").alias("filled"))
     inside = small(goal.join(inside, F.col("__s").eqNullSafe(F.col("__c")), "left").select(F.col("__s").alias("__c"), "last_key", (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("room")))
     outside = placed.join(inside, F.col("__s").eqNullSafe(F.col("__c"))).where("last_key is null or key > last_key").where("abs(size - room) < room")
     last = outside.groupBy(F.col("__s").alias("__d")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("room")).alias("off"), "key")).alias("x")).select("__d", F.col("x.key").alias("extra_key"))
