@@ -20,8 +20,8 @@ SAFE = re.compile(f"[{LETTERS}\x20-\x26\x28-\x7e\n]*")
 DOUBLE = ("  ", "\n\n", " \n", "\n ")
 #: Of a word without its space: runs of letters, and runs of other signs.
 PART = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
-WORDS, PARTS = 500_000, 700_000
-GROUP = 1 << 20
+WORDS, PARTS = 200_000, 250_000
+GROUP = 1 << 18
 
 
 class Encoder:
