@@ -9,7 +9,6 @@ text is encoded whole. New words are encoded together, over many texts: a call c
 
 from __future__ import annotations
 
-import os
 import re
 from array import array
 
@@ -22,14 +21,13 @@ DOUBLE = ("  ", "\n\n", " \n", "\n ")
 #: Of a word without its space: runs of letters, and runs of other signs.
 PART = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
 WORDS, PARTS = 200_000, 250_000
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes, with the end id appended; no special tokens are added."""
 
     def __init__(self, path: str, end: int | None = 0) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end is None else end.to_bytes(4, "little")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
