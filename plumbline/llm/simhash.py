@@ -14,7 +14,7 @@ so a group. Null ids are never the smallest id, unless a group has no other (the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, groupby
 from operator import itemgetter
 
@@ -202,12 +202,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return signed.join(by_fp, signed.fp == by_fp.fp_).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest id.
 
-    Of several rows with that id the first by text stays. Rows with a null id stay: no id stands for them.
+    groups gives each row's doc_id and component_id. Of several rows with that id the first by text stays. Rows with a null id stay: no id stands for them.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    found = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     kept = docs.join(found, docs.doc_id == found.keep_id, "left_semi")
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     several = kept.join(twice, "doc_id", "left_semi")
