@@ -5,7 +5,8 @@ common prefix of neighbouring suffixes is read off those ranks. A position's lon
 its two neighbouring prefixes, so the LCP intervals of at least `MIN_REPEAT` words cover, taken together,
 the union of the spans of all maximal repeated substrings of that length. Two limits decide: the share of
 words so covered, and the longest repeat, which is held against the limit only where it is long in itself
-and for its document, so that a refrain in a long text does not reject it.
+and for its document, so that a refrain in a long text does not reject it. Both lie below what the base rule
+already rejects (20 percent of words in repeats of five), so that the method decides on its own.
 
 Null texts have no words. A text without words has zero counts and fails the base rule. Repeated rows each
 get their result. The document is the unit of work: its words and some 8 bytes a word and level are held.
@@ -26,9 +27,9 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_REPEAT = 10
-MAX_COVERED = 0.20
+MAX_COVERED = 0.10
 LONG_REPEAT = 30
-LONG_SHARE = 0.10
+LONG_SHARE = 0.05
 SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, covered_words long, base_failed boolean, kept boolean, spans string"

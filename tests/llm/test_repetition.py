@@ -44,6 +44,21 @@ def test_counts_and_verdicts():
     assert not repetition.measure("only three words")[8] and not repetition.measure("a b " * 50)[8]
 
 
+def test_method_rejects_what_the_base_keeps():
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    long, rest = words("r", 150), words("w", 850)
+    found = repetition.measure(f"{long} {rest} {long} {words('v', 850)}")
+    assert found[0] == 2000 and not found[7] and not found[8]
+    passages = [words(f"p{k}x", 25) for k in range(3)]
+    found = repetition.measure(" ".join([*passages, words("w", 850), *passages[::-1]]))
+    assert found[5] == 25 and found[6] == 150 and not found[7] and not found[8]
+    refrain = words("r", 12)
+    found = repetition.measure(" ".join(x for k in range(4) for x in (refrain, words(f"v{k}x", 150))))
+    assert not found[7] and found[8]
+    found = repetition.measure(f"{words('r', 40)} {words('w', 1500)} {words('r', 40)}")
+    assert not found[7] and found[8]
+
+
 def test_documents(spark, documents, odd):
     df = documents(odd)
     found = repetition.quality(df.select("doc_id", "text"))
