@@ -29,7 +29,8 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: An equals sign is padding only where no token follows it: NAME=value and ?name=value give value as a token.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}+(?![A-Za-z0-9+/_-]))?"
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

@@ -87,6 +87,22 @@ def test_spans_equal_brute_force(spark):
     assert sum("random" in r["s"] for r in found) > 20
 
 
+def test_values_after_an_equals_sign(spark):
+    r = random.Random(9)
+    pick = lambda: "".join(r.choice(secrets.ENCODINGS["base64"][1]) for _ in range(40)) + "7a"
+    value = [pick() for _ in range(5)]
+    before = ["AWS_SECRET_ACCESS_KEY_OF_2024=", "run AccountKey=", "private_key=", "https://host/blob?sv=2020&sig=", "plain "]
+    texts = [f"{b}{v}{end}" for b, v, end in zip(before, value, ["", "==", "", "&se=2030", "="])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["s"] for x in secrets.scan(df).select("doc_id", secrets.rendered("__spans").alias("s")).collect()}
+    pad = [0, 2, 0, 0, 1]
+    for i, text in enumerate(texts):
+        at = text.index(value[i])
+        assert f"random:{at}:{at + len(value[i]) + pad[i]}" in got[i].split(","), (text, got[i])
+    out = {x["doc_id"]: x["text"] for x in secrets.masked(df).collect()}
+    assert not any(v in out[i] for i, v in enumerate(value))
+
+
 def test_masking(spark, documents, odd):
     text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
     df = documents([*odd, (20, text, "a")], extra=True)
