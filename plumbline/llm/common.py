@@ -13,9 +13,19 @@ from ..functions.scratch import checkpointed, shared_dir
 
 #: Words are runs of anything but the space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch between the JVM and Python: either side holds some copies of one for each core.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Gives the session's Arrow batches at most BATCH_BYTES, unless it has a bound set already; a single longer text is a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,8 +16,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -30,22 +31,23 @@ LENGTH = 2048
 
 def _pieces(path: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end).ids_of
+        encode = encoder(path, end)
         for b in batches:
-            row, piece, start, size, crc = [], [], [], [], []
-            for i, encoded in enumerate(encode(b.column(1).to_pylist())):
-                ids = memoryview(encoded)
-                n = len(ids) // 4
-                at, number, cut = 0, 0, n % length or length
-                while at < n:
-                    row.append(i)
-                    piece.append(number)
-                    start.append(at)
-                    size.append(cut - at)
-                    crc.append(zlib.crc32(ids[4 * at : 4 * cut]))
-                    at, number, cut = cut, number + 1, cut + length
-            ids_of = b.column(0).take(pa.array(row, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece, type=pa.int32()), *(pa.array(x, type=pa.int64()) for x in (start, size, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            at = 0
+            for encoded in encode.slices(b.column(1)):
+                n = pc.binary_length(encoded).to_numpy() // 4
+                k = -(-n // length)
+                row = np.repeat(np.arange(len(n)), k)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+                head = (n - (k - 1) * length)[row]
+                start = np.where(piece, head + (piece - 1) * length, 0)
+                size = np.where(piece, length, head)
+                first = start + (np.cumsum(n) - n)[row]
+                raw = memoryview(encoded.buffers()[2])
+                crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(first.tolist(), (first + size).tolist())]
+                columns = [b.column(0).slice(at, len(n)).take(pa.array(row)), pa.array(piece, type=pa.int32()), pa.array(start), pa.array(size), pa.array(crc, type=pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                at += len(n)
 
     return run
 
@@ -89,7 +91,7 @@ def pack(cut: DataFrame, length: int = LENGTH, order: tuple[str, ...] = ("doc_id
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `length` rows
     schema = StructType([StructField(c, LongType()) for c in ("size", "first", "n", "sequence", "offset")])
     spark = cut.sparkSession
-    plan = spark.createDataFrame(pd.DataFrame(runs(counts, length), columns=schema.names).astype("int64"), schema)
+    plan = spark.createDataFrame(runs(counts, length), schema)
     fits = (F.col("length") == F.col("size")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("first") + F.col("n"))
     placed = ranked.join(F.broadcast(plan), fits)
     return placed.select(*cut.columns, (F.col("sequence") + F.col("__rank") - F.col("first")).alias("sequence_id"), "offset")

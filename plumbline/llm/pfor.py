@@ -113,7 +113,7 @@ class TokenFile:
 
 def _write(path: str, end: int, doc_ids: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path, end).ids_of, TaskContext.get().partitionId()
+        encode, part = encoder(path, end), TaskContext.get().partitionId()
         ids: list[bytes] = []
         docs: list = []
         before = held = number = 0
@@ -127,12 +127,14 @@ def _write(path: str, end: int, doc_ids: pa.DataType):
             return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, kinds)], names=["part", "number", "before", "n_ids", "doc_ids", "data"])
 
         for b in batches:
-            for doc, encoded in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                ids.append(encoded)
-                docs.append(doc)
-                held += len(ids[-1]) // 4
-                if held >= FILE_TOKENS:
-                    yield file()
+            keys = iter(b.column(0).to_pylist())
+            for encoded in encode.slices(b.column(1)):
+                for own in encoded:
+                    ids.append(own.as_py())
+                    docs.append(next(keys))
+                    held += len(ids[-1]) // 4
+                    if held >= FILE_TOKENS:
+                        yield file()
         if docs:
             yield file()
 

@@ -1,7 +1,7 @@
 """Quality rules on repetition inside a document, by a suffix array over its words.
 
-The suffix array is built by prefix doubling, which leaves one rank array per power of two; the longest
-common prefix of neighbouring suffixes is read off those ranks. A position's longest repeat is the larger of
+The suffix array is built by prefix doubling, and the longest common prefixes of neighbouring suffixes follow
+from it in the order of the text. A position's longest repeat is the larger of
 its two neighbouring prefixes, so the LCP intervals of at least `MIN_REPEAT` words cover, taken together,
 the union of the spans of all maximal repeated substrings of that length. Two limits decide: the share of
 words so covered, and the longest repeat, which is held against the limit only where it is long in itself
@@ -9,7 +9,8 @@ and for its document, so that a refrain in a long text does not reject it. Both
 already rejects (20 percent of words in repeats of five), so that the method decides on its own.
 
 Null texts have no words. A text without words has zero counts and fails the base rule. Repeated rows each
-get their result. The document is the unit of work: its words and some 8 bytes a word and level are held.
+get their result. Columns of the input that bear names of the measures are left out of quality()'s result.
+The document is the unit of work: its words and some 60 bytes a word are held, however long its repeats.
 """
 
 from __future__ import annotations
@@ -31,70 +32,93 @@ MAX_COVERED = 0.10
 LONG_REPEAT = 30
 LONG_SHARE = 0.05
 SYMBOLS = b"#*$%&|<>"
+#: Words of two suffixes that are compared for all pairs together; longer common prefixes pair by pair.
+STEPS = 32
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, covered_words long, base_failed boolean, kept boolean, spans string"
 
 
-def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order of the suffixes, and for each l the ranks of the substrings of 2**l words.
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """The order of the suffixes, by prefix doubling.
 
     A rank is the place of its group in the order, so groups of one stay as they are and only tied
     suffixes are sorted again.
     """
     n = len(ids)
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
+    order = np.argsort(ids, kind="stable").astype(np.int32)
+    rank = np.empty(n, dtype=np.int32)
     sorted_ids = ids[order]
     starts = np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1]))
-    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    levels, width = [rank], 1
+    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n, dtype=np.int32), 0))
+    width = 1
     tied = order[~(starts & np.concatenate((starts[1:], [True])))]
     while len(tied):
-        follow = tied + width
-        second = np.full(len(tied), -1, dtype=np.int64)
-        inside = follow < n
-        second[inside] = rank[follow[inside]]
+        second = np.full(len(tied), -1, dtype=np.int32)
+        inside = tied < n - width
+        second[inside] = rank[tied[inside] + width]
         first = rank[tied]
         by = np.lexsort((second, first))
         first, second, tied = first[by], second[by], tied[by]
-        place = np.arange(len(tied))
+        place = np.arange(len(tied), dtype=np.int32)
         new_first = np.concatenate(([True], first[1:] != first[:-1]))
         new_pair = new_first | np.concatenate(([True], second[1:] != second[:-1]))
         group_at = np.maximum.accumulate(np.where(new_first, place, 0))
         pair_at = np.maximum.accumulate(np.where(new_pair, place, 0))
-        rank = rank.copy()
         rank[tied] = first + pair_at - group_at
-        levels.append(rank)
         width *= 2
         tied = tied[~(new_pair & np.concatenate((new_pair[1:], [True])))]
-    order = np.empty(n, dtype=np.int64)
-    order[rank] = np.arange(n)
-    return order, levels
+    order[rank] = np.arange(n, dtype=np.int32)
+    return order
+
+
+def _common(ids: np.ndarray, a: int, b: int, known: int) -> int:
+    """How many words the suffixes at a and b share, of which `known` are known; compared in growing blocks."""
+    at, block = known, 64
+    while True:
+        m = min(block, len(ids) - max(a, b) - at)
+        differ = np.flatnonzero(ids[a + at : a + at + m] != ids[b + at : b + at + m])
+        if len(differ):
+            return at + int(differ[0])
+        at += m
+        if m < block:
+            return at
+        block *= 2
+
+
+def prefixes(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each position the longest common prefix of its suffix and the one before it in the order.
+
+    Where the words before both suffixes are equal, it is one less than that of the position before, so only
+    the others (whose prefixes sum up to at most 2 n log n words) are compared.
+    """
+    n = len(ids)
+    before = np.full(n, -1, dtype=np.int32)
+    before[order[1:]] = order[:-1]
+    own = np.arange(n, dtype=np.int32)
+    follows = (own > 0) & (before > 0)
+    follows[follows] = ids[own[follows] - 1] == ids[before[follows] - 1]
+    out = np.zeros(n, dtype=np.int32)
+    open_ = own[~follows & (before >= 0)]
+    for step in range(STEPS):
+        there = np.maximum(open_, before[open_]) < n - step
+        open_ = open_[there]
+        open_ = open_[ids[open_ + step] == ids[before[open_] + step]]
+        out[open_] = step + 1
+    for i in open_.tolist():
+        out[i] = _common(ids, i, int(before[i]), STEPS)
+    last = np.maximum.accumulate(np.where(follows, 0, own))
+    return np.where(follows, out[last] - (own - last), out)
 
 
 def longest_repeats(ids: np.ndarray, at_least: int) -> np.ndarray:
     """For each position the length of the longest substring there that occurs again, or 0 below at_least."""
-    best = np.zeros(len(ids), dtype=np.int64)
     if len(ids) < 2:
-        return best
-    order, levels = suffix_array(ids)
-    low = max(0, min(len(levels) - 1, at_least.bit_length() - 1))
-    near = levels[low][order]
-    pairs = np.flatnonzero(near[1:] == near[:-1]) if (1 << low) <= at_least else np.arange(len(ids) - 1)
-    a, b = order[pairs].copy(), order[pairs + 1].copy()
-    first, second, n = a.copy(), b.copy(), len(ids)
-    common = np.zeros(len(pairs), dtype=np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        ranks, step = levels[level], 1 << level
-        fits = (a + step <= n) & (b + step <= n)
-        same = fits.copy()
-        same[fits] = ranks[a[fits]] == ranks[b[fits]]
-        a[same] += step
-        b[same] += step
-        common[same] += step
-    long = common >= at_least
-    np.maximum.at(best, first[long], common[long])
-    np.maximum.at(best, second[long], common[long])
+        return np.zeros(len(ids), dtype=np.int32)
+    order = suffix_array(ids)
+    common = prefixes(ids, order)
+    best = common.copy()
+    best[order[:-1]] = np.maximum(best[order[:-1]], common[order[1:]])
+    best[best < at_least] = 0
     return best
 
 
@@ -111,7 +135,7 @@ def measure(text: str) -> tuple:
     words = raw.split()
     n = len(words)
     known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=n)
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int32, count=n)
     chars = len(b"".join(words).decode())
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
@@ -131,7 +155,7 @@ def measure(text: str) -> tuple:
 def _measured(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(zip(*(measure(t) for t in b.column(b.num_columns - 1).to_pylist()))) or [[]] * 10
+            found = list(zip(*(measure(t.as_py()) for t in b.column(b.num_columns - 1)))) or [[]] * 10
             kinds = [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x, type=k) for x, k in zip(found, kinds))], names=names)
 
@@ -140,16 +164,20 @@ def _measured(names: list[str]):
 
 def quality(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs' other columns (with the text if asked) and the measures, verdicts and covered word spans."""
-    names = [c for c in docs.columns if keep_text or c != text]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
-    clash = {x.split()[0] for x in SCHEMA.split(", ")} & set(names)
-    if clash:
-        raise ValueError(f"columns of the input bear names of the result: {sorted(clash)}")
     own = [x.split()[0] for x in SCHEMA.split(", ")]
+    names = [c for c in docs.columns if c not in own and (keep_text or c != text)]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
     return docs.select(*names, text_of(text).alias("__text")).mapInArrow(_measured([*names, *own]), ", ".join([*fields, SCHEMA]))
 
 
-def accepted(docs: DataFrame) -> DataFrame:
+def _accepted(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([measure(t.as_py() or "")[-2] for t in b.column(at)], pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
-    inside = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text_in"))
-    return quality(inside, "__text_in").where("kept").select("__row.*")
+    return docs.mapInArrow(_accepted(docs.columns.index(text)), docs.schema)

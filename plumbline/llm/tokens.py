@@ -1,33 +1,58 @@
-"""Token ids by a public byte-level BPE, a word at a time.
+"""Token ids by a public byte-level BPE, over the distinct words of a slice of texts at a time.
 
 Such a BPE first cuts a text into pre-tokens (a run of letters, digits or other signs, with one space
-before it; white space; English contractions) and merges within them only. So a text may be cut wherever a
-pre-token surely begins, and words recur: bounded caches hold the ids of what was encoded. The cuts here are
-sure in texts of the letters and signs in `SAFE` without apostrophes or neighbouring white space; any other
-text is encoded whole. New words are encoded together, over many texts: a call costs more than a word.
+before it; white space; English contractions) and merges within them only. So a text may be cut before any
+single space between two other characters, and a word of the characters of `PLAIN` also between letters and
+other signs. Texts are taken in slices bounded by bytes. A slice is cut into words, the words into parts,
+equal ones are put together at either step (Arrow's dictionaries), and the tokenizer encodes the parts that
+are not among the last `KNOWN` ones. Ids are then gathered back, parts into words and words into texts.
+Nothing is held per word between slices, so a worker's memory is bounded by a slice and the known parts.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
-from tokenizers import Tokenizer
+import pyarrow as pa
+import pyarrow.compute as pc
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
+from tokenizers import Tokenizer  # noqa: E402
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-SAFE = re.compile(f"[{LETTERS}\x20-\x26\x28-\x7e\n]*")
-DOUBLE = ("  ", "\n\n", " \n", "\n ")
-#: Of a word without its space: runs of letters, and runs of other signs.
-PART = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
-WORDS, PARTS = 200_000, 250_000
-GROUP = 1 << 18
+#: A word, with or without the space before it, that may be cut between letters and other signs.
+PLAIN = f"^ ?[!-&(-~{LETTERS}]+(?:\n[!-&(-~{LETTERS}]+)*$"
+#: White space of the Unicode property, as a class without brackets.
+SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Of texts whose words aren't just what lies between spaces.
+IRREGULAR = f"[{SPACE}][{SPACE}]|^[{SPACE}]|[{SPACE}]$"
+WORD_CUT = re.compile(r"(?<=\S) (?=\S)")
+MARK = "\x01"
+KNOWN = 400_000
+SLICE_BYTES = 4 << 20
+SLICE_TEXTS = 4096
+EMPTY = pa.scalar("", pa.large_string())
+
+
+def _joined(words: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """Runs of neighbouring binary values as one each; the run i lies from cuts[i] to before cuts[i + 1]."""
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64, count=len(words) + 1, offset=8 * words.offset)
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts]), words.buffers()[2]])
+
+
+def _binary(raw: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
+    """large_binary values that lie between neighbouring ends of raw."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
 
 
 class Encoder:
-    """ids(text) as little-endian unsigned 32-bit bytes, with the end id appended; no special tokens are added."""
+    """Gives ids as little-endian unsigned 32-bit bytes, with the end id appended; no special tokens are added."""
 
-    def __init__(self, path: str, end: int | None = 0) -> None:
+    def __init__(self, path: str, end: int | None = 0, known: int = KNOWN) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end is None else end.to_bytes(4, "little")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -35,95 +60,124 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a byte-level vocabulary writes each byte as one character
-        self.words: dict[str, bytes] = {}  # of words that a space precedes
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in batch]
-
-    def _encode_led(self, parts: list[str]) -> list[bytes]:
-        """ids of parts that begin with a space, encoded as one text and told apart by the tokens' bytes."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.cumsum([len(p.encode()) for p in parts])
-        cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)).tolist()]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _learn(self, words: dict[str, list[str]]) -> dict[str, bytes]:
-        """ids of words, given with their parts."""
-        new = [p for p in {p for parts in words.values() for p in parts} if p not in self.parts]
-        if new:
-            if len(self.parts) + len(new) > PARTS:
-                self.parts.clear()
-                new = list({p for parts in words.values() for p in parts})
-            led = [p for p in new if p[0] == " " and p[1:2] in _LETTER]
-            if led:
-                self.parts.update(zip(led, self._encode_led(led)))
-            rest = [p for p in new if p not in self.parts]
-            if rest:
-                self.parts.update(zip(rest, self._encode(rest)))
-        known = self.parts
-        return {w: known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for w, parts in words.items()}
-
-    def ids(self, text: str) -> bytes:
-        return self.ids_of([text])[0]
+        self.known = known
+        self.parts = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
+
+    def slices(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """The ids of the texts, in order, as large_binary arrays for up to about `SLICE_BYTES` of text each."""
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else []
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, min(int(np.searchsorted(ends, before + SLICE_BYTES)), at + SLICE_TEXTS))
+            yield self._slice(texts.slice(at, to - at))
+            at = to
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        """ids of each text; what is new in up to `GROUP` characters of texts is encoded together."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= GROUP:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        out = [self.end] * len(texts)
-        whole: list[int] = []
-        cut: list[tuple[int, str, list[str], list[bytes | None]]] = []
-        known = self.words.get
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not SAFE.fullmatch(text) or any(d in text for d in DOUBLE) or text[-1] == " " or any(s in text for s in self.special):
-                whole.append(i)
-            else:
-                first, *rest = text.split(" ")
-                cut.append((i, first, rest, [known(w) for w in rest]))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids + self.end
-        missing = {w for _, _, rest, found in cut if None in found for w, ids in zip(rest, found) if ids is None}
-        heads = self._learn({first: PART.findall(first) for _, first, _, _ in cut})
-        new = self._learn({w: (" " + w,) if w.isalpha() else self._parts(w) for w in missing})
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-        self.words.update(new)
-        for i, first, rest, found in cut:
-            if None in found:
-                found = [new[w] if ids is None else ids for w, ids in zip(rest, found)]
-            out[i] = heads[first] + b"".join(found) + self.end
+        return [x for s in self.slices(pa.array(texts, pa.large_string())) for x in s.to_pylist()]
+
+    def _slice(self, texts: pa.Array) -> pa.Array:
+        flat, starts = self._words(texts)
+        n = len(texts)
+        first = np.zeros(len(flat), dtype=bool)
+        first[starts[:-1]] = True
+        rest = flat.filter(pa.array(~first)).dictionary_encode()
+        heads = flat.take(pa.array(starts[:-1]))
+        del flat
+        led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), rest.dictionary, EMPTY)
+        found = pa.concat_arrays([self._encoded(pa.concat_arrays([led, heads])), pa.array([self.end], pa.large_binary())])
+        # The words of each text, then the end id.
+        order = np.full(len(first) + n, len(found) - 1, dtype=np.int64)
+        place = np.arange(len(first)) + np.repeat(np.arange(n), np.diff(starts))
+        order[place[~first]] = rest.indices.to_numpy()
+        order[place[first]] = len(led) + np.arange(n)
+        return _joined(found.take(pa.array(order)), starts + np.arange(n + 1))
+
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All words, without the space before them, and where each text's begin; every text has one at least."""
+        odd = pc.match_substring_regex(texts, IRREGULAR)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        if not pc.any(odd).as_py():
+            lists = pc.split_pattern(texts, " ")
+        else:
+            special = lambda t: any(s in t for s in self.special)
+            cut = [([t] if special(t) else WORD_CUT.split(t)) if o else t.split(" ") for t, o in zip(texts.to_pylist(), odd.to_pylist())]
+            lists = pa.array(cut, pa.list_(pa.large_string()))
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        return lists.flatten(), starts - starts[0]
+
+    def _encoded(self, words: pa.Array) -> pa.Array:
+        """The ids of each word, which has its space if one is before it."""
+        whole = pc.invert(pc.match_substring_regex(words, PLAIN))
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(words, s))
+        marked = pc.replace_substring_regex(words, f"([{LETTERS}])([^{LETTERS}])", rf"\1{MARK}\2")
+        marked = pc.replace_substring_regex(marked, f"([^{LETTERS}{MARK} ])([{LETTERS}])", rf"\1{MARK}\2")
+        lists = pc.split_pattern(pc.if_else(whole, EMPTY, marked), MARK)
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        parts = lists.flatten().dictionary_encode()
+        out = _joined(self._known(parts.dictionary).take(parts.indices), cuts)
+        if pc.any(whole).as_py():
+            odd = words.filter(whole).dictionary_encode()
+            batch = self.tokenizer.encode_batch_fast(odd.dictionary.to_pylist(), add_special_tokens=False)
+            ids = pa.array([np.array(e.ids, dtype="<u4").tobytes() for e in batch], pa.large_binary())
+            out = pc.replace_with_mask(out, whole, ids.take(odd.indices))
+        return out
+
+    def _known(self, parts: pa.Array) -> pa.Array:
+        """The ids of distinct parts, the new ones encoded and kept."""
+        at = pc.index_in(parts, self.parts)
+        if at.null_count:
+            new = parts.filter(at.is_null())
+            ids = self._new(new)
+            place = np.cumsum(at.is_null().to_numpy(zero_copy_only=False)) - 1 + len(self.parts)
+            at = pc.if_else(at.is_null(), pa.array(place), at.cast(pa.int64()))
+            self.parts, self.ids = pa.concat_arrays([self.parts, new]), pa.concat_arrays([self.ids, ids])
+        out = self.ids.take(at)
+        if len(self.parts) > self.known:  # the oldest go; what recurs is learnt again
+            late = pa.array(np.arange(len(self.parts) - self.known // 2, len(self.parts)))
+            self.parts, self.ids = self.parts.take(late), self.ids.take(late)
         return out
 
-    @staticmethod
-    def _parts(word: str) -> list[str]:
-        if word[0] not in _LETTER:
-            return PART.findall(" " + word)
-        parts = PART.findall(word)
-        parts[0] = " " + parts[0]
-        return parts
+    def _new(self, parts: pa.Array) -> pa.Array:
+        """The ids of parts: many are one text for the tokenizer, and are told apart by the tokens' bytes.
+
+        A part that begins with a space is a pre-token of its own as it is, others are with line feeds between.
+        """
+        led = pc.match_substring_regex(parts, f"^ [{LETTERS}]").to_numpy(zero_copy_only=False)
+        alone = pc.or_(pc.match_substring(parts, "\n"), pc.equal(parts, "")).to_numpy(zero_copy_only=False)
+        kinds = [(np.flatnonzero(led), ""), (np.flatnonzero(~led & ~alone), "\n")]
+        pieces = [self._run(parts.take(pa.array(own)), mark) for own, mark in kinds]
+        own = np.flatnonzero(alone)
+        batch = self.tokenizer.encode_batch_fast(parts.take(pa.array(own)).to_pylist(), add_special_tokens=False)
+        pieces.append(pa.array([np.array(e.ids, dtype="<u4").tobytes() for e in batch], pa.large_binary()))
+        return pa.concat_arrays(pieces).take(pa.array(np.argsort(np.concatenate([kinds[0][0], kinds[1][0], own]))))
+
+    def _run(self, parts: pa.Array, mark: str) -> pa.Array:
+        if not len(parts):
+            return pa.array([], pa.large_binary())
+        text = mark.join(parts.to_pylist())
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        lengths = pc.binary_length(parts).to_numpy()
+        ends = np.cumsum(self.bytes_of[ids])
+        last = np.cumsum(lengths + len(mark)) - len(mark)
+        cuts = np.concatenate(([0], np.searchsorted(ends, last) + 1)).astype(np.int64)
+        if mark:  # the mark before a part is a token
+            keep = np.ones(len(ids), dtype=bool)
+            keep[cuts[1:-1]] = False
+            ids = ids[keep]
+            cuts[1:] -= np.arange(len(parts))
+        return _binary(ids, 4 * cuts)
 
 
-_LETTER = frozenset(chr(c) for c in range(256) if re.fullmatch(f"[{LETTERS}]", chr(c)))
 _encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
 def encoder(path: str, end: int | None = 0) -> Encoder:
-    """One encoder for each worker process; its caches live on between batches."""
+    """One encoder for each worker process; what it knows lives on between batches."""
     if (path, end) not in _encoders:
         _encoders[path, end] = Encoder(path, end)
     return _encoders[path, end]

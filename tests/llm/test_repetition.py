@@ -25,11 +25,57 @@ def test_repeats_equal_brute_force(words):
     assert (got[4], got[5]) == slow(words)
 
 
+def brute(words):
+    """Covered words, their spans and the verdict, from all pairs of positions."""
+    n = len(words)
+    best = [0] * n
+    for i in range(n):
+        for j in range(n):
+            k = 0
+            while i != j and max(i, j) + k < n and words[i + k] == words[j + k]:
+                k += 1
+            best[i] = max(best[i], k)
+    covered = [any(best[j] >= 10 and j <= i < j + best[j] for j in range(n)) for i in range(n)]
+    edges = [i for i in range(n + 1) if (i < n and covered[i]) != (i > 0 and covered[i - 1])]
+    spans = ",".join(f"{a}:{b}" for a, b in zip(edges[::2], edges[1::2]))
+    repeated = slow(words)[0]
+    longest = max(best, default=0)
+    failed = n < 10 or 100 * repeated > 20 * n
+    return sum(covered), spans, failed, not (failed or sum(covered) > n / 10 or longest >= 30 and longest > n / 20)
+
+
+def test_verdicts_equal_brute_force():
+    r = random.Random(6)
+    verdicts = Counter()
+    for _ in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randint(0, 160))]
+        for _ in range(r.randint(0, 2)):
+            if words:
+                at, size = r.randrange(len(words)), r.randint(3, 45)
+                words[(to := r.randrange(len(words))) : to] = words[at : at + size]
+        got = repetition.measure(" ".join(words))
+        want = brute(words)
+        assert (got[6], got[9], got[7], got[8]) == want
+        verdicts[got[7:9]] += 1
+    assert len(verdicts) == 3  # failed by the base, by the method alone, and kept
+
+
+def test_long_text_with_long_repeats():
+    import tracemalloc
+
+    words = " ".join(f"w{i}" for i in range(100_000))
+    tracemalloc.start()
+    got = repetition.measure(f"{words} x {words}")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[5] == 100_000 and got[6] == 200_000 and peak < 60e6
+
+
 def test_suffix_array():
     r = random.Random(4)
     for n in (1, 2, 7, 200):
         ids = np.array([r.randrange(3) for _ in range(n)])
-        order, _ = repetition.suffix_array(ids)
+        order = repetition.suffix_array(ids)
         assert sorted(range(n), key=lambda i: list(ids[i:])) == list(order)
 
 
@@ -63,6 +109,9 @@ def test_documents(spark, documents, odd):
     df = documents(odd)
     found = repetition.quality(df.select("doc_id", "text"))
     assert found.count() == len(odd)
+    named = repetition.quality(documents(odd, extra=True))
+    assert [c for c in named.columns if c in ("kept", "n_words", "spans")] == ["n_words", "kept", "spans"]
+    assert named.where("kept = true").count() == 3
     clash = documents(odd, extra=True)
     kept = repetition.accepted(clash)
     assert kept.columns == clash.columns
