@@ -12,7 +12,10 @@ array, others block by block. Shots are found by histogram differences of neighb
 is where the difference exceeds both a floor and the mean plus `SPREAD` standard deviations of the
 differences in the window around it. Clips have their times, frames and mean level.
 
-A null or broken media value gives no clips. Equal payloads give equal media and clips.
+A null or broken media value gives no clips; a null or empty text is a payload of zero bytes. Equal payloads
+give equal media and clips, and repeated rows each their own. Columns that bear names of the results are
+replaced. A table without rows gives none. A text is the unit of work: a very long one, its samples and its
+frames are held together.
 """
 
 from __future__ import annotations
@@ -37,11 +40,6 @@ LEVELS = 16
 WINDOW = 8
 SPREAD = 2.5
 FLOOR = 0.25
-# The order of coefficients in a block.
-ZIGZAG = (
-    0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
-    35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
-)
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -314,12 +312,19 @@ def padded(text: str) -> bytes:
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, len(b), 256):
-            part = b.slice(at, 256)
-            texts = part.column(1).to_pylist()
-            media = [write_avi(padded(t)) for t in texts]
-            sizes = pa.array([len(t.encode()) for t in texts], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(media, type=pa.binary())], names=["doc_id", "n_bytes", "media"])
+        first, sizes, media = 0, [], []
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sizes)), pa.array(sizes, type=pa.int64()), pa.array(media, type=pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+        for i, text in enumerate(b.column(1)):
+            text = text.as_py()
+            sizes.append(len(text.encode()))
+            media.append(write_avi(padded(text)))
+            if sum(map(len, media)) >= PART_BYTES or len(media) == 256:
+                yield part()
+                first, sizes, media = i + 1, [], []
+        yield part()
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,6 +333,8 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return rows.mapInArrow(_store, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+#: Media values that are given together: a batch of them may not reach 2 GB.
+PART_BYTES = 4 << 20
 CLIPS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<struct<start:double,end:double,frames:long,level:double>>"
 _CLIP = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("frames", pa.int64()), ("level", pa.float64())]))
 
@@ -336,7 +343,8 @@ def _features(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for media in b.column(b.num_columns - 1).to_pylist():
+            for media in b.column(b.num_columns - 1):
+                media = media.as_py()
                 try:
                     payload, clips = read_avi(media)
                 except (ValueError, IndexError, KeyError, TypeError, struct.error):
@@ -352,9 +360,9 @@ def _features(names: list[str]):
 
 
 def features(table: DataFrame, media: str = "media") -> DataFrame:
-    """The other columns of table, and what is read back from its media values."""
-    others = [c for c in table.columns if c != media]
+    """The other columns of table, and what is read back from its media values; that replaces columns of its names."""
     own = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"]
+    others = [c for c in table.columns if c != media and c not in own]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*others).schema]
     return table.select(*others, media).mapInArrow(_features([*others, *own]), ", ".join([*fields, CLIPS]))
 

@@ -74,12 +74,13 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP
 
 
 def mixed(docs: DataFrame, by: DataFrame, seed: int = SEED, columns: bool = True, key: str | None = None) -> DataFrame:
-    """docs with `copies` (how often each is taken) and, if asked, source_size and target. key: a column that has key_of()."""
+    """docs with `copies` (how often each is taken) and, if asked, source_size and target; they replace columns of these names. key: a column that has key_of()."""
     by = small(by).select(F.col("source").alias("__s"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs", "last_key", "extra_key")])
     joined = docs.withColumn("__key", F.col(key) if key else key_of(seed=seed)).join(by, F.col("source").eqNullSafe(F.col("__s")))
     copies = (F.col("__epochs") + F.when((F.col("__key") <= F.col("__last_key")) | (F.col("__key") == F.col("__extra_key")), 1).otherwise(0)).cast("long")
     extra = [F.col("__source_size").alias("source_size"), F.col("__target").alias("target")] if columns else []
-    return joined.select(*docs.columns, *extra, copies.alias("copies"))
+    own = {"copies", *(["source_size", "target"] if columns else [])}
+    return joined.select(*[c for c in docs.columns if c not in own], *extra, copies.alias("copies"))
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:

@@ -1,13 +1,14 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Texts become counts of hashed byte trigrams and of words said twice running, weighed by inverse document frequencies over all documents and
-projected by a truncated singular-value decomposition of labelled rows. The vectors of at most `SAMPLE`
+Texts become counts of hashed byte trigrams and of words said twice running, weighed by inverse document
+frequencies over all documents and projected by a truncated singular-value decomposition of labelled rows. The vectors of at most `SAMPLE`
 labelled rows (those of the least hashed ids) are broadcast, some 1 MB; every document's cosine with every
 one of them is computed in blocks, and the `K` nearest vote with their label, weighed by similarity.
 
 Null and empty texts have the zero vector: no neighbour is nearer than another, and their score is the share
 of label 1 in the sample. Several labels of one id are averaged; labels of unknown documents and null labels
-are left out. Without any labelled row every score is 0.5. Repeated rows get the same score.
+are left out. Without any labelled row every score is 0.5. Repeated rows get the same score. Further columns,
+of any name, are neither read nor returned. Long texts are counted in chunks and taken whole.
 """
 
 from __future__ import annotations
@@ -43,9 +44,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _buckets(raw: bytes) -> np.ndarray:
+    """The bucket of each trigram, among all but the last `REPEATS`."""
     a = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
     code = (a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761)
-    return code >> np.uint32(32 - BUCKETS.bit_length() + 1)
+    return (code.astype(np.uint64) * np.uint64(BUCKETS - REPEATS) >> np.uint64(32)).astype(np.int64)
 
 
 def counts(texts: list[str]) -> np.ndarray:
@@ -54,7 +56,7 @@ def counts(texts: list[str]) -> np.ndarray:
     for i, text in enumerate(texts):
         raw = b"\0" + text.encode() + b"\0"
         for at in range(0, len(raw) - 2 if text else 0, CHUNK):
-            out[i] += np.bincount(_buckets(raw[at : at + CHUNK + 2]), minlength=BUCKETS)
+            out[i] += np.bincount(_buckets(raw[at : at + CHUNK + 2]), minlength=BUCKETS)  # none in the last ones
         words = text.split()
         out[i, -REPEATS:] = sum(map(eq, words, words[1:]))
     return out

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of
+from .common import checkpointed, text_of, written
 
 # The base patterns and the least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -187,9 +187,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float
 
 def masked(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """docs with every secret span of the text replaced; spans that meet share one mask. Null texts stay null."""
-    found = scanned(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text")), "__text")
-    counted = checkpointed(found.select("__candidates").where(F.size("__candidates") > 0))
-    hit = all_spans(found, thresholds(counted, fdr))
+    found = written(scanned(docs.select(F.struct(*docs.columns).alias("__row")), f"__row.`{text}`"), "scanned")
+    hit = all_spans(found, thresholds(found, fdr)).withColumn("__text", F.col("__row")[text])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -32,9 +32,11 @@ SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 IRREGULAR = f"[{SPACE}][{SPACE}]|^[{SPACE}]|[{SPACE}]$"
 WORD_CUT = re.compile(r"(?<=\S) (?=\S)")
 MARK = "\x01"
-KNOWN = 400_000
-SLICE_BYTES = 4 << 20
+KNOWN = 300_000
+SLICE_BYTES = 3 << 20
 SLICE_TEXTS = 4096
+#: Parts that are one text for the tokenizer: it holds over 100 bytes for each id.
+RUN = 8192
 EMPTY = pa.scalar("", pa.large_string())
 
 
@@ -73,6 +75,7 @@ class Encoder:
             before = ends[at - 1] if at else 0
             to = max(at + 1, min(int(np.searchsorted(ends, before + SLICE_BYTES)), at + SLICE_TEXTS))
             yield self._slice(texts.slice(at, to - at))
+            pa.default_memory_pool().release_unused()
             at = to
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
@@ -150,15 +153,14 @@ class Encoder:
         led = pc.match_substring_regex(parts, f"^ [{LETTERS}]").to_numpy(zero_copy_only=False)
         alone = pc.or_(pc.match_substring(parts, "\n"), pc.equal(parts, "")).to_numpy(zero_copy_only=False)
         kinds = [(np.flatnonzero(led), ""), (np.flatnonzero(~led & ~alone), "\n")]
-        pieces = [self._run(parts.take(pa.array(own)), mark) for own, mark in kinds]
+        runs = [(own[at : at + RUN], mark) for own, mark in kinds for at in range(0, len(own), RUN)]
+        pieces = [self._run(parts.take(pa.array(some)), mark) for some, mark in runs]
         own = np.flatnonzero(alone)
         batch = self.tokenizer.encode_batch_fast(parts.take(pa.array(own)).to_pylist(), add_special_tokens=False)
         pieces.append(pa.array([np.array(e.ids, dtype="<u4").tobytes() for e in batch], pa.large_binary()))
         return pa.concat_arrays(pieces).take(pa.array(np.argsort(np.concatenate([kinds[0][0], kinds[1][0], own]))))
 
     def _run(self, parts: pa.Array, mark: str) -> pa.Array:
-        if not len(parts):
-            return pa.array([], pa.large_binary())
         text = mark.join(parts.to_pylist())
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         lengths = pc.binary_length(parts).to_numpy()

@@ -1,6 +1,9 @@
 """The classifier's held-out accuracy; chat and licence queries against SQL; odd rows."""
 
 import os
+import random
+import re
+import textwrap
 import zlib
 
 import duckdb
@@ -22,6 +25,20 @@ def test_held_out_accuracy(spark):
     assert ((rows.score >= 0) & (rows.score <= 1)).all()
 
 
+def test_counts_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 50)
+    n = neighbours.BUCKETS - neighbours.REPEATS
+    texts = ["", "a", "so so so it is is", "é ü " * 90, "".join(map(chr, range(32, 600)))]
+    for text, got in zip(texts, neighbours.counts(texts), strict=True):
+        want = np.zeros(neighbours.BUCKETS)
+        raw = b"\0" + text.encode() + b"\0" if text else b""
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            want[((a << 16 | b << 8 | c) * 2654435761 % 2**32 * n) >> 32] += 1
+        words = text.split()
+        want[n:] = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+        assert (got == want).all() and got[:n].sum() == max(0, len(raw) - 2)
+
+
 def test_votes_equal_brute_force():
     r = np.random.default_rng(0)
     sample = r.integers(0, 4, (40, neighbours.BUCKETS)).astype(np.float32)
@@ -66,6 +83,71 @@ def test_licences(spark, documents, odd):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+# Notices as they stand in source trees, unwrapped; a line break stands for a paragraph's end.
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"].replace("THIS SOFTWARE", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE", 1)
+
+
+def plain_scan(text):
+    """scan() of one text in plain Python: sentences, identifiers and rules, without a prefilter."""
+    ends = {"across": r"[.;!?]+(?=\s|\Z)|:[ \t\r]*\n|\n[ \t\r#*/;]*\n", "lines": r"[.;!?]+(?=\s|\Z)|[\r\n]"}
+    found = {}
+    for name, cut in ends.items():
+        kept = (re.findall(r"[a-z0-9.+-]+", s.lower()) for s in re.split(cut, text))
+        found[name] = [licenses.SENTENCES[k] for k in (re.sub(r"[ .]+$", "", " ".join(s)) for s in kept) if k in licenses.SENTENCES]
+    runs, licences = [found["across"], [i for i in found["lines"] if i not in found["across"]]], set()
+    ids = [i for r in runs for i in r]
+    for rule, licence in licenses.RULES:
+        for r in runs:
+            at = 0
+            while at <= len(r) - len(rule):
+                if tuple(r[at : at + len(rule)]) == rule:
+                    r[at : at + len(rule)] = [None]  # what stood on either side doesn't become neighbours
+                    licences.add(licence)
+                at += 1
+    return " ".join(ids), len(ids), ",".join(sorted(licences)), sum(i is not None for r in runs for i in r)
+
+
+def test_whole_notices(spark, documents):
+    texts, want = [], []
+    for licence, notice in NOTICES.items():
+        wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 68)) for p in notice.split("\n"))
+        commented = "".join(f" * {line}\n" for line in wrapped.split("\n"))
+        texts += [notice, wrapped, f"Copyright 2020 A. Body\n\n{wrapped}\n\nint main() {{ }}", f"/*\n{commented} */", notice.replace("\n", "\n\n")]
+        want += [licence] * 5
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(documents([(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i][2] for i in range(len(texts))] == want
+    assert [got[i] for i in range(len(texts))] == [plain_scan(t) for t in texts]
+
+
+def test_equals_plain_scan(spark, documents):
+    r = random.Random(8)
+    keys = list(licenses.SENTENCES)
+    ends = [". ", ".\n", "\n", "\n\n", "; ", " and so on. ", ":\n", "! ", " \n"]
+    texts = [*keys, *(k.upper() for k in keys)]
+    texts += ["".join(r.choice(keys) + r.choice(ends) for _ in range(r.randint(1, 9))) for _ in range(300)]
+    rows = licenses.scan(documents([(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == {i: plain_scan(t) for i, t in enumerate(texts)}
+    assert all(r["n_sentences"] == 1 for r in rows if r["doc_id"] < 2 * len(keys))
+
+
 def test_preferences(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "é one"), (1, 2, "user", None), (1, 3, "assistant", "two"), (1, 3, "assistant", "two"),
