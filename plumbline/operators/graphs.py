@@ -24,29 +24,43 @@ def runnable(nodes: DataFrame, scope: str, key: str, needs: str, status: str) ->
     return pending.join(unmet, [scope, key], "left_anti")
 
 
-def levels(nodes: DataFrame, links: DataFrame, scope: str, key: str, most: int = 200) -> DataFrame:
-    """nodes with `level`, the longest path to them; ends when no level changes, or fails after `most` rounds."""
-    now = nodes.select(F.col(scope).alias("s"), F.col(key).alias("k"), F.lit(0).alias("level"))
-    ends = links.select(F.col(scope).alias("es"), "src", "dst")
-    for _ in range(most):
-        up = ends.join(now, (F.col("es") == F.col("s")) & (F.col("src") == F.col("k"))).groupBy("es", "dst").agg((F.max("level") + 1).alias("new"))
-        new = now.join(up, (F.col("s") == F.col("es")) & (F.col("k") == F.col("dst")), "left")
-        new = new.select("s", "k", F.greatest("level", F.coalesce("new", F.lit(0))).alias("level"), F.col("level").alias("was"))
-        new = checkpointed(new)
-        changed = new.where("level <> was").limit(1).count()
-        now = new.drop("was")
-        if not changed:
-            return nodes.join(now, (F.col(scope) == F.col("s")) & (F.col(key) == F.col("k"))).drop("s", "k")
-    raise ValueError("the graph seems to have a cycle")
+def levels(nodes: DataFrame, links: DataFrame, scope: str, key: str) -> DataFrame:
+    """nodes with `level`, the longest path to them over links (scope, src, dst).
+
+    Each round takes the nodes that no link leads to any more and the links that begin there; it works on what
+    is left only. Where links remain but no such node, the graph has a cycle: a ValueError.
+    """
+    left = checkpointed(nodes.select(F.col(scope).alias("s"), F.col(key).alias("k")).distinct())
+    ends = checkpointed(links.select(F.col(scope).alias("s"), "src", "dst").distinct())
+    found = None
+    level = 0
+    while left.limit(1).count():
+        marked = left.join(ends.select("s", F.col("dst").alias("k"), F.lit(True).alias("later")).distinct(), ["s", "k"], "left")
+        marked = checkpointed(marked)
+        free = marked.where("later is null").select("s", "k")
+        if not free.limit(1).count():
+            raise ValueError("the graph has a cycle")
+        placed = free.withColumn("level", F.lit(level))
+        found = placed if found is None else found.union(placed)
+        left = marked.where("later").select("s", "k")
+        ends = checkpointed(ends.join(free.select("s", F.col("k").alias("src")), ["s", "src"], "left_anti"))
+        level += 1
+    if found is None:
+        return nodes.withColumn("level", F.lit(0))
+    return nodes.join(found, (F.col(scope) == F.col("s")) & (F.col(key) == F.col("k"))).drop("s", "k")
 
 
 def expand(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, hops) reached from seeds (node) over links (src, dst) in at most `depth` hops, without the seeds."""
-    seen = seeds.select("node", F.lit(0).alias("hops")).distinct()
-    frontier = seen
+    """(node, hops) reached from seeds (node) over links (src, dst) in at most `depth` hops, without the seeds.
+
+    Each hop's new nodes are kept, so the plan grows by one join a hop; it ends early when a hop finds none.
+    """
+    seen = frontier = checkpointed(seeds.select("node", F.lit(0).alias("hops")).distinct())
     for hop in range(1, depth + 1):
         reached = links.join(frontier, links.src == frontier.node).select(F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops"))
+        frontier = checkpointed(reached.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops")))
+        if not frontier.limit(1).count():
+            break
         seen = seen.union(frontier)
     return seen.where("hops > 0")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import checkpointed
+
 MOST_DEPTH = 16
 
 
@@ -24,21 +26,26 @@ def runs(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def depths(spans: DataFrame, trace: str, span: str, parent: str, most: int = MOST_DEPTH) -> DataFrame:
-    """spans with `depth`: the number of ancestors in the same trace, at most `most`; cycles end there.
+    """spans with `depth`: the number of its ancestors in the same trace, at most `most`.
 
-    Ancestors are followed by doubling: after k joins each span knows its ancestor 2**k above, so a depth of
-    16 takes four joins.
+    A walk up ends before the first span that it has met already, so a span that is its own parent has depth 0,
+    and two that are each other's parent have depth 1. Ancestors are followed by doubling: after k joins each
+    span knows its 2**k next ones, so a depth of 16 takes four joins.
     """
     ids = spans.select(F.col(trace).alias("t"), F.col(span).alias("s"), F.col(parent).alias("p")).distinct()
     known = ids.select(F.col("t").alias("kt"), F.col("s").alias("ks"))
-    step = ids.join(known, (F.col("t") == F.col("kt")) & (F.col("p") == F.col("ks")), "left").select("t", "s", F.col("ks").alias("up"), F.when(F.col("ks").isNull(), 0).otherwise(1).alias("d"))
+    path = F.when(F.col("ks").isNull(), F.array().cast(f"array<{ids.schema['s'].dataType.simpleString()}>")).otherwise(F.array("ks"))
+    step = ids.join(known, (F.col("t") == F.col("kt")) & (F.col("p") == F.col("ks")), "left").select("t", "s", path.alias("path"))
     reach = 1
     while reach < most:
-        above = step.select(F.col("t").alias("at"), F.col("s").alias("as_"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        joined = step.join(above, (F.col("t") == F.col("at")) & (F.col("up") == F.col("as_")), "left")
-        step = joined.select("t", "s", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
+        step = checkpointed(step)
+        above = step.select(F.col("t").alias("at"), F.col("s").alias("as_"), F.col("path").alias("next"))
+        last = F.when(F.size("path") == reach, F.element_at("path", -1))
+        joined = step.join(above, (F.col("t") == F.col("at")) & (last == F.col("as_")), "left")
+        step = joined.select("t", "s", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", "next")).alias("path"))
         reach *= 2
-    found = step.select("t", "s", F.least("d", F.lit(most)).alias("depth"))
+    met = F.size(F.array_distinct(F.concat(F.array("s"), "path"))) - 1  # beyond a span met already all are
+    found = step.select("t", "s", F.least(met, F.lit(most)).alias("depth"))
     return spans.join(found, (F.col(trace) == F.col("t")) & (F.col(span) == F.col("s"))).drop("t", "s")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import checkpointed
+
 
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The n last rows of each key; Spark keeps n per key and partition before it shuffles."""
@@ -22,15 +24,39 @@ def prefix_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, m
     return df.withColumn("used", F.sum(cost).over(by)).where(F.col("used") <= most)
 
 
-def greedy_budget(items: Column, cost: str, most: int) -> Column:
-    """Of a sorted array of structs the struct<used, kept>: each that still fits is kept, the first always."""
-    kind = F.struct(F.lit(0).cast("long").alias("used"), F.filter(items, lambda x: F.lit(False)).alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["kept"]) == 0) | (acc["used"] + x[cost] <= most)
-        return F.struct(F.when(fits, acc["used"] + x[cost]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
-
-    return F.aggregate(items, kind, step)
+def greedy_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, most: int) -> DataFrame:
+    """The rows of each key that a fold in this order keeps: the first always, then each that still fits.
+
+    cost is a whole number, and the order has no ties. A round looks, of each key, at the first rows that fit
+    into what is left, at most as many as their costs could fill it, so no key's rows are gathered whole; rows
+    that no longer fit are not looked at again. Rows that cost nothing fit always.
+    """
+    rows = checkpointed(df)
+    place = F.struct(*order)
+    first = Window.partitionBy(*keys).orderBy(*order)
+    numbered = checkpointed(rows.withColumn("__n", F.row_number().over(first)).where("__n <= 1").drop("__n"))
+    kept = [numbered]
+    state = numbered.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(cost).cast("long").alias("__used"), place.alias("__last"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    kept.append(rows.where(F.col(cost) <= 0).join(state, same).where(place > F.col("__last")).select(*df.columns))
+    left = rows.where(F.col(cost) > 0)
+    while True:
+        left = checkpointed(left.join(state, same).where((place > F.col("__last")) & (F.col("__used") + F.col(cost) <= most)))
+        if not left.limit(1).count():
+            break
+        some = left.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most)
+        item = F.struct(place.alias("at"), F.col(cost).cast("long").alias("cost"))
+        fold = F.aggregate("__items", F.struct(F.col("__used").alias("used"), F.filter("__items", lambda x: F.lit(False)).alias("kept")), lambda acc, x: F.when(acc["used"] + x["cost"] <= most, F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))
+        folded = some.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"), F.first("__used").alias("__used"))
+        folded = checkpointed(folded.select(*[F.col(k).alias(f"__{k}") for k in keys], fold.alias("__x"), F.element_at("__items", -1)["at"].alias("__last")))
+        left = left.select(*df.columns)
+        taken = folded.select(*[f"__{k}" for k in keys], F.explode("__x.kept.at").alias("__at"))
+        kept.append(left.join(taken, [*same, place == F.col("__at")]).select(*df.columns))
+        state = folded.select(*[f"__{k}" for k in keys], F.col("__x.used").alias("__used"), "__last")
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def share_of_group(keys: list[str], start: Column, length: Column, least: float = 0.6) -> tuple[Column, Column]:

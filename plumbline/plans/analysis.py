@@ -233,12 +233,12 @@ def dag_slots(t):
     return t.conversations.withColumn("level", F.floor(F.col("turn") / 2)).select("conv_id", "turn", W.ordinal(["conv_id", "level"], ["turn"]).alias("slot"))
 
 
-@query("""WITH RECURSIVE links AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity > 48
-        UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity > 48),
+@query("""WITH RECURSIVE links AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem
+        UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
     one AS (SELECT DISTINCT dst FROM links WHERE src = 'p1' OR src = 'p2'), two AS (SELECT DISTINCT l.dst FROM links l JOIN one ON l.src = one.dst)
     SELECT dst AS node, 1 AS hops FROM one WHERE dst NOT IN ('p1', 'p2') UNION ALL SELECT dst, 2 FROM two WHERE dst NOT IN (SELECT dst FROM one) AND dst NOT IN ('p1', 'p2')""")
 def bfs_expand_2hop(t):
-    pairs = t.lineitem.where("l_quantity > 48").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    pairs = t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     links = pairs.union(pairs.select("dst", "src")).distinct()
     return G.expand(links, t.spark.createDataFrame([("p1",), ("p2",)], "node string"), 2)
 

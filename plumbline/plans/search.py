@@ -18,10 +18,12 @@ KEYWORD_SQL = f"""terms AS (SELECT item_id AS query_id, unnest(list_distinct({TE
 VECTOR_SQL = """vec AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
     vector AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM
         (SELECT q.id AS query_id, v.id, round(list_cosine_distance(v.v, q.v), 6) AS distance FROM vec v, (SELECT * FROM vec WHERE {0}) q) QUALIFY rank <= 20)"""
-SYMBOL_SQL = f"""symbols AS (SELECT doc_id AS id, {GRAMS.format("regexp_extract(text, '[A-Za-z0-9_]+')")} AS g FROM documents),
-    asked AS (SELECT item_id AS query_id, {GRAMS.format("regexp_extract(text, '[A-Za-z0-9_]+')")} AS q FROM benchmark),
+# Symbols of documents are their sources, and a query's fragment is the source of the document that bears its id.
+SYMBOL_SQL = """symbols AS (SELECT {1} AS id, {0} AS g FROM {2} WHERE {3} IS NOT NULL), asked AS (SELECT {1} AS query_id, {0} AS q FROM {2} WHERE {3} IS NOT NULL AND {4}),
     symbol AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id,
         round(len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))), 6) AS score FROM symbols, asked WHERE len(list_intersect(g, q)) > 0) QUALIFY rank <= 20)"""
+SOURCES_SQL = SYMBOL_SQL.format(GRAMS.format("source"), "doc_id", "documents", "source", "doc_id IN (SELECT item_id FROM benchmark)")
+PARTS_SQL = SYMBOL_SQL.format(GRAMS.format("p_name"), "p_partkey", "part", "p_name", "p_partkey % 100 = 0")
 FUSED_SQL = """ranks AS (SELECT query_id, id, rank, 0 AS arm, 'vector' AS source FROM vector UNION ALL SELECT query_id, id, rank, 1, 'keyword' FROM keyword UNION ALL SELECT query_id, id, rank, 2, 'symbol' FROM symbol),
     fused AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(source, '+' ORDER BY arm) AS sources FROM ranks GROUP BY ALL)"""
 
@@ -36,12 +38,12 @@ def _queries(t):
 
 def _arms(t):
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    first = F.regexp_extract("text", "[A-Za-z0-9_]+", 0)
+    symbols = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("symbol"))
     ids = t.benchmark.select(F.col("item_id").alias("query_id"))
     return {
         "vector": V.vector_arm(vectors, vectors.withColumnRenamed("id", "query_id").join(ids, "query_id", "left_semi")),
         "keyword": V.keyword_arm(_documents(t), _queries(t)),
-        "symbol": V.symbol_arm(_documents(t).select("id", first.alias("symbol")), _queries(t).select("query_id", first.alias("fragment"))),
+        "symbol": V.symbol_arm(symbols, symbols.toDF("query_id", "fragment").join(ids, "query_id", "left_semi")),
     }
 
 
@@ -56,9 +58,10 @@ def keyword_topk(t):
     return V.keyword_arm(_documents(t), _queries(t))
 
 
-@query(f"WITH {SYMBOL_SQL} SELECT query_id, id, score, rank FROM symbol")
+@query(f"WITH {PARTS_SQL} SELECT query_id, id, score, rank FROM symbol")
 def symbol_topk(t):
-    return _arms(t)["symbol"]
+    symbols = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("symbol"))
+    return V.symbol_arm(symbols, symbols.where("id % 100 = 0").toDF("query_id", "fragment"))
 
 
 @query(f"""WITH names AS (SELECT DISTINCT p_name FROM part), sims AS (SELECT a.p_name AS name, b.p_name AS other, {GRAMS.format('a.p_name')} AS g, {GRAMS.format('b.p_name')} AS h FROM names a, names b WHERE a.p_name <> b.p_name)
@@ -73,12 +76,12 @@ def trigram_topk(t):
     return V.ranked(scored, ["name"], 3, F.desc("similarity"), F.col("other")).select("name", "other", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {VECTOR_SQL.format('id IN (SELECT item_id FROM benchmark)')}, {KEYWORD_SQL}, {SYMBOL_SQL}, {FUSED_SQL} SELECT * FROM fused")
+@query(f"WITH {VECTOR_SQL.format('id IN (SELECT item_id FROM benchmark)')}, {KEYWORD_SQL}, {SOURCES_SQL}, {FUSED_SQL} SELECT * FROM fused")
 def rrf_fusion(t):
     return V.fused(_arms(t))
 
 
-@query(f"""WITH {VECTOR_SQL.format('id IN (SELECT item_id FROM benchmark)')}, {KEYWORD_SQL}, {SYMBOL_SQL}, {FUSED_SQL},
+@query(f"""WITH {VECTOR_SQL.format('id IN (SELECT item_id FROM benchmark)')}, {KEYWORD_SQL}, {SOURCES_SQL}, {FUSED_SQL},
     own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM fused WHERE id <> query_id QUALIFY n <= 6),
     heads AS (SELECT source AS grp, min(doc_id) AS head FROM documents GROUP BY source),
     near AS (SELECT DISTINCT query_id, head AS id FROM own JOIN documents d ON d.doc_id = own.id JOIN heads ON grp = d.source WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = own.query_id AND o.id = head)),
@@ -109,12 +112,11 @@ def prefix_budget(t):
         FROM fold f JOIN items i ON i.source = f.source AND i.n = f.n + 1)
     SELECT source, max(used) AS used, max(kept) AS kept, max(n) - max(kept) AS dropped FROM fold GROUP BY source""")
 def greedy_budget(t):
-    tokens = T.token_estimate(F.col("text"))
-    items = t.documents.groupBy("source", "text").agg(F.min("doc_id").alias("id")).select("source", "id", tokens.alias("tokens"))
-    sorted_items = F.array_sort(F.collect_list(F.struct((F.col("tokens") % 7).alias("priority"), "id", "tokens")))
-    folded = items.groupBy("source").agg(sorted_items.alias("items")).select("source", F.size("items").alias("n"), W.greedy_budget(F.col("items"), "tokens", 3000).alias("x"))
-    kept = F.size("x.kept").cast("long")
-    return folded.select("source", F.col("x.used").alias("used"), kept.alias("kept"), (F.col("n") - kept).alias("dropped"))
+    items = t.documents.groupBy("source", "text").agg(F.min("doc_id").alias("id"))
+    items = items.select("source", "id", T.token_estimate(F.col("text")).alias("tokens")).withColumn("priority", F.col("tokens") % 7)
+    kept = W.greedy_budget(items, ["source"], ["priority", "id"], "tokens", 3000).groupBy("source").agg(F.sum("tokens").alias("used"), F.count("*").alias("kept"))
+    every = items.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
+    return kept.join(every, F.col("source").eqNullSafe(F.col("s"))).select("source", "used", "kept", (F.col("n") - F.col("kept")).alias("dropped"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: length(w) >= 2)[1:1], '') AS head,

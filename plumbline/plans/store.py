@@ -142,10 +142,11 @@ def visible_rows(t):
     CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 0 END AS code, value IS NULL AS open,
     CASE WHEN value >= 500 THEN 'retry' WHEN floor(value)::INT IN (408, 429) THEN 'retry' ELSE 'stop' END AS verdict,
     CAST(json_extract(props, '$.k') AS INT) AS k
-    FROM events WHERE event_type IS NOT NULL AND user_id IN (1, 2, 3, 5, 8, 13, 21)""")
+    FROM events WHERE event_type IS NOT NULL AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def predicate_mix(t):
     kind, value = F.col("event_type"), F.col("value")
-    rows = t.events.where(kind.isNotNull() & F.col("user_id").isin(1, 2, 3, 5, 8, 13, 21))
+    chosen = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    rows = t.events.where(kind.isNotNull()).join(chosen, "user_id", "left_semi")
     verdict = F.when((value >= 500) | F.floor(value).cast("int").isin(408, 429), "retry").otherwise("stop")
     code = F.when(kind == "view", 1).when(kind == "click", 2).otherwise(0)
     return rows.select(

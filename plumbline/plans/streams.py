@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import fresh_path
 from ..operators import traces as R
 from ..operators.store import top
 from ..streaming import streams as S
@@ -33,11 +34,27 @@ def stream_bad_rows(t):
 @query("SELECT 'errors' AS sink, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events")
 def stream_fanout(t):
     sinks = {"errors": lambda b: b.where("event_type = 'error'").select("event_id"), "users": lambda b: b.select("user_id").distinct(), "broken": lambda b: b.select("no_such_column")}
-    found = S.fan_out(_events(t), sinks, "fan")
+    found, _ = S.fan_out(_events(t), sinks, "fan")
     errors = found["errors"].agg(F.lit("errors").alias("sink"), F.count("*").alias("n"))
     return errors.union(found["users"].distinct().agg(F.lit("users"), F.count("*")))
 
 
+@query("""SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events""")
+def stream_acknowledged(t):
+    rows = _events(t).select("event_id", "user_id", "event_type", "props")
+    made = lambda b: b.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return S.acknowledged(rows, made, F.col("event_type").isin("purchase", "error"), "ack")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 2 = 1 THEN repeat('0', (user_id % 3)::INT) || user_id END AS p, '{"values":["' || event_type || '"]}' AS attributes FROM events""")
+def stream_span_export(t):
+    parent = F.concat(F.repeat(F.lit("0"), F.pmod("user_id", F.lit(3)).cast("int")), F.when(F.col("user_id") % 2 == 0, "").otherwise(F.col("user_id").cast("string")))
+    rows = _events(t).select("event_id", parent.alias("parent"), F.array("event_type").alias("attributes"))
+    folder = fresh_path(t.spark, "stream-spans")
+    S.export_spans(rows, folder, every=None).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/rows/batch=*").select("event_id", F.col("parent").alias("p"), "attributes")
+
+
 PROJECTION_SQL = """SELECT user_id, min(ts) AS started, arg_max(event_type, (ts, event_id)) AS last_kind, max(ts) AS last_seen, min(ts) FILTER (event_type IN ('purchase', 'error')) AS finished, count(*) AS n FROM events GROUP BY user_id"""
 
 

@@ -1,28 +1,26 @@
-"""Streaming operators: at-least-once landing, bad rows, deduplication, projections, replay buffers, liveness.
+"""Streaming operators: at-least-once landing, bad rows, acknowledgement, fan-out, projections, buffers, liveness.
 
-Streams run with Structured Streaming and `availableNow`, keep their state in checkpoints in the shared
-folder, and land in Parquet tables. Micro-batches are written under their number, so a batch that is
-delivered again replaces itself.
+Streams run with Structured Streaming and land in Parquet tables, one folder for each micro-batch number, so a
+batch that is delivered again replaces itself. Every operator takes the folder that holds its state and its
+tables: called again with it, a stream goes on where its checkpoint ends; without one it begins afresh in a new
+folder of the shared place. `every` gives a processing-time trigger (and the query runs until it is stopped);
+without it a stream takes what is there now, in micro-batches, and ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scratch import shared_dir
+from ..functions.scratch import fresh_path
 from ..operators.windows import last_n
 
 BUFFER, BUFFERS = 50, 200
-STALE_SECONDS = 45
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+SPANS_PER_BATCH, SPANS_EVERY = 512, "2 seconds"
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
@@ -35,56 +33,140 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFram
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("ignoreMissingFiles", "true").parquet(path)
 
 
-def run(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Runs a stream over what is there now; `each` gets every micro-batch and its number and must be idempotent."""
-    spark = stream.sparkSession
-    writer = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", fresh(spark, f"{name}-state"))
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+def start(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append", every: str | None = None) -> StreamingQuery:
+    """Starts a stream whose state is in the folder; `each` gets every micro-batch and its number and must be idempotent."""
+    writer = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def run(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Runs a stream over what is there now and has not been taken yet."""
+    start(stream, folder, each, mode).awaitTermination()
+
+
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that were written below a path, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
 
+def _written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What all batches below a path hold."""
+    numbers = batches(spark, path)
+    if not numbers:
+        return spark.createDataFrame([], like.schema)
+    return spark.read.schema(like.schema).parquet(*[f"{path}/batch={n}" for n in numbers])
 
-def landed(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+
+def landed(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """What a stream wrote. In complete mode only the last batch counts."""
-    spark, path = stream.sparkSession, fresh(stream.sparkSession, name)
-    last = [0]
+    spark = stream.sparkSession
+    folder = folder or fresh_path(spark, f"stream-{name}")
+    run(stream, folder, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}"), mode)
+    if mode == "complete" and (numbers := batches(spark, f"{folder}/rows")):
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch={numbers[-1]}")
+    return _written(spark, f"{folder}/rows", stream)
+
+
+def good_and_bad(stream: DataFrame, good: Column, name: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that decode and rows that don't, split in every batch; the bad ones don't hold the stream up."""
+    flagged = stream.withColumn("__good", F.coalesce(good, F.lit(False)))
+    every = landed(flagged, name, folder=folder)
+    return every.where("__good").drop("__good"), every.where("not __good").drop("__good")
+
+
+def acknowledged(stream: DataFrame, process: Callable[[DataFrame], DataFrame], ended: Column, name: str, folder: str | None = None, tries: int = 3) -> DataFrame:
+    """What process made of a stream's rows, under the rule of acknowledgement.
+
+    A batch is acknowledged (its checkpoint goes on) unless process fails and some of its rows are not ended:
+    then it is tried again, and after the last try the failure ends the stream with the batch not acknowledged,
+    so that the next run with the folder is given it again. If all rows of a failing batch are ended, it is
+    acknowledged without a result.
+    """
+    spark = stream.sparkSession
+    folder = folder or fresh_path(spark, f"stream-{name}")
+    kind = spark.createDataFrame([], stream.schema)
 
     def write(batch: DataFrame, number: int) -> None:
-        last[0] = number
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for left in reversed(range(tries)):
+            try:
+                process(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+                return
+            except PySparkException:
+                if not batch.where(~F.coalesce(ended, F.lit(False))).limit(1).count():
+                    process(kind).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+                    return
+                if not left:
+                    raise
 
-    run(stream, name, write, mode)
-    found = spark.read.schema(stream.schema).option("basePath", path)
-    return found.parquet(f"{path}/batch={last[0]}" if mode == "complete" else f"{path}/batch=*").select(*stream.columns)
+    run(stream, folder, write)
+    return _written(spark, f"{folder}/rows", process(kind))
 
 
-def good_and_bad(stream: DataFrame, good: Column, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that decode and rows that don't, split in every batch; the bad ones don't hold the stream up."""
-    spark, path = stream.sparkSession, fresh(stream.sparkSession, name)
+def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], name: str, folder: str | None = None) -> tuple[dict[str, DataFrame], dict[str, list[int]]]:
+    """Several tables from one stream, and of each sink the batches that it still lacks.
+
+    A sink that fails leaves the others alone. Its batch is kept as it came and tried again with each later
+    batch, at the end, and by later runs with the folder, so that a passing fault loses no rows.
+    """
+    spark = stream.sparkSession
+    folder = folder or fresh_path(spark, f"stream-{name}")
+
+    def attempt(sink: str, number: int, batch: DataFrame) -> bool:
+        try:
+            sinks[sink](batch).write.mode("overwrite").parquet(f"{folder}/{sink}/batch={number}")
+            return True
+        except PySparkException:  # one listener's fault isn't another's
+            return False
+
+    def lacking() -> dict[str, list[int]]:
+        kept = batches(spark, f"{folder}/kept")
+        return {s: [n for n in kept if n not in done] for s in sinks for done in [set(batches(spark, f"{folder}/{s}"))]}
+
+    def again() -> None:
+        for sink, numbers in lacking().items():
+            for n in numbers:
+                attempt(sink, n, spark.read.schema(stream.schema).parquet(f"{folder}/kept/batch={n}"))
 
     def write(batch: DataFrame, number: int) -> None:
-        flagged = batch.withColumn("__good", F.coalesce(good, F.lit(False)))
-        flagged.write.mode("overwrite").partitionBy("__good").parquet(f"{path}/batch={number}")
+        again()
+        batch = batch.persist()
+        try:
+            if not all([attempt(s, number, batch) for s in sinks]):
+                batch.write.mode("overwrite").parquet(f"{folder}/kept/batch={number}")
+        finally:
+            batch.unpersist()
+
+    run(stream, folder, write)
+    again()
+    left = lacking()
+    tables = {s: spark.read.parquet(*[f"{folder}/{s}/batch={n}" for n in done]) for s in sinks if (done := batches(spark, f"{folder}/{s}"))}
+    return tables, {s: n for s, n in left.items() if n}
+
 
-    run(stream, name, write)
-    every = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    flag = F.col("__good").cast("boolean")
-    return every.where(flag).select(*stream.columns), every.where(~flag).select(*stream.columns)
+def span_rows(spans: DataFrame) -> DataFrame:
+    """Spans as they are exported: a parent id of zeros only is null, an attribute list is wrapped as {"values": [...]}.
+
+    spans: parent (string), attributes (array) and whatever else.
+    """
+    parent = F.when(~F.col("parent").rlike("^0*$"), F.col("parent"))
+    wrapped = F.to_json(F.struct(F.col("attributes").alias("values")))
+    return spans.withColumn("parent", parent).withColumn("attributes", F.when(F.col("attributes").isNotNull(), wrapped))
 
 
-def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], name: str) -> dict[str, DataFrame]:
-    """Several tables from one stream; a sink that fails leaves the others alone."""
-    spark, path = stream.sparkSession, fresh(stream.sparkSession, name)
-    failed: dict[str, str] = {}
+def export_spans(stream: DataFrame, folder: str, every: str | None = SPANS_EVERY) -> StreamingQuery:
+    """Exports spans in micro-batches; files of at most `SPANS_PER_BATCH` rows. A batch that fails is left out: tracing
+    must not hold up what is traced. The exported rows are below `rows` of the folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        for sink, make in sinks.items():
-            try:
-                make(batch).write.mode("overwrite").parquet(f"{path}/{sink}/batch={number}")
-            except Exception as error:  # noqa: BLE001  one listener's fault isn't another's
-                failed[sink] = str(error)
+        try:
+            span_rows(batch).write.option("maxRecordsPerFile", SPANS_PER_BATCH).mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        except PySparkException:
+            return
 
-    run(stream, name, write)
-    return {s: spark.read.option("basePath", f"{path}/{s}").parquet(f"{path}/{s}/batch=*").drop("batch") for s in sinks if s not in failed}
+    return start(stream, folder, write, every=every)
 
 
 def deduplicated(stream: DataFrame, keys: list[str], ts: str, delay: str = "365 days") -> DataFrame:
@@ -93,22 +175,21 @@ def deduplicated(stream: DataFrame, keys: list[str], ts: str, delay: str = "365
     return timed.dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
-def replay_buffers(stream: DataFrame, key: str, order: list[str], name: str, n: int = BUFFER, most: int = BUFFERS) -> DataFrame:
+def replay_buffers(stream: DataFrame, key: str, order: list[str], name: str, n: int = BUFFER, most: int = BUFFERS, folder: str | None = None) -> DataFrame:
     """The last n rows of each key, of the `most` greatest keys. Each batch merges into the buffers before it,
     which hold n rows a key at most."""
-    spark, path = stream.sparkSession, fresh(stream.sparkSession, name)
-    last = [-1]
+    spark = stream.sparkSession
+    folder = folder or fresh_path(spark, f"stream-{name}")
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}"))
+        before = [k for k in batches(spark, f"{folder}/rows") if k < number]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/rows/batch={before[-1]}")) if before else batch
         keys = rows.select(key).distinct().orderBy(F.desc(key)).limit(most)
-        last_n(rows.join(F.broadcast(keys), key, "left_semi"), [key], order, n).write.mode("overwrite").parquet(f"{path}/{number}")
-        last[0] = number
+        last_n(rows.join(F.broadcast(keys), key, "left_semi"), [key], order, n).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    run(stream, name, merge)
-    return spark.read.schema(stream.schema).parquet(f"{path}/{last[0]}") if last[0] >= 0 else spark.createDataFrame([], stream.schema)
+    run(stream, folder, merge)
+    done = batches(spark, f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch={done[-1]}") if done else spark.createDataFrame([], stream.schema)
 
 
 def projection(events: DataFrame, key: str, ts: str, order: str, kind: str, terminal: list[str]) -> DataFrame:

@@ -67,9 +67,12 @@ def test_traces(spark):
 
 
 def test_cycles_and_orphans_end(spark):
-    df = spark.createDataFrame([("t", "a", "b"), ("t", "b", "a"), ("t", "o", "x"), ("u", "c", "a")], "t string, s string, p string").toDF("trace", "span", "parent")
+    rows = [("t", "a", "b"), ("t", "b", "a"), ("t", "o", "x"), ("u", "c", "a"), ("t", "own", "own"), ("t", "tail", "a"), ("t", "end", "tail")]
+    chain = [("v", f"n{i}", f"n{i - 1}" if i else None) for i in range(20)]
+    df = spark.createDataFrame([*rows, *chain], "trace string, span string, parent string")
     got = {r["span"]: r["depth"] for r in traces.depths(df, "trace", "span", "parent").collect()}
-    assert got == {"a": 16, "b": 16, "o": 0, "c": 0}
+    assert {k: got[k] for _, k, _ in rows} == {"a": 1, "b": 1, "o": 0, "c": 0, "own": 0, "tail": 2, "end": 3}
+    assert [got[f"n{i}"] for i in range(20)] == [min(i, 16) for i in range(20)]
 
 
 def test_fusion(spark):
@@ -84,6 +87,24 @@ def test_vectors(spark):
     got = retrieval.vector_arm(df, df.where("id = 1").withColumnRenamed("id", "query_id"), 5).orderBy("rank").collect()
     assert [(r["id"], r["distance"]) for r in got] == [(1, 0.0), (3, 0.292893), (2, 1.0)]
     assert retrieval.vector_arm(df.limit(0), df.limit(0).withColumnRenamed("id", "query_id")).count() == 0
+    every = retrieval.vector_arm(df, df.withColumnRenamed("id", "query_id"), 5)
+    assert {r["query_id"] for r in every.collect()} == {1, 2, 3, 6}  # null and zero queries have none
+
+
+def test_vectors_of_several_lengths_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    data = [(i, [float(x) for x in r.integers(-2, 3, 2 + i % 2)]) for i in range(200)] + [(200, None), (201, [1.0, None]), (202, [])]
+    df = spark.createDataFrame(data, "id long, vector array<double>").repartition(3)
+    want = set()
+    usable = {i: np.array(v) for i, v in data if v and None not in v and any(v)}
+    for q, v in usable.items():
+        near = sorted((round(float(1 - v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 6) + 0.0, i) for i, w in usable.items() if len(w) == len(v))
+        want |= {(q, i, d, k) for k, (d, i) in enumerate(near[:4], 1)}
+    for block in (1000, 40):
+        got = retrieval.vector_arm(df, df.withColumnRenamed("id", "query_id"), 4, block=block).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
     assert one(spark, T.cosine_distance(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[1.0]) is None
 
 
@@ -103,7 +124,7 @@ def test_readiness_and_levels(spark):
     assert {r["id"]: r["level"] for r in found.collect()} == {1: 0, 2: 1, 3: 2, 4: 0, 5: 0}
     loop = spark.createDataFrame([(1, 1, [2]), (1, 2, [1])], "task long, id long, needs array<long>")
     with pytest.raises(ValueError):
-        graphs.levels(loop, graphs.edges(loop, "id", "needs", "task"), "task", "id", 4)
+        graphs.levels(loop, graphs.edges(loop, "id", "needs", "task"), "task", "id")
 
 
 def test_evaluation(spark):
@@ -120,11 +141,20 @@ def test_evaluation(spark):
 
 
 def test_budgets(spark):
-    items = spark.createDataFrame([(1, 8), (2, 5), (3, 1)], "p int, cost long").agg(F.array_sort(F.collect_list(F.struct("p", "cost"))).alias("i"))
-    got = items.select(windows.greedy_budget(F.col("i"), "cost", 9).alias("x")).first()["x"]
-    assert got["used"] == 9 and [k["p"] for k in got["kept"]] == [1, 3]
-    got = items.select(windows.greedy_budget(F.col("i"), "cost", 2).alias("x")).first()["x"]
-    assert [k["p"] for k in got["kept"]] == [1]
+    import random
+
+    r = random.Random(11)
+    for most in (1, 9, 40):
+        rows = [(r.choice(["a", "b", None]), i, r.choice([0, 1, 2, 5, 9, 30])) for i in range(120)] + [("big", 1, 99), ("big", 2, 1), ("big", 3, 0)]
+        df = spark.createDataFrame(rows, "grp string, p int, cost long").repartition(3)
+        want, used = set(), {}
+        for g, p, c in sorted(rows, key=lambda x: x[1]):
+            if g not in used or used[g] + c <= most:
+                used[g] = used.get(g, 0) + c
+                want.add((g, p, c))
+        got = windows.greedy_budget(df, ["grp"], ["p"], "cost", most).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert windows.greedy_budget(df.limit(0), ["grp"], ["p"], "cost", 5).count() == 0
 
 
 def test_prefix_catalogues(spark):
