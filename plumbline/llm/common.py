@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scratch import checkpointed, shared_dir
+from ..functions.scratch import checkpointed, fresh_path, small  # noqa: F401  small, for the operators
 
 #: Words are runs of anything but the space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,10 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for what is wide or is read several times."""
     path = fresh_path(df.sparkSession, name)
@@ -64,9 +59,3 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, group:
     own = dealt.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in ["__pid", *group]])
     return own.join(F.broadcast(base) if few_groups else base, same).select(*df.columns, (F.col("__own") + F.col("__base")).alias(out))
-
-
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df, kept, for the small side of a join: to be broadcast if it has at most so many rows, else shuffled."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
