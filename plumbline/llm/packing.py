@@ -1,14 +1,18 @@
 """Best-fit packing of token pieces into sequences of fixed length, in bulk-synchronous supersteps.
 
-Documents are cut into pieces of at most `length` tokens (the first may be shorter). Pieces are range-sorted
-by size and get their rank within it, by distributed prefix sums. Sizes and gaps are integers up to
-`length`, so a superstep takes all pieces of one size, from the largest, and sweeps the gaps in ascending
-order from that size on (its successors): the pieces that would want one gap are told apart by rank, each
-gap takes one, the gaps are updated, and the sweep goes on until the size is placed or opens new sequences.
-This is best-fit decreasing, carried out on runs of ranks and runs of sequences. The runs depend on the
-counts per size alone, at most `length` numbers; pieces then find their run by size and rank.
+Documents are cut into pieces of at most `length` tokens (the first may be shorter). A superstep range-sorts
+the pieces that are left and the gaps (what room sequences have) together, from the largest on, and sweeps
+them: each piece looks for its successor, the smallest gap that holds it and that no piece before it took.
+That is a matching of brackets, so it is found by distributed prefix sums: a slot opens a level and a piece
+closes the topmost one, and the rank among slots and pieces of one level says who takes whom. The gaps are
+updated, and the next superstep begins, until no piece is left. A gap with room for several of the largest
+pieces is offered as several slots. Pieces larger than every gap open as few new sequences as can hold them
+(their sum over `length`, or the number of those above half of it). Some ten supersteps are usual, however
+many rows there are; only counts, a sum and the extreme sizes go to the driver.
 
 Null and empty texts are one piece with the end id. Repeated rows are packed each. Rows with a null id too.
+Further columns of documents are not read; those of pieces stay, but for `__id`. A very long text is encoded
+whole in one task. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -19,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, running_total, text_of
+from .common import checkpointed, partitions_for, text_of
 from .tokens import encoder
 
 LENGTH = 2048
+#: Rows of a sweep for each partition: a late superstep has few.
+SWEEP_ROWS = 20_000
 
 
 def _pieces(path: str, end: int, length: int):
@@ -57,41 +62,68 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0,
     return rows.mapInArrow(_pieces(tokenizer, end, length), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def runs(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """(size, first rank, pieces, first sequence, offset): consecutive ranks go to consecutive sequences."""
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]  # by room left: runs of sequences
-    out: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-    for size in sorted(counts, reverse=True):
-        rank, left, room = 0, counts[size], size
-        while left:
-            while room <= length and not gaps[room]:
-                room += 1
-            if room > length:  # none fits: a new run of sequences, as many as this size fills
-                per = length // size
-                new = left // per or 1
-                gaps[length].append((sequences, new))
-                sequences += new
-                room = length
-            first, n = gaps[room].pop()
-            take = min(n, left)
-            if take < n:
-                gaps[room].append((first + take, n - take))
-            out.append((size, rank, take, first, length - room))
-            rank, left, rest = rank + take, left - take, room - size
-            gaps[rest].append((first, take))
-            room = max(size, min(room, rest))
-    return out
-
-
-def pack(cut: DataFrame, length: int = LENGTH, order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32")) -> DataFrame:
-    """Adds sequence_id and offset to pieces that have a `length`."""
-    cut = checkpointed(cut)
-    ranked = running_total(cut.withColumn("__one", F.lit(1)), list(order), "__one", "__rank", ["length"], few_groups=True)
-    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `length` rows
-    schema = StructType([StructField(c, LongType()) for c in ("size", "first", "n", "sequence", "offset")])
+def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Adds sequence_id and offset to pieces that have a `length`; one of `length` or more is a sequence of its own."""
     spark = cut.sparkSession
-    plan = spark.createDataFrame(runs(counts, length), schema)
-    fits = (F.col("length") == F.col("size")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("first") + F.col("n"))
-    placed = ranked.join(F.broadcast(plan), fits)
-    return placed.select(*cut.columns, (F.col("sequence") + F.col("__rank") - F.col("first")).alias("sequence_id"), "offset")
+    cut = checkpointed(cut)
+    numbered = cut.withColumn("__id", F.monotonically_increasing_id())  # the same whenever the kept table is read
+    left = numbered.where(F.col("length") < length).select(F.col("__id").alias("id"), F.col("length").alias("size"))
+    gaps = spark.createDataFrame([], "seq long, room long")
+    placed = spark.createDataFrame([], "id long, seq long, offset long")
+    opened = 0
+    while True:
+        top = gaps.agg(F.max("room").alias("top"), F.count("*").alias("n")).first()
+        hopeless = F.col("size") > (top["top"] or 0)
+        own = F.count_if(hopeless & (2 * F.col("size") > length))
+        now = left.agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least"), F.sum(F.when(hopeless, F.col("size"))).alias("need"), own.alias("own")).first()
+        if not now["n"]:
+            break
+        new = max(now["own"], -(-(now["need"] or 0) // length))
+        gaps = gaps.union(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(length).cast("long").alias("room")))
+        opened += new
+        found, left = _superstep(left, gaps, now, top["n"] + new)
+        start = F.sum("size").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+        placed = placed.union(found.select("id", "seq", (F.lit(length) - F.col("room") + F.coalesce(start, F.lit(0))).alias("offset")))
+        taken = found.select("seq", (-F.col("size")).alias("room"))
+        gaps = checkpointed(gaps.union(taken).groupBy("seq").agg(F.sum("room").alias("room")).where(F.col("room") >= now["least"]))
+    full = numbered.where(F.col("length") >= length).select("__id", (F.col("__id") + opened).alias("seq"), F.lit(0).cast("long").alias("offset"))
+    out = numbered.join(placed.union(full).withColumnRenamed("id", "__placed"), F.col("__id") == F.col("__placed"))
+    return out.select(*cut.columns, F.col("seq").alias("sequence_id"), "offset")
+
+
+def _superstep(left: DataFrame, gaps: DataFrame, now: Row, n_gaps: int) -> tuple[DataFrame, DataFrame]:
+    """What pieces (id, size) take which gap (seq, room, slot) in one sweep, and the pieces that found none.
+
+    now: the number of pieces and their most and least size. A gap that holds several pieces of the greatest size
+    has as many slots, all but the last of just that size, as long as there are not many more slots than pieces.
+    """
+    most = now["most"]
+    slots = F.least(F.greatest(F.floor(F.col("room") / most), F.lit(1)), F.lit(1 + -(-4 * now["n"] // n_gaps)))
+    offered = gaps.where(F.col("room") >= now["least"]).withColumn("slots", slots.cast("int"))
+    offered = offered.select("seq", "room", "slots", F.explode(F.sequence(F.lit(1), "slots")).alias("slot"))
+    value = F.when(F.col("slot") < F.col("slots"), F.lit(most)).otherwise(F.col("room") - most * (F.col("slots") - 1))
+    none = F.lit(None).cast("long")
+    rows = offered.select(value.alias("value"), F.lit(1).alias("step"), "seq", "room", F.col("slot").cast("long").alias("slot"), none.alias("id"))
+    rows = rows.union(left.select("size", F.lit(-1), none, none, none, "id"))
+    order = [F.desc("value"), F.desc("step"), "seq", "slot", "id"]
+    parts = max(1, min(partitions_for(left), (now["n"] + n_gaps) // SWEEP_ROWS))
+    swept = checkpointed(rows.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id()))
+
+    # The stack of open slots: its height is the running sum of steps, less the least sum so far (pieces that found it empty).
+    inside = Window.partitionBy("pid").orderBy(*order)
+    own = swept.withColumn("sum", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = own.withColumn("low", F.min("sum").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = own.groupBy(F.col("pid").alias("of")).agg(F.sum("step").alias("sum"), F.min("sum").alias("low"))  # a row for each partition
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("of", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"), "low")
+    ends = ends.select("of", "base", F.coalesce(F.min(F.col("base") + F.col("low")).over(before), F.lit(0)).alias("floor"))
+    placed = own.join(F.broadcast(ends), F.col("pid") == F.col("of"))
+    height = F.col("base") + F.col("sum") - F.least(F.lit(0), "floor", F.col("base") + F.coalesce("low", F.lit(0)))
+    level = F.when(F.col("step") == 1, height).otherwise(height + 1)
+    levels = placed.select("value", "step", "seq", "room", "slot", "id", level.alias("level"))
+
+    # On one level slots and pieces alternate, and a piece takes the slot before it. A level has a slot and a piece of each size at most.
+    by_level = Window.partitionBy("level").orderBy(*order)
+    taken = levels.where("level > 0").select("step", "id", F.col("value").alias("size"), *[F.lag(c).over(by_level).alias(c) for c in ("seq", "room", "slot")])
+    found = checkpointed(taken.where("step = -1").select("id", "size", "seq", "room", "slot"))
+    return found, checkpointed(levels.where("step = -1 and level = 0").select("id", F.col("value").alias("size")))

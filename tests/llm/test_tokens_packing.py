@@ -1,5 +1,6 @@
 """Token ids, packing and token files, by exact round trips."""
 
+import bisect
 import random
 import zlib
 
@@ -90,19 +91,48 @@ def test_packing_odd(spark, documents, odd, want):
     assert packing.pack(packing.pieces(df.limit(0), PATH)).count() == 0
 
 
-def test_runs_are_best_fit():
-    r = random.Random(4)
-    for _ in range(30):
-        counts = {s: r.randint(1, 9) for s in r.sample(range(1, 65), 12)}
-        gaps = []  # the plain best-fit decreasing, one piece at a time
-        for size in sorted(counts, reverse=True):
-            for _ in range(counts[size]):
-                fits = [g for g in gaps if g >= size]
-                gap = min(fits) if fits else 64
-                if fits:
-                    gaps.remove(gap)
-                gaps.append(gap - size)
-        runs = packing.runs(counts, 64)
-        assert len({q + k for _, _, n, q, _ in runs for k in range(n)}) <= len(gaps) + 1
-        for size, n in counts.items():
-            assert sorted(k for s, first, m, _, _ in runs if s == size for k in range(first, first + m)) == list(range(n))
+def plain_best_fit(sizes, length):
+    """The number of sequences of best-fit decreasing, one piece at a time."""
+    gaps, n = [], 0
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        if at < len(gaps):
+            room = gaps.pop(at)
+        else:
+            room, n = length, n + 1
+        bisect.insort(gaps, room - size)
+    return n
+
+
+@pytest.mark.parametrize("most, n", [(6, 2000), (64, 1500), (40, 700), (25, 1), (33, 65)])
+def test_supersteps_fill_as_best_fit_does(spark, monkeypatch, most, n):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 100)  # several partitions
+    r = random.Random(most)
+    sizes = [r.randint(1, most) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").repartition(3)
+    rows = packing.pack(df, 64).collect()
+    assert sorted((x["doc_id"], x["length"]) for x in rows) == list(enumerate(sizes))
+    _, used = check_packed(rows, 64, None)
+    assert used <= plain_best_fit(sizes, 64) * 1.01 + 1
+
+
+def test_one_superstep_is_the_plain_sweep(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 20)
+    r = random.Random(12)
+    for _ in range(4):
+        pieces = [(i, r.randint(20, 60)) for i in range(r.randint(1, 80))]
+        gaps = [(i, r.randint(10, 62)) for i in range(r.randint(1, 80))]
+        sizes = [s for _, s in pieces]
+        now = {"n": len(sizes), "most": max(sizes), "least": min(sizes)}
+        left, open_ = spark.createDataFrame(pieces, "id long, size long"), spark.createDataFrame(gaps, "seq long, room long")
+        found, rest = packing._superstep(left, open_, now, len(gaps))
+        rooms, want, lost = sorted(room for _, room in gaps if room >= min(sizes)), [], []
+        for size in sorted(sizes, reverse=True):  # each takes the smallest gap that still holds it
+            at = bisect.bisect_left(rooms, size)
+            if at < len(rooms):
+                want.append((size, rooms.pop(at)))
+            else:
+                lost.append(size)
+        got = found.collect()
+        assert sorted((x["size"], x["room"]) for x in got) == sorted(want) and sorted(x["size"] for x in rest.collect()) == sorted(lost)
+        assert len({x["seq"] for x in got}) == len(got)
