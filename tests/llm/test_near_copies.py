@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from plumbline.llm import near_copies, simhash
 
@@ -39,6 +40,9 @@ def corpus():
         texts += [base, edited(base, 3), edited(base, 12)]
     hot = words(120)
     texts += [edited(hot, r.randrange(3)) for _ in range(60)]
+    alike = words(100)  # a family below 0.8, but for some of its members
+    family = [edited(alike, r.randrange(3, 9)) for _ in range(50)]
+    texts += family + [edited(t, 1) for t in family[:6]]
     texts += [[], [], ["one"], ["two", "words"]]
     return {i: " ".join(t) for i, t in enumerate(texts)}
 
@@ -50,6 +54,27 @@ def test_shingles_and_similarity():
     assert near_copies.jaccard(near_copies.shingles(""), near_copies.shingles(" ")) == 1
 
 
+def test_exact_links(monkeypatch):
+    monkeypatch.setattr(near_copies, "COLUMNS", 16)
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        base = r.integers(0, 1000, 60)
+        sets = [np.unique(np.concatenate([base[: r.integers(30, 61)], r.integers(0, 1000, r.integers(0, 12))])).astype(np.uint64) for _ in range(25)]
+        own = r.integers(0, 20, 25)
+        links = near_copies.exact_links(sets, own)
+        assert all(own[i] != own[j] and near_copies.jaccard(sets[i], sets[j]) >= 0.8 for i, j in links)
+
+        def joined(pairs):
+            label = {int(g): int(g) for g in own}
+            for i, j in pairs:
+                old, new = label[int(own[i])], label[int(own[j])]
+                label = {g: new if x == old else x for g, x in label.items()}
+            return {frozenset(g for g in label if label[g] == x) for x in label.values()}
+
+        every = [(i, j) for i in range(25) for j in range(i) if near_copies.jaccard(sets[i], sets[j]) >= 0.8]
+        assert joined(links) == joined(every) and len(links) == len({int(g) for g in own}) - len(joined(every))
+
+
 def test_groups_equal_brute_force(spark):
     texts = corpus()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
