@@ -107,6 +107,69 @@ def error_category(block: Column, legacy: Column, test_source: Column) -> Column
     )
 
 
+def _catalogued(names: DataFrame, catalogue: list[tuple[str, str | None]], excluded: list[str], payload: str) -> DataFrame:
+    """(name, prefix, payload) of the names whose longest prefix is in a catalogue of constants."""
+    spark = names.sparkSession
+    rows = spark.createDataFrame([(p, p, v) for p, v in catalogue], f"__p0 string, prefix string, {payload} string")
+    out = spark.createDataFrame([(x,) for x in excluded], "__x0 string")
+    best = longest_prefix(names, "name", F.broadcast(rows), "__p0", "prefix", excluded=F.broadcast(out)).where("prefix is not null")
+    return best.join(F.broadcast(rows.drop("__p0")), "prefix").select("name", "prefix", payload)
+
+
+def scan_sources(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Findings of each Java source that has any: path, removed, mapped, legacy and breaking.
+
+    removed: imports of packages that left the JDK (name, prefix, successor); mapped: those that an artifact
+    replaces (name, prefix, artifact); legacy: the names in either, each once; all in the order of the source.
+    breaking: rules on changed interfaces. Sources that can't be read (null) have none.
+    """
+    read = files.select(F.col(path).alias("path"), F.col(content).alias("__text")).where(F.col(content).isNotNull())
+    found = read.select("path", F.posexplode(imports(F.col("__text"))).alias("n", "name"))
+    names = found.select("name").distinct()
+    removed = _catalogued(names, REMOVED, REMOVED_EXCLUSIONS, "successor").withColumnRenamed("prefix", "gone")
+    mapped = _catalogued(names, ARTIFACTS, ARTIFACT_EXCLUSIONS, "artifact").withColumnRenamed("prefix", "replaced")
+    hits = found.join(removed, "name", "left").join(mapped, "name", "left").where("gone is not null or replaced is not null")
+    item = lambda kept, *columns: F.array_sort(F.collect_list(F.when(F.col(kept).isNotNull(), F.struct("n", "name", *columns))))
+    of_imports = hits.groupBy("path").agg(
+        item("gone", F.col("gone").alias("prefix"), "successor").alias("removed"), item("replaced", F.col("replaced").alias("prefix"), "artifact").alias("mapped"),
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("legacy"),
+    )
+    of_text = read.select("path", rule_hits(F.col("__text"), BREAKING).alias("breaking")).where(F.size("breaking") > 0)
+    out = of_imports.join(of_text, "path", "full")
+    empty = lambda c: F.coalesce(c, F.filter(c, lambda x: F.lit(False)), F.from_json(F.lit("[]"), out.schema[c].dataType)).alias(c)
+    return out.select("path", *[empty(c) for c in ("removed", "mapped", "legacy", "breaking")])
+
+
+# Why a file isn't written back, in the order in which reasons are told.
+REFUSALS = ["TASK_NOT_SUCCEEDED", "WORKSPACE_GONE", "PROJECT_ROOT_GONE", "DIRTY_WORKING_TREE", "FILE_NOT_ALLOWED", "SANDBOX_FILE_MISSING", "SOURCE_FILE_MISSING", "BASE_MISMATCH", "NO_PATCH"]
+
+
+def refusals(**failed: Column) -> Column:
+    """array<string> of all reasons whose condition (by its name in lower case) holds; conditions that are null don't."""
+    unknown = set(failed) - {r.lower() for r in REFUSALS}
+    if unknown:
+        raise ValueError(f"no such reasons: {sorted(unknown)}")
+    return all_violations(*[(failed[r.lower()], r) for r in REFUSALS if r.lower() in failed])
+
+
+#: The head of a compiler message: an optional level, file, line and column, and the message; and lines that go with it.
+ERROR_HEAD = r"^(?:\[[A-Z]+\]\s*)?(\S.*\.java):\[(\d+),(\d+)\]\s*(.*)$"
+ERROR_DETAIL = r"^(?:\[[A-Z]+\])?\s*((?:symbol|location|符号|位置)\s*[::].*)$"
+
+
+def compile_errors(lines: DataFrame, key: str, number: str, line: str) -> DataFrame:
+    """Of each compiler message: key, block (from 1), file, line, column, message, and its details in order.
+
+    A block's details are its lines on a symbol or a location; other lines are left out.
+    """
+    blocks = error_blocks(lines.select(key, number, F.col(line).alias("__line")), key, number, "__line", ERROR_HEAD)
+    part = lambda n: F.regexp_extract("__line", ERROR_HEAD, n)
+    is_head, detail = F.col("__line").rlike(ERROR_HEAD), F.regexp_extract("__line", ERROR_DETAIL, 1)
+    head = F.max(F.when(is_head, F.struct(part(1).alias("file"), part(2).cast("int").alias("line"), part(3).cast("int").alias("column"), part(4).alias("message"))))
+    details = F.array_sort(F.collect_list(F.when(~is_head & (detail != ""), F.struct(number, F.trim(detail).alias("text")))))
+    return blocks.groupBy(key, "block").agg(head.alias("__h"), details.alias("__d")).select(key, "block", "__h.*", F.transform("__d", lambda d: d["text"]).alias("details"))
+
+
 def containing_dir(files: DataFrame, path: str, dirs: DataFrame, folder: str) -> DataFrame:
     """files with the deepest of the dirs that holds them; null: none. Joined on the files' ancestors."""
     ancestors = files.select(path).distinct().select(path, F.posexplode(prefixes(F.col(path), "/")).alias("__n", "__p"))
@@ -127,3 +190,47 @@ def error_blocks(lines: DataFrame, key: str, number: str, line: str, head: str)
     """Lines with the number of their block; a block begins at a line that matches `head`, earlier lines are dropped."""
     by = Window.partitionBy(key).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("block", F.sum(F.col(line).rlike(head).cast("int")).over(by)).where("block > 0")
+
+
+# The parent that projects are brought to, and what becomes of dependencies on the way.
+PARENT_VERSION = "3.5.16"
+
+
+def version_parts(version: Column) -> Column:
+    """array<int> of a version's leading numbers; null without any."""
+    plain = F.regexp_extract(F.trim(version), r"^v?([0-9]+(?:\.[0-9]+)*)", 1)
+    return F.when(plain != "", F.transform(F.split(plain, r"\."), lambda x: x.try_cast("int")))
+
+
+def version_before(a: Column, b: Column) -> Column:
+    """Whether version a is lower than b, number by number, missing ones being 0; null if one has none."""
+    x, y = version_parts(a), version_parts(b)
+    size = F.greatest(F.size(x), F.size(y))
+    wide = lambda v: F.concat(v, F.array_repeat(F.lit(0), size - F.size(v)))
+    return wide(x) < wide(y)
+
+
+def parent_upgrade(version: Column, target: str = PARENT_VERSION) -> Column:
+    """none (no version or a placeholder), keep or upgrade."""
+    lower = version_before(version, F.lit(target))
+    return F.when(lower.isNull(), "none").when(lower, "upgrade").otherwise("keep")
+
+
+def dependency_changes(dependencies: DataFrame, renames: DataFrame, bumps: DataFrame) -> DataFrame:
+    """dependencies (grp, artifact, version) with the new names and version, and `change`: rename, bump or keep.
+
+    renames: grp, artifact, new_grp, new_artifact. bumps: grp, artifact, least: versions below it are raised to it.
+    Names are looked up as they were; a renamed dependency keeps its version, unless its new name is bumped.
+    """
+    named = dependencies.join(renames, ["grp", "artifact"], "left").withColumn("__renamed", F.col("new_grp").isNotNull())
+    named = named.withColumn("new_grp", F.coalesce("new_grp", "grp")).withColumn("new_artifact", F.coalesce("new_artifact", "artifact"))
+    least = bumps.select(F.col("grp").alias("new_grp"), F.col("artifact").alias("new_artifact"), "least")
+    both = named.join(least, ["new_grp", "new_artifact"], "left")
+    low = F.coalesce(version_before(F.col("version"), F.col("least")), F.lit(False))
+    change = F.when(F.col("__renamed"), "rename").when(low, "bump").otherwise("keep")
+    return both.select(*dependencies.columns, "new_grp", "new_artifact", F.when(low, F.col("least")).otherwise(F.col("version")).alias("new_version"), change.alias("change"))
+
+
+def artifacts_to_add(needed: DataFrame, present: DataFrame, project: str) -> DataFrame:
+    """(project, grp, artifact) that are needed and that the project lacks, each once; added again they are none."""
+    return needed.select(project, "grp", "artifact").distinct().join(present.select(project, "grp", "artifact"), [project, "grp", "artifact"], "left_anti")

@@ -1,4 +1,4 @@
 """Named queries over the tables, each with the SQL that gives the same rows where SQL can."""
 
-from . import analysis, search, store, streams  # noqa: F401
+from . import analysis, project, search, store, streams  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

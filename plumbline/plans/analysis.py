@@ -13,7 +13,7 @@ from .store import cost
 # Labels as evaluation runs: quality is what was expected, toxic the outcome; no source starts with src1: harness errors.
 RUNS_SQL = """runs AS (SELECT doc_id AS case_id, source AS project, lang, n_chars, CASE WHEN quality = 1 THEN 'SUCCEEDED' ELSE 'FAILED' END AS expect,
     CASE WHEN doc_id % 11 = 0 THEN NULL WHEN toxic = 0 THEN 'SUCCEEDED' ELSE 'FAILED' END AS status,
-    CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS harness_error FROM labels JOIN documents USING (doc_id)),
+    CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS harness_error, CASE WHEN doc_id % 7 > 0 THEN doc_id % 4 END AS attempts FROM labels JOIN documents USING (doc_id)),
     judged AS (SELECT *, CASE WHEN harness_error IS NOT NULL OR status IS NULL THEN 'HARNESS_ERROR' WHEN status = expect THEN 'AS_EXPECTED' ELSE 'UNEXPECTED' END AS verdict FROM runs)"""
 
 
@@ -22,7 +22,7 @@ def runs(t):
     status = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("toxic") == 0, "SUCCEEDED").otherwise("FAILED")
     return joined.select(
         F.col("doc_id").alias("case_id"), F.col("source").alias("project"), "lang", "n_chars", F.when(F.col("quality") == 1, "SUCCEEDED").otherwise("FAILED").alias("expect"),
-        status.alias("status"), F.when(F.col("doc_id") % 13 == 0, "timeout").alias("harness_error"),
+        status.alias("status"), F.when(F.col("doc_id") % 13 == 0, "timeout").alias("harness_error"), F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 4).alias("attempts"),
     )
 
 
@@ -37,9 +37,11 @@ def _ratio(hit, among):
 @query(f"""WITH {RUNS_SQL} SELECT count(*) AS total, count(*) FILTER (verdict <> 'HARNESS_ERROR') AS usable, count(*) FILTER (verdict = 'HARNESS_ERROR') AS harness_errors,
     {_ratio("verdict = 'AS_EXPECTED'", "verdict <> 'HARNESS_ERROR'")} AS as_expected,
     {_ratio("verdict = 'AS_EXPECTED'", "verdict <> 'HARNESS_ERROR' AND expect = 'SUCCEEDED'")} AS positive_success,
-    {_ratio("verdict = 'AS_EXPECTED'", "verdict <> 'HARNESS_ERROR' AND expect <> 'SUCCEEDED'")} AS negative_caught FROM judged""")
+    {_ratio("verdict = 'AS_EXPECTED'", "verdict <> 'HARNESS_ERROR' AND expect <> 'SUCCEEDED'")} AS negative_caught,
+    count(*) FILTER (verdict <> 'HARNESS_ERROR' AND attempts IS NOT NULL) AS with_metrics, count(*) FILTER (verdict <> 'HARNESS_ERROR' AND attempts > 1) AS retried_cases,
+    {_ratio("attempts <= 1", "verdict <> 'HARNESS_ERROR' AND attempts IS NOT NULL")} AS first_try FROM judged""")
 def eval_overview(t):
-    return E.overview(runs(t))
+    return E.overview(runs(t), attempts="attempts")
 
 
 @query("""SELECT l_returnflag, sum(least(l_linenumber * 10, l_quantity))::DOUBLE / nullif(sum(l_quantity), 0) AS rate FROM lineitem GROUP BY l_returnflag""")
@@ -89,17 +91,15 @@ def rate_state(t):
     FROM lineitem GROUP BY l_orderkey""")
 def suite_totals(t):
     flag = F.col("l_returnflag")
-    names = F.array_sort(F.collect_list(F.when(flag == "R", F.struct("l_linenumber", "l_partkey"))))
-    text = F.array_join(F.transform(names, lambda x: F.concat_ws("#", x["l_linenumber"], x["l_partkey"])), ",")
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("total"), F.count_if(flag == "R").alias("failed"), F.count_if(flag == "N").alias("skipped"), text.alias("failed_names"))
-    return rows.withColumn("passed", F.col("total") - F.col("failed") - F.col("skipped"))
+    found = E.suite_totals(t.lineitem, ["l_orderkey"], flag == "R", flag == "N", ["l_linenumber", "l_partkey"], F.concat_ws("#", "l_linenumber", "l_partkey"))
+    return found.withColumn("failed_names", F.array_join("failed_names", ","))
 
 
 @query("""SELECT o_orderkey, CASE WHEN count(l_orderkey) = 0 THEN -1.0 WHEN sum(l_quantity) = 0 THEN 0.0 ELSE sum(l_quantity * (l_linenumber % 2)) / sum(l_quantity) END AS parity,
     sum(l_quantity * (l_linenumber % 2)) / nullif(sum(l_quantity), 0) AS coverage FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def coverage_ratio(t):
     joined = t.orders.select("o_orderkey").join(t.lineitem.select("l_orderkey", "l_quantity", "l_linenumber"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    share = F.try_divide(F.sum(F.col("l_quantity") * (F.col("l_linenumber") % 2)), F.sum("l_quantity"))
+    share = E.share_covered(F.col("l_quantity") * (F.col("l_linenumber") % 2), F.col("l_quantity"))
     parity = F.when(F.count("l_orderkey") == 0, -1.0).otherwise(F.coalesce(share, F.lit(0.0)))
     return joined.groupBy("o_orderkey").agg(parity.alias("parity"), share.alias("coverage"))
 
@@ -107,23 +107,22 @@ def coverage_ratio(t):
 @query("""WITH low AS (SELECT p_brand, min(struct_pack(s := p_size, k := p_partkey, n := p_name)) FILTER (p_retailprice < 1200) AS x, min(p_partkey) AS first FROM part GROUP BY p_brand)
     SELECT p_brand, coalesce(x.s || ':' || x.n, 'first:' || first) AS reason FROM low""")
 def argmin_with_fallback(t):
-    low = F.min(F.when(F.col("p_retailprice") < 1200, F.struct("p_size", "p_partkey", "p_name")))
-    rows = t.part.groupBy("p_brand").agg(low.alias("x"), F.min("p_partkey").alias("first"))
-    return rows.select("p_brand", F.coalesce(F.concat(F.col("x.p_size").cast("string"), F.lit(":"), "x.p_name"), F.concat(F.lit("first:"), F.col("first").cast("string"))).alias("reason"))
+    name = F.concat(F.col("p_size").cast("string"), F.lit(":"), "p_name")
+    first = F.concat(F.lit("first:"), F.min("p_partkey").cast("string"))
+    return t.part.groupBy("p_brand").agg(E.least_with_fallback(F.col("p_retailprice") < 1200, ["p_size", "p_partkey"], name, first).alias("reason"))
 
 
 @query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'click') > 0 THEN greatest(count(DISTINCT value::INT) FILTER (event_type = 'view'), 1) ELSE count(DISTINCT value::INT) FILTER (event_type = 'view') END AS targets
     FROM (SELECT user_id, event_type, floor(value) AS value FROM events) GROUP BY user_id""")
 def distinct_suffix_count(t):
-    n = F.count_distinct(F.when(F.col("event_type") == "view", F.floor("value")))
-    return t.events.groupBy("user_id").agg(F.when(F.count_if(F.col("event_type") == "click") > 0, F.greatest(n, F.lit(1))).otherwise(n).alias("targets"))
+    kind = F.col("event_type")
+    return t.events.groupBy("user_id").agg(E.distinct_or_one(kind == "view", F.floor("value"), kind == "click").alias("targets"))
 
 
 @query("""SELECT o_orderkey, count(l_orderkey) > 0 AND coalesce(bool_and(l_linestatus = 'F'), false) AS done FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def all_match(t):
     joined = t.orders.select("o_orderkey").join(t.lineitem.select("l_orderkey", "l_linestatus"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    done = (F.count("l_orderkey") > 0) & F.coalesce(F.bool_and(F.col("l_linestatus") == "F"), F.lit(False))
-    return joined.groupBy("o_orderkey").agg(done.alias("done"))
+    return joined.groupBy("o_orderkey").agg(E.all_match(F.col("l_orderkey"), F.col("l_linestatus") == "F").alias("done"))
 
 
 @query("""WITH calls AS (SELECT l_orderkey, count(*) AS llm_calls, sum(l_quantity::BIGINT)::BIGINT AS tokens, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)))::DOUBLE AS cost,
@@ -131,10 +130,8 @@ def all_match(t):
     SELECT o_orderkey, coalesce(llm_calls, 0) AS llm_calls, coalesce(tokens, 0) AS tokens, coalesce(cost, 0) AS cost, coalesce(rounds, 0) AS rounds,
     greatest(0, datediff('second', o_orderdate, last)) AS duration_s FROM orders LEFT JOIN calls ON l_orderkey = o_orderkey""")
 def metrics_row(t):
-    calls = t.lineitem.groupBy("l_orderkey").agg(
-        F.count("*").alias("llm_calls"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.sum(cost()).cast("double").alias("cost"),
-        F.count_distinct(F.when(F.col("l_returnflag") != "N", F.col("l_linenumber"))).alias("rounds"), F.max("l_shipdate").alias("last"),
-    )
+    rounds = F.when(F.col("l_returnflag") != "N", F.col("l_linenumber"))
+    calls = E.call_metrics(t.lineitem, "l_orderkey", F.col("l_quantity").cast("long"), cost(), rounds, "l_shipdate")
     joined = t.orders.join(calls, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("llm_calls", "tokens", "cost", "rounds")]
     seconds = F.unix_seconds(F.col("last").cast("timestamp")) - F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
