@@ -131,11 +131,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.try_divide(both.cast("double"), F.size(a) + F.size(b) - both)
-
-
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 less the cosine, in double; null if the lengths differ."""
     wide = lambda v: F.transform(v, lambda x: x.cast("double"))

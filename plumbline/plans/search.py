@@ -137,9 +137,9 @@ def token_estimate(t):
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 100) || chr(10) || '... [' || (length(text) - 300) || ' characters left out] ...' || chr(10) || right(text, 200) END AS short,
-    CASE WHEN length(flat) > 80 THEN substr(flat, 1, 80) || '…' ELSE flat END AS line FROM (SELECT *, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS flat FROM documents)""")
+    CASE WHEN length(flat) > 80 THEN substr(flat, 1, 80) || '…' ELSE flat END AS line, array_to_string(string_split(text, chr(10))[-3:], chr(10)) AS tail FROM (SELECT *, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS flat FROM documents)""")
 def truncate_headtail(t):
-    return t.documents.select("doc_id", T.head_and_tail(F.col("text"), 300).alias("short"), T.abbreviate(F.col("text"), 80).alias("line"))
+    return t.documents.select("doc_id", T.head_and_tail(F.col("text"), 300).alias("short"), T.abbreviate(F.col("text"), 80).alias("line"), T.last_lines(F.col("text"), 3).alias("tail"))
 
 
 @query("""SELECT page_id, split_part(url, '#', 1) AS owner, CASE WHEN instr(url, '#') > 1 THEN split_part(url, '#', 1) END AS type, array_to_string(string_split(url, '/')[-2:], '/') AS tail,
@@ -173,7 +173,6 @@ def content_hash_compare(t):
     return hashed.join(first, F.col("h") == F.col("hash")).select("doc_id", "hash", (F.col("first") != F.col("doc_id")).alias("repeated"), same.alias("same"))
 
 
-HOSTS = [("http://th", "th"), ("https://m", "mobile"), ("https://th", "secure-th")]
 URL_SQL = "regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
 
 

@@ -284,11 +284,21 @@ def overdue_gates(t):
     return S.compare_and_set(t.orders, "o_orderstatus", "P", "F", late).select("o_orderkey", "changed", "o_orderstatus")
 
 
-@query("""SELECT event_id, CASE WHEN value < 1000 THEN floor(value)::BIGINT || ' ms' ELSE NULL END AS took, event_type || ':' || user_id AS key, user_id::VARCHAR AS suffix, 'other' AS category,
-    event_type || ':' || user_id || ':' || event_id AS idempotency FROM events WHERE value < 1000""")
+NAMES = {"view": "task", "click": "llm:PLAN", "purchase": "sandbox:mvn", "error": "node:rewrite:a/b/C.java"}
+
+
+@query(f"""WITH named AS (SELECT *, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items())} ELSE event_type || ':' || user_id END AS key, floor(value * (CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 50 WHEN 2 THEN 3000 ELSE 100000 END)) AS ms FROM events),
+    parts AS (SELECT *, floor(ms / 1000 + 0.5)::BIGINT AS s, floor(ms / 100 + 0.5)::BIGINT AS tenths FROM named)
+    SELECT event_id, CASE WHEN ms < 1000 THEN ms::BIGINT || ' ms' WHEN tenths < 600 THEN (tenths // 10) || '.' || (tenths % 10) || ' s' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s // 60 % 60) || 'm' END AS took,
+    key, nullif(substr(key, strpos(key, ':') + 1), CASE WHEN strpos(key, ':') = 0 THEN key END) AS suffix, CASE WHEN key = 'task' THEN 'task' WHEN key LIKE 'llm:%' THEN 'llm' WHEN key LIKE 'sandbox:%' THEN 'sandbox' WHEN key LIKE 'node:%' THEN 'node' ELSE 'other' END AS category,
+    CASE WHEN strpos(key, ':') = 0 THEN key ELSE split_part(key, ':', 1) || ': ' || string_split(substr(key, strpos(key, ':') + 1), '/')[-1] END AS short, event_type || ':' || user_id || ':' || event_id AS idempotency FROM parts""")
 def key_texts(t):
+    user = F.col("user_id")
     key = F.concat_ws(":", "event_type", "user_id")
-    return t.events.where("value < 1000").select(
-        "event_id", T.duration_text(F.col("value")).alias("took"), key.alias("key"), T.key_suffix(key).alias("suffix"), T.span_category(key).alias("category"),
-        T.idempotency_key(F.col("event_type"), F.col("user_id"), F.col("event_id")).alias("idempotency"),
+    for kind, name in NAMES.items():
+        key = F.when(F.col("event_type") == kind, name).otherwise(key)
+    scale = F.when(user % 4 == 0, 1).when(user % 4 == 1, 50).when(user % 4 == 2, 3000).otherwise(100_000)
+    return t.events.withColumn("key", key).select(
+        "event_id", T.duration_text(F.floor(F.col("value") * scale)).alias("took"), "key", T.key_suffix(F.col("key")).alias("suffix"), T.span_category(F.col("key")).alias("category"),
+        T.short_name(F.col("key")).alias("short"), T.idempotency_key(F.col("event_type"), user, F.col("event_id")).alias("idempotency"),
     )

@@ -197,6 +197,8 @@ def test_files(spark, tmp_path):
         (tmp_path / "runs" / name / "runs.json").write_text(json.dumps([{"caseId": "a", "status": status, "metrics": {"testsTotal": 3}, "more": 1}]))
     got = files.latest_runs(spark, str(tmp_path / "runs")).first()
     assert got["status"] == "SUCCEEDED" and got["metrics"]["testsTotal"] == 3
+    files.write_runs(files.latest_runs(spark, str(tmp_path / "runs")), str(tmp_path / "again"))
+    assert spark.read.schema(files.RUN).json(str(tmp_path / "again")).first() == got
     reports = tmp_path / "r" / "surefire-reports"
     reports.mkdir(parents=True)
     (reports / "TEST-a.xml").write_text('<testsuite tests="4" failures="1" errors="0" skipped="1"><testcase name="m" classname="A"><failure>no</failure></testcase><testcase name="n" classname="A"/></testsuite>')
