@@ -1,74 +1,62 @@
 """Preference formatting of chosen and rejected conversations.
 
-A conversation is its steps: all distinct (role, text) items of one turn number, in order of role and text.
-The prompt is the longest common prefix of the two conversations' steps, rendered once; what follows in each
-is its completion, with the spans (code points in the completion, end exclusive) that are to be learnt: the
-assistant's texts with their end mark. Everything else is masked.
+A conversation is its items: the distinct (role, text) of each turn, in order of turn, role and text. The prompt
+is the longest common prefix of the two conversations' turns, rendered once; what follows in each is its
+completion. Turns are compared without gathering them: an item that only one side has makes its turn differ,
+and the prompt ends before the first such turn. The rendered text comes in pieces, one for each item, with the
+place where it starts in its part (running sums over range partitions), so a conversation of any length lies
+in many tasks; the pieces of a part, joined in the order of their starts, are its text. A completion's pieces
+of the assistant have the span that is to be learnt (code points in the completion, end exclusive): its text
+with the end mark. Everything else is masked.
 
 A null role is rendered as `user`, a null text as empty. Repeated rows are one item. Rows with a null
-conversation or turn belong nowhere and are left out. Equal conversations give empty completions. A rendered
-conversation is one value, so its turns meet in one task; steps are compared one by one before that.
+conversation or turn belong nowhere and are left out. Equal conversations have no completions; a table without
+rows gives none. Further columns, of any name, are not read. A very long text is one piece.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import running_total
+
 HEAD, BODY, END = "<|im_start|>", "\n", "<|im_end|>\n"
 LEARNT = "assistant"
+KEYS = ["conv_id", "turn", "role", "text"]
 
 
-def steps(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, items) of turns with conv_id, turn, role and text."""
-    item = F.struct(F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def items(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) of the distinct items of turns with these columns."""
     rows = turns.where("conv_id is not null and turn is not null")
-    return rows.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_set(item)).alias("items"))
+    return rows.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
 
 
 def alternatives(chosen: DataFrame) -> DataFrame:
-    """For each conversation a rejected one: its last assistant step is replaced by its first, or by an empty
-    text where it has but one; conversations without an assistant stay as they are."""
-    answers = chosen.where(F.exists("items", lambda x: x["role"] == LEARNT))
-    ends = answers.groupBy(F.col("conv_id").alias("c")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.min_by("items", "turn").alias("reply"))
-    empty = F.array(F.struct(F.lit(LEARNT).alias("role"), F.lit("").alias("text")))
+    """For each conversation a rejected one: the items of its last turn with an assistant are replaced by those of the
+    first such turn, or by an empty answer where it has but one; conversations without an assistant stay as they are."""
+    ends = chosen.where(F.col("role") == LEARNT).groupBy(F.col("conv_id").alias("c")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
     joined = chosen.join(ends, chosen.conv_id == F.col("c"), "left")
-    items = F.when(F.col("turn") != F.coalesce("last", F.col("turn") + 1), F.col("items")).when(F.col("first") < F.col("last"), F.col("reply")).otherwise(empty)
-    return joined.select("conv_id", "turn", items.alias("items"))
-
-
-def _rendered(kept: Column) -> tuple[Column, Column]:
-    """The text of sorted (turn, items) and the learnt spans in it."""
-    items = F.flatten(F.transform(kept, lambda s: s["items"]))
-    parts = F.transform(items, lambda x: F.struct((x["role"] == LEARNT).alias("learnt"), F.concat(F.lit(HEAD), x["role"], F.lit(BODY)).alias("head"), F.concat(x["text"], F.lit(END)).alias("body")))
-    text = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"])), "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        body = acc["at"] + F.length(p["head"])
-        end = body + F.length(p["body"])
-        spans = F.when(p["learnt"], F.concat(acc["spans"], F.array(F.concat_ws(":", body, end)))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    return text, F.aggregate(parts, start, step, lambda acc: F.array_join(acc["spans"], ","))
+    stay = joined.where("last is null or turn <> last").select(*KEYS)
+    again = joined.where("turn = first and first < last").select("conv_id", F.col("last").alias("turn"), "role", "text")
+    blank = ends.where("first = last").select(F.col("c").alias("conv_id"), F.col("last").alias("turn"), F.lit(LEARNT).alias("role"), F.lit("").alias("text"))
+    return stay.union(again).union(blank)
 
 
 def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Of two tables of steps, per conv_id: prompt, both completions and their learnt spans."""
-    sides = chosen.select("conv_id", "turn", F.lit(0).alias("side"), "items").union(rejected.select("conv_id", "turn", F.lit(1).alias("side"), "items"))
-    pairs = sides.groupBy("conv_id", "turn").agg(*[F.max(F.when(F.col("side") == i, F.col("items"))).alias(name) for i, name in enumerate(("c", "r"))])
-    differ = F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("turn"))
-    every = pairs.groupBy("conv_id").agg(F.min(differ).alias("cut"), F.array_sort(F.collect_list(F.struct("turn", "c", "r"))).alias("steps"))
-    same = F.filter("steps", lambda s: F.col("cut").isNull() | (s["turn"] < F.col("cut")))
-    out = {"prompt": _rendered(F.transform(same, lambda s: F.struct(s["c"].alias("items"))))[0]}
-    for name, side in (("chosen", "c"), ("rejected", "r")):
-        out[name], out[f"{name}_learnt"] = _rendered(_rest(side))
-    return every.select("conv_id", F.size(same).cast("long").alias("n_prompt_turns"), *[v.alias(k) for k, v in out.items()])
-
-
-def _rest(side: str) -> Column:
-    after = F.filter("steps", lambda s: (s["turn"] >= F.col("cut")) & s[side].isNotNull())
-    return F.coalesce(F.transform(after, lambda s: F.struct(s[side].alias("items"))), F.array().cast("array<struct<items:array<struct<role:string,text:string>>>>"))
+    """Of two tables of items: conv_id, part (prompt, chosen or rejected), turn, role, rendered, start and learnt (start:end)."""
+    sides = chosen.select(*KEYS, F.lit(True).alias("c")).union(rejected.select(*KEYS, F.lit(False)))
+    every = sides.groupBy(*KEYS).agg(F.bool_or("c").alias("c"), F.bool_or(~F.col("c")).alias("r"))
+    cuts = every.where("c <> r").groupBy(F.col("conv_id").alias("cut_id")).agg(F.min("turn").alias("cut"))
+    joined = every.join(cuts, every.conv_id == F.col("cut_id"), "left")
+    after = F.col("turn") >= F.col("cut")
+    parts = F.when(F.coalesce(after, F.lit(False)), F.array_compact(F.array(F.when(F.col("c"), "chosen"), F.when(F.col("r"), "rejected")))).otherwise(F.array(F.lit("prompt")))
+    body = F.concat("text", F.lit(END))
+    rows = joined.select("conv_id", F.explode(parts).alias("part"), "turn", "role", F.concat(F.lit(HEAD), "role", F.lit(BODY)).alias("head"), body.alias("body"))
+    rows = rows.withColumn("size", (F.length("head") + F.length("body")).cast("long"))
+    placed = running_total(rows, ["turn", "role", "body"], "size", "start", ["conv_id", "part"])
+    learnt = F.when((F.col("part") != "prompt") & (F.col("role") == LEARNT), F.concat_ws(":", F.col("start") + F.length("head"), F.col("start") + F.col("size")))
+    return placed.select("conv_id", "part", "turn", "role", F.concat("head", "body").alias("rendered"), "start", learnt.alias("learnt"))
 
 
 def preferences_sql() -> str:
@@ -81,18 +69,13 @@ def preferences_sql() -> str:
         SELECT i.* FROM items i LEFT JOIN ends e USING (conv_id) WHERE e.last IS NULL OR i.turn <> e.last
         UNION ALL SELECT conv_id, last, '{LEARNT}', '' FROM ends WHERE first = last
         UNION ALL SELECT conv_id, e.last, i.role, i.text FROM ends e JOIN items i USING (conv_id) WHERE i.turn = e.first AND e.first < e.last),
-    sides AS (SELECT 'c' AS side, * FROM items UNION ALL SELECT 'r' AS side, * FROM rejected),
-    rendered AS (SELECT *, '{HEAD}' || role || chr(10) AS head, text || '{end} AS body FROM sides),
-    steps AS (SELECT conv_id, turn, string_agg(head || body, '' ORDER BY role, text) FILTER (side = 'c') AS c, string_agg(head || body, '' ORDER BY role, text) FILTER (side = 'r') AS r FROM rendered GROUP BY ALL),
+    steps AS (SELECT conv_id, turn, list(role || chr(0) || text ORDER BY role, text) FILTER (side = 'c') AS c, list(role || chr(0) || text ORDER BY role, text) FILTER (side = 'r') AS r
+        FROM (SELECT 'c' AS side, * FROM items UNION ALL SELECT 'r', * FROM rejected) GROUP BY ALL),
     cuts AS (SELECT conv_id, min(turn) FILTER (c IS DISTINCT FROM r) AS cut FROM steps GROUP BY ALL),
-    rest AS (
-        SELECT side, conv_id, turn, role, text, head, body, sum(length(head) + length(body)) OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) - length(body) AS start
-        FROM rendered JOIN cuts USING (conv_id) WHERE turn >= cut),
-    learnt AS (SELECT conv_id,
-        string_agg(start || ':' || (start + length(body)), ',' ORDER BY turn, role, text) FILTER (side = 'c' AND role = '{LEARNT}') AS c,
-        string_agg(start || ':' || (start + length(body)), ',' ORDER BY turn, role, text) FILTER (side = 'r' AND role = '{LEARNT}') AS r FROM rest GROUP BY ALL)
-    SELECT s.conv_id, (count(*) FILTER (cut IS NULL OR turn < cut))::BIGINT AS n_prompt_turns,
-        coalesce(string_agg(s.c, '' ORDER BY turn) FILTER (cut IS NULL OR turn < cut), '') AS prompt,
-        coalesce(string_agg(s.c, '' ORDER BY turn) FILTER (turn >= cut), '') AS chosen, coalesce(any_value(l.c), '') AS chosen_learnt,
-        coalesce(string_agg(s.r, '' ORDER BY turn) FILTER (turn >= cut), '') AS rejected, coalesce(any_value(l.r), '') AS rejected_learnt
-    FROM steps s JOIN cuts USING (conv_id) LEFT JOIN learnt l USING (conv_id) GROUP BY s.conv_id"""
+    parts AS (SELECT conv_id, 'prompt' AS part, turn, role, text FROM items JOIN cuts USING (conv_id) WHERE cut IS NULL OR turn < cut
+        UNION ALL SELECT conv_id, 'chosen', turn, role, text FROM items JOIN cuts USING (conv_id) WHERE turn >= cut
+        UNION ALL SELECT conv_id, 'rejected', turn, role, text FROM rejected JOIN cuts USING (conv_id) WHERE turn >= cut),
+    pieces AS (SELECT *, '{HEAD}' || role || chr(10) AS head, text || '{end} AS body FROM parts),
+    placed AS (SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part ORDER BY turn, role, body ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM pieces)
+    SELECT conv_id, part, turn, role, head || body AS rendered, stop - length(head) - length(body) AS start,
+        CASE WHEN part <> 'prompt' AND role = '{LEARNT}' THEN (stop - length(body)) || ':' || stop END AS learnt FROM placed"""

@@ -51,7 +51,7 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = chat.steps(table(spark, sf_dir, "conversations"))
+    chosen = chat.items(table(spark, sf_dir, "conversations"))
     return chat.preferences(chosen, chat.alternatives(chosen))
 
 

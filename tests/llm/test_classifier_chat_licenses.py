@@ -69,7 +69,8 @@ def test_equals_sql(spark, name):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     found = queries.queries()[name](spark, SMALL)
     other = db.sql(queries.oracle_sql()[name])
-    assert sorted(tuple(r) for r in found.select(*sorted(found.columns)).collect()) == sorted(other.select(", ".join(sorted(other.columns))).fetchall())
+    ours, theirs = [tuple(r) for r in found.select(*sorted(found.columns)).collect()], other.select(", ".join(sorted(other.columns))).fetchall()
+    assert sorted(ours, key=repr) == sorted(theirs, key=repr)
 
 
 def test_licences(spark, documents, odd):
@@ -154,12 +155,51 @@ def test_preferences(spark):
         (2, 0, None, "ask"), (2, 1, "assistant", "only"), (3, 0, "user", "alone"), (None, 0, "user", "x"), (4, None, "user", "x"),
     ]
     turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
-    chosen = chat.steps(turns)
-    got = {r["conv_id"]: r for r in chat.preferences(chosen, chat.alternatives(chosen)).collect()}
-    assert sorted(got) == [1, 2, 3]
-    one = got[1]
-    assert one["n_prompt_turns"] == 3 and one["prompt"].count("<|im_start|>") == 3
-    (a, b), (c, d) = ([int(x) for x in one[k].split(":")] for k in ("chosen_learnt", "rejected_learnt"))
-    assert one["chosen"][a:b] == "two<|im_end|>\n" and one["rejected"][c:d] == "é one<|im_end|>\n"
-    assert got[2]["rejected"] == "<|im_start|>assistant\n<|im_end|>\n" and got[3]["chosen"] == got[3]["rejected"] == ""
+    chosen = chat.items(turns)
+
+    def texts(found):
+        out, learnt = {}, {}
+        for r in sorted(found.collect(), key=lambda r: (r["conv_id"], r["part"], r["start"])):
+            key = r["conv_id"], r["part"]
+            assert r["start"] == len(out.get(key, ""))
+            out[key] = out.get(key, "") + r["rendered"]
+            if r["learnt"]:
+                learnt.setdefault(key, []).append(tuple(map(int, r["learnt"].split(":"))))
+        return out, learnt
+
+    got, learnt = texts(chat.preferences(chosen, chat.alternatives(chosen)))
+    assert {c for c, _ in got} == {1, 2, 3}
+    assert got[1, "prompt"].count("<|im_start|>") == 3 and got[1, "prompt"].startswith("<|im_start|>user\nhi<|im_end|>\n")
+    assert [got[1, "chosen"][a:b] for a, b in learnt[1, "chosen"]] == ["two<|im_end|>\n"]
+    assert [got[1, "rejected"][a:b] for a, b in learnt[1, "rejected"]] == ["é one<|im_end|>\n"]
+    assert got[2, "rejected"] == "<|im_start|>assistant\n<|im_end|>\n" and (3, "chosen") not in got and (3, "rejected") not in got
+    assert not [k for k in learnt if k[1] == "prompt"]
     assert chat.preferences(chosen.limit(0), chosen.limit(0)).count() == 0
+
+
+def test_preferences_equal_plain_prefixes(spark):
+    """Any two conversations, several items a turn, against prefixes of lists of turns."""
+    r = random.Random(15)
+    sides = []
+    for _ in range(2):
+        sides.append(sorted({(c, t, r.choice(["user", "assistant", "system"]), r.choice(["", "a", "b é"])) for c in range(40) for t in range(r.randint(0, 5)) for _ in range(r.randint(1, 2)) if t > 1 or r.random() < 0.1} | {(c, t, "user", f"same {t}") for c in range(40) for t in range(2)}))
+    want = {}
+    for c in range(40):
+        turns = [{t: sorted(x[2:] for x in side if x[:2] == (c, t)) for t in range(6)} for side in sides]
+        cut = next((t for t in range(6) if turns[0][t] != turns[1][t]), 6)
+        for part, own, span in (("prompt", turns[0], range(cut)), ("chosen", turns[0], range(cut, 6)), ("rejected", turns[1], range(cut, 6))):
+            text, spans = "", []
+            for t in span:
+                for role, body in own[t]:
+                    start = len(text) + len(f"<|im_start|>{role}\n")
+                    text += f"<|im_start|>{role}\n{body}<|im_end|>\n"
+                    spans += [(start, len(text))] if role == "assistant" and part != "prompt" else []
+            if text:
+                want[c, part] = text, spans
+    tables = [spark.createDataFrame(side, "conv_id long, turn long, role string, text string").repartition(3) for side in sides]
+    got = {}
+    for x in sorted(chat.preferences(*tables).collect(), key=lambda x: x["start"]):
+        text, spans = got.get((x["conv_id"], x["part"]), ("", []))
+        assert x["start"] == len(text)
+        got[x["conv_id"], x["part"]] = text + x["rendered"], spans + ([tuple(map(int, x["learnt"].split(":")))] if x["learnt"] else [])
+    assert got == want
