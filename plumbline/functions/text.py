@@ -158,3 +158,39 @@ def diff_side(diff: Column, after: bool) -> Column:
 
 def backoff_ms(attempt: Column, base: int = 1000, most: int = 30_000) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(4))), F.lit(most)).cast("long")
+
+
+def duration_seconds(text: Column) -> Column:
+    """Seconds of 24h, 5m or 30s; null for anything else."""
+    pattern = r"^([0-9]+)([hms])$"
+    unit = F.regexp_extract(F.trim(text), pattern, 2)
+    size = F.when(unit == "h", 3600).when(unit == "m", 60).when(unit == "s", 1)
+    return F.regexp_extract(F.trim(text), pattern, 1).try_cast("long") * size
+
+
+def run_id(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd-HHmmss")
+
+
+def is_split_duration(wall_ms: Column, run_ms: Column) -> Column:
+    """Whether the time on the wall is shown apart: the run's own is known and a second shorter at least."""
+    return F.coalesce(wall_ms - run_ms >= 1000, F.lit(False))
+
+
+def token_cost(prompt: Column, completion: Column, price_in: float, price_out: float) -> Column:
+    """Prices are of a million tokens."""
+    return prompt / 1e6 * F.lit(float(price_in)) + completion / 1e6 * F.lit(float(price_out))
+
+
+def percent_text(share: Column) -> Column:
+    return F.when(share.isNull(), "no sample").otherwise(F.format_string("%.1f%%", share * 100))
+
+
+def over_budget(elapsed_ms: Column, last_ms: Column, budget_ms: int) -> Column:
+    """Whether another attempt as long as the last one would pass the budget."""
+    return elapsed_ms + last_ms > budget_ms
+
+
+def xml_value(text: Column, tag: str) -> Column:
+    """The text of the first element of this name without children; null if it has none."""
+    return F.nullif(F.trim(F.regexp_extract(text, rf"<{tag}>([^<]*)</{tag}>", 1)), F.lit(""))

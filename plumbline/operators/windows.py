@@ -29,7 +29,8 @@ def greedy_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, m
 
     cost is a whole number, and the order has no ties. A round looks, of each key, at the first rows that fit
     into what is left, at most as many as their costs could fill it, so no key's rows are gathered whole; rows
-    that no longer fit are not looked at again. Rows that cost nothing fit always.
+    that no longer fit are not looked at again. Rows that cost nothing fit, unless the first
+    row alone passes the budget.
     """
     rows = checkpointed(df)
     place = F.struct(*order)
@@ -38,7 +39,7 @@ def greedy_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, m
     kept = [numbered]
     state = numbered.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(cost).cast("long").alias("__used"), place.alias("__last"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    kept.append(rows.where(F.col(cost) <= 0).join(state, same).where(place > F.col("__last")).select(*df.columns))
+    kept.append(rows.where(F.col(cost) <= 0).join(state, same).where((place > F.col("__last")) & (F.col("__used") <= most)).select(*df.columns))
     left = rows.where(F.col(cost) > 0)
     while True:
         left = checkpointed(left.join(state, same).where((place > F.col("__last")) & (F.col("__used") + F.col(cost) <= most)))
@@ -59,6 +60,23 @@ def greedy_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, m
     return out
 
 
+def curated(items: DataFrame, keys: list[str], content: str, priority: str, item: str, cost: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The items of each key that make up its context, and per key: used, kept, dropped and overflow.
+
+    Of equal contents the one of the least priority (then id) counts. They are kept in this order as the budget
+    allows, the first always; overflow says that it alone passes the budget. A budget of 0 or less keeps all.
+    """
+    distinct = items.groupBy(*keys, content).agg(F.min(F.struct(priority, item, cost)).alias("__x")).select(*keys, content, "__x.*")
+    distinct = checkpointed(distinct)
+    kept = greedy_budget(distinct.drop(content), keys, [priority, item], cost, most) if most > 0 else distinct.drop(content)
+    kept = checkpointed(kept)
+    sums = kept.groupBy(*keys).agg(F.sum(cost).alias("used"), F.count("*").alias("kept"))
+    every = distinct.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__n"))
+    joined = sums.join(every, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    overflow = (F.col("used") > most) if most > 0 else F.lit(False)
+    return kept, joined.select(*keys, "used", "kept", (F.col("__n") - F.col("kept")).alias("dropped"), overflow.alias("overflow"))
+
+
 def share_of_group(keys: list[str], start: Column, length: Column, least: float = 0.6) -> tuple[Column, Column]:
     """Offset from the group's start and width, both in per cent of the group's span, clamped."""
     by = Window.partitionBy(*keys)

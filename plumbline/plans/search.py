@@ -110,13 +110,44 @@ def prefix_budget(t):
     fold AS (SELECT source, 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS kept FROM items GROUP BY source
         UNION ALL SELECT f.source, i.n, CASE WHEN kept = 0 OR used + tokens <= 3000 THEN used + tokens ELSE used END, CASE WHEN kept = 0 OR used + tokens <= 3000 THEN kept + 1 ELSE kept END
         FROM fold f JOIN items i ON i.source = f.source AND i.n = f.n + 1)
-    SELECT source, max(used) AS used, max(kept) AS kept, max(n) - max(kept) AS dropped FROM fold GROUP BY source""")
+    SELECT source, max(used) AS used, max(kept) AS kept, max(n) - max(kept) AS dropped, max(used) > 3000 AS overflow FROM fold GROUP BY source""")
 def greedy_budget(t):
-    items = t.documents.groupBy("source", "text").agg(F.min("doc_id").alias("id"))
-    items = items.select("source", "id", T.token_estimate(F.col("text")).alias("tokens")).withColumn("priority", F.col("tokens") % 7)
-    kept = W.greedy_budget(items, ["source"], ["priority", "id"], "tokens", 3000).groupBy("source").agg(F.sum("tokens").alias("used"), F.count("*").alias("kept"))
-    every = items.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
-    return kept.join(every, F.col("source").eqNullSafe(F.col("s"))).select("source", "used", "kept", (F.col("n") - F.col("kept")).alias("dropped"))
+    tokens = T.token_estimate(F.col("text"))
+    items = t.documents.select("source", "text", (tokens % 7).alias("priority"), "doc_id", tokens.alias("tokens"))
+    return W.curated(items, ["source"], "text", "priority", "doc_id", "tokens", 3000)[1]
+
+
+@query("""WITH files AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), joined AS (SELECT f.*, v.vec_id FROM files f LEFT JOIN embeddings v ON v.vec_id = doc_id WHERE n <= 20)
+    SELECT source AS project, doc_id AS path, length(substr(text, 1, 6000)) AS n_chars, vec_id IS NOT NULL AND NOT bool_or(vec_id IS NULL) OVER (PARTITION BY source) AS has_vector FROM joined""")
+def index_build(t):
+    chunks = t.documents.select(F.col("source").alias("project"), F.col("doc_id").alias("path"), F.lit("").alias("symbol"), F.col("text").alias("content"))
+    vectors = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id")).select(F.col("source").alias("project"), F.col("doc_id").alias("path"), F.lit("").alias("symbol"), F.col("embedding").alias("vector"))
+    return V.index_rows(chunks, vectors).select("project", "path", F.length("content").cast("long").alias("n_chars"), F.col("vector").isNotNull().alias("has_vector"))
+
+
+@query("""WITH links AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+    hits AS (SELECT p_partkey AS query_id, 'p' || p_partkey AS id FROM part WHERE p_partkey % 100 = 0), one AS (SELECT DISTINCT query_id, dst AS id FROM hits JOIN links ON src = id),
+    two AS (SELECT DISTINCT o.query_id, dst AS id FROM one o JOIN links ON src = o.id WHERE dst <> 'p' || o.query_id), every AS (SELECT *, 1 AS hops FROM one UNION ALL SELECT *, 2 FROM two)
+    SELECT query_id, id, hops FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hops, id) <= 40""")
+def dependency_neighbours(t):
+    pairs = t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    links = pairs.union(pairs.select("dst", "src")).distinct()
+    hits = t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    return V.dependency_neighbours(hits, links, 2, 40)
+
+
+@query("""SELECT l_orderkey, strftime(l_shipdate, '%Y%m%d-%H%M%S') AS run_id, CASE l_partkey % 4 WHEN 0 THEN l_linenumber * 3600 WHEN 1 THEN l_linenumber * 60 WHEN 2 THEN l_linenumber END AS seconds,
+    round(l_quantity * 1000 / 1e6 * 3 + l_partkey / 1e6 * 15, 9) AS cost, CASE WHEN l_linenumber = 7 THEN 'no sample' ELSE printf('%.1f%%', l_discount * 100) END AS share, l_quantity * 1000 + l_linenumber * 1000 > 30000 AS over,
+    CASE WHEN l_linenumber = 3 THEN false ELSE l_quantity * 100 - l_linenumber * 100 >= 1000 END AS split, CASE WHEN l_partkey % 4 = 3 THEN NULL ELSE '1.' || l_linenumber END AS tag FROM lineitem""")
+def run_figures(t):
+    n, part, amount = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity").cast("double")
+    unit = F.element_at(F.array(*[F.lit(x) for x in ("h", "m", "s", "days")]), (part % 4 + 1).cast("int"))
+    xml = F.concat(F.lit("<a><v> "), F.when(part % 4 != 3, F.concat(F.lit("1."), n.cast("string"))).otherwise(""), F.lit(" </v></a>"))
+    return t.lineitem.select(
+        "l_orderkey", T.run_id(F.col("l_shipdate")).alias("run_id"), T.duration_seconds(F.concat(n.cast("string"), unit)).alias("seconds"), F.round(T.token_cost(amount * 1000, part, 3, 15), 9).alias("cost"),
+        T.percent_text(F.when(n != 7, F.col("l_discount").cast("double"))).alias("share"), T.over_budget(amount * 1000, n * 1000, 30_000).alias("over"),
+        T.is_split_duration(amount * 100, F.when(n != 3, n * 100)).alias("split"), T.xml_value(xml, "v").alias("tag"),
+    )
 
 
 @query("""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: length(w) >= 2)[1:1], '') AS head,
