@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DataType, LongType
 
 from .common import checkpointed, text_of
 
@@ -205,12 +205,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest id.
 
-    groups gives each row's doc_id and component_id. Of several rows with that id the first by text stays. Rows with a null id stay: no id stands for them.
+    groups gives each row's doc_id and component_id. Of several rows with that id the first by text stays (then by the
+    other columns that have an order). Rows with a null id stay: no id stands for them. The groups are kept as ids,
+    so the rows themselves are only looked up.
     """
-    found = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(found, docs.doc_id == found.keep_id, "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    several = kept.join(twice, "doc_id", "left_semi")
+    by_id = groups(docs).groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    found = checkpointed(by_id.where("stays"))
     names = docs.columns
-    one = several.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in names if c not in ("doc_id", "text")])).alias("x")).select("doc_id", "x.*").select(*names)
-    return kept.join(twice, "doc_id", "left_anti").select(*names).unionByName(one).unionByName(docs.where("doc_id is null"))
+    kept = docs.join(found.where("rows = 1"), docs.doc_id == F.col("keep_id"), "left_semi")
+    several = docs.join(found.where("rows > 1"), docs.doc_id == F.col("keep_id"), "left_semi")
+    ordered = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and not _unordered(f.dataType)]
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct("text", *ordered)).alias("x")).select("x.*")
+    return kept.unionByName(one).unionByName(docs.where("doc_id is null"))
+
+
+def _unordered(kind: DataType) -> bool:
+    """Whether a type holds a map or a variant, which have no order."""
+    return any(word in kind.simpleString() for word in ("map<", "variant"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from plumbline.llm import near_copies, simhash
+from pyspark.sql import functions as F
 
 
 def brute(text):
@@ -99,7 +100,7 @@ def test_stage_takes_what_three_bits_leave(spark, documents):
 
 
 def test_odd_documents(spark, documents, odd):
-    df = documents(odd, extra=True)
+    df = documents(odd, extra=True).withColumn("more", F.create_map(F.lit("a"), F.col("doc_id")))
     kept = simhash.deduplicated(df, near_copies.near_copies)
     assert kept.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "6", "8", "None"]
