@@ -32,8 +32,8 @@ MAX_COVERED = 0.10
 LONG_REPEAT = 30
 LONG_SHARE = 0.05
 SYMBOLS = b"#*$%&|<>"
-#: Words of two suffixes that are compared for all pairs together; longer common prefixes pair by pair.
-STEPS = 32
+#: Words of two suffixes that are compared for all pairs together; longer common prefixes, and a few pairs, one by one.
+STEPS, FEW = 32, 6
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, covered_words long, base_failed boolean, kept boolean, spans string"
 
@@ -99,13 +99,15 @@ def prefixes(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
     follows[follows] = ids[own[follows] - 1] == ids[before[follows] - 1]
     out = np.zeros(n, dtype=np.int32)
     open_ = own[~follows & (before >= 0)]
-    for step in range(STEPS):
+    step = 0
+    while len(open_) > FEW and step < STEPS:
         there = np.maximum(open_, before[open_]) < n - step
         open_ = open_[there]
         open_ = open_[ids[open_ + step] == ids[before[open_] + step]]
-        out[open_] = step + 1
+        step += 1
+        out[open_] = step
     for i in open_.tolist():
-        out[i] = _common(ids, i, int(before[i]), STEPS)
+        out[i] = _common(ids, i, int(before[i]), step)
     last = np.maximum.accumulate(np.where(follows, 0, own))
     return np.where(follows, out[last] - (own - last), out)
 
