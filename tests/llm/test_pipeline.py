@@ -23,3 +23,19 @@ def test_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, TINY)
     assert packed.where("piece = 0").count() == docs.count()
     assert corpus_pipeline.run(spark, TINY).count() == packed.count()
+
+
+def test_odd_rows_and_an_empty_table(spark, documents, odd):
+    long = " ".join(f"word{i}" for i in range(60_000))
+    secret = "The key stands here and must go: password = hunter2secret9 and so on for all of these words"
+    docs = documents([*odd, (20, long, "c"), (21, secret, "b"), (21, secret, "b")], extra=True)
+    for df, want in ((docs, {4, 5, 20, 21, None}), (docs.limit(0), set())):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, "")
+            assert out.columns == df.columns
+            df = corpus_pipeline.written(out, "odd")
+            gone = {5} if name != "quality_rules" else set()  # a near copy of 4
+            assert {r["doc_id"] for r in df.select("doc_id").collect()} <= want - gone
+        assert not df.where("text like '%hunter2%'").count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, df, "")
+        assert packed.where("piece = 0").count() == df.count()
