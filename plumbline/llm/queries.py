@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, media, mixing, neighbours, packing, pfor, repetition, secrets, simhash
+from . import alignment, chat, licenses, media, mixing, neighbours, packing, pfor, repair, repetition, secrets, simhash, toxicity
 from .common import checkpointed, table
 
 
@@ -18,6 +18,13 @@ def vocabulary(spark: SparkSession) -> str:
     return spark.conf.get("spark.plumbline.tokenizer", None) or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_model(spark: SparkSession) -> str:
+    """The path of the second tokenizer's model: spark.plumbline.pieces, or the installed public one."""
+    import public_tokenizers
+
+    return spark.conf.get("spark.plumbline.pieces", None) or public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -75,6 +82,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", neighbours.held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary(spark), pieces_model(spark))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    edits, reports = repair.repair(repair.damaged(turns))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    same = lambda df: F.col("conv_id").eqNullSafe(F.col(df))
+    every = turns.select("conv_id").distinct()
+    every = every.join(reports.withColumnRenamed("conv_id", "r"), same("r"), "left").join(repair.digests(edits).withColumnRenamed("conv_id", "d"), same("d"), "left")
+    counts = [number(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(repair.EMPTY)).alias("repaired_sha256"))
+
+
 OPERATORS = (
     op1_simhash_near_dedup,
     op2_media_clips,
@@ -86,6 +115,9 @@ OPERATORS = (
     op8_quality_rules,
     op9_mixing_sources,
     op10_quality_classifier,
+    op11_toxicity,
+    op12_token_alignment,
+    op13_structure_repair,
 )
 
 
