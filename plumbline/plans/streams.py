@@ -6,6 +6,8 @@ from ..functions.scratch import fresh_path
 from ..operators import traces as R
 from ..operators.store import top
 from ..streaming import streams as S
+from ..streaming import timers as W
+from ..streaming.tables import Landing
 from .registry import query
 
 
@@ -33,7 +35,13 @@ def stream_bad_rows(t):
 
 @query("SELECT 'errors' AS sink, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events")
 def stream_fanout(t):
-    sinks = {"errors": lambda b: b.where("event_type = 'error'").select("event_id"), "users": lambda b: b.select("user_id").distinct(), "broken": lambda b: b.select("no_such_column")}
+    tries = []
+
+    def passing(b):  # fails in a task, once
+        tries.append(1)
+        return b.select(F.when(F.lit(len(tries) == 1) & (F.col("event_type") == "error"), F.raise_error(F.lit("a passing fault")).cast("long")).otherwise(F.col("user_id")).alias("user_id")).distinct()
+
+    sinks = {"errors": lambda b: b.where("event_type = 'error'").select("event_id"), "users": passing, "broken": lambda b: b.select("no_such_column")}
     found, _ = S.fan_out(_events(t), sinks, "fan")
     errors = found["errors"].agg(F.lit("errors").alias("sink"), F.count("*").alias("n"))
     return errors.union(found["users"].distinct().agg(F.lit("users"), F.count("*")))
@@ -52,7 +60,7 @@ def stream_span_export(t):
     rows = _events(t).select("event_id", parent.alias("parent"), F.array("event_type").alias("attributes"))
     folder = fresh_path(t.spark, "stream-spans")
     S.export_spans(rows, folder, every=None).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/rows/batch=*").select("event_id", F.col("parent").alias("p"), "attributes")
+    return Landing(t.spark, f"{folder}/rows").read(S.span_rows(rows).schema).select("event_id", F.col("parent").alias("p"), "attributes")
 
 
 PROJECTION_SQL = """SELECT user_id, min(ts) AS started, arg_max(event_type, (ts, event_id)) AS last_kind, max(ts) AS last_seen, min(ts) FILTER (event_type IN ('purchase', 'error')) AS finished, count(*) AS n FROM events GROUP BY user_id"""
@@ -75,6 +83,33 @@ def stream_liveness_gaps(t):
     return S.gaps(rows, "user_id", "ts", "event_id", 45_000).select("event_id", "user_id", "silent_s")
 
 
+CLOCK_SQL = "clock AS (SELECT max(epoch_ms(ts)) AS c FROM events)"
+
+
+@query(f"""WITH {CLOCK_SQL}, signals AS (SELECT user_id, epoch_ms(ts) AS at, event_id, event_type <> 'view' AS good FROM events UNION ALL SELECT DISTINCT user_id, c, NULL, false FROM events, clock),
+    gaps AS (SELECT *, at - lag(at) OVER w > 45000000 AS stale, lag(at) OVER w + 45000000 AS stale_at,
+        coalesce(sum(good::INT) OVER (PARTITION BY user_id ORDER BY at, event_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM signals WINDOW w AS (PARTITION BY user_id ORDER BY at, event_id NULLS LAST))
+    SELECT user_id AS key, 'stale' AS state, min(stale_at) AS at FROM gaps WHERE stale GROUP BY user_id, part
+    UNION ALL SELECT user_id, 'recovered', max(at) FILTER (good) FROM gaps GROUP BY user_id, part HAVING bool_or(stale) AND bool_or(good)""")
+def stream_liveness_timers(t):
+    """Views are signals of the link, all other events messages; the clock is the greatest time of the stream."""
+    return W.landed(W.liveness(_events(t), "user_id", "ts", "event_id", F.col("event_type") != "view", 45_000), "watchdog")
+
+
+@query(f"""WITH {CLOCK_SQL}, moves AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS key, epoch_ms(ts) AS at, event_id AS n,
+        CASE event_type WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'REJECTED' ELSE 'opened' END AS kind FROM events),
+    opened AS (SELECT key, min(at) AS opened, arg_min(n, (at, n)) AS by FROM moves WHERE kind = 'opened' GROUP BY key),
+    decisions AS (SELECT m.*, coalesce((at > opened OR at = opened AND n > by) AND at - opened <= 14400000, false) AS timely FROM moves m LEFT JOIN opened USING (key) WHERE kind <> 'opened'),
+    marked AS (SELECT *, timely AND row_number() OVER (PARTITION BY key, timely ORDER BY at, n) = 1 AS wins FROM decisions)
+    SELECT key, CASE WHEN wins THEN kind ELSE 'REFUSED' END AS status, 'user' AS reviewer, at FROM marked
+    UNION ALL SELECT key, 'REJECTED', 'system', opened + 14400000 FROM opened, clock WHERE c - opened > 14400000 AND key NOT IN (SELECT key FROM marked WHERE wins)""")
+def stream_gate_timers(t):
+    """A gate for each user and day: the first of other events opens it, purchases approve and errors reject."""
+    gate = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    kind = F.when(F.col("event_type") == "purchase", "APPROVED").when(F.col("event_type") == "error", "REJECTED").otherwise("opened")
+    return W.landed(W.gates(_events(t).withColumn("gate", gate), "gate", "ts", "event_id", kind, 14_400), "gates")
+
+
 @query("""SELECT DISTINCT ts, user_id, event_type FROM (SELECT ts, user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-20' UNION ALL SELECT ts, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10') ORDER BY ts DESC, user_id, event_type LIMIT 50""")
 def stream_snapshot_history(t):
     snapshot = t.events.where("ts < TIMESTAMP_NTZ '2024-01-20'").select("ts", "user_id", "event_type")

@@ -1,23 +1,24 @@
 """Streaming operators: at-least-once landing, bad rows, acknowledgement, fan-out, projections, buffers, liveness.
 
-Streams run with Structured Streaming and land in Parquet tables, one folder for each micro-batch number, so a
-batch that is delivered again replaces itself. Every operator takes the folder that holds its state and its
-tables: called again with it, a stream goes on where its checkpoint ends; without one it begins afresh in a new
-folder of the shared place. `every` gives a processing-time trigger (and the query runs until it is stopped);
-without it a stream takes what is there now, in micro-batches, and ends.
+Streams run with Structured Streaming and land in Parquet tables with a ledger of whole batches (`tables.Landing`), so a
+batch that is delivered again replaces itself and one that failed halfway is never read. Every operator takes the folder
+that holds its state and its tables: called again with it, a stream goes on where its checkpoint ends; without one it
+begins afresh in a new folder of the shared place. `every` gives a processing-time trigger (and the query runs until it is
+stopped); without it a stream takes what is there now, in micro-batches, and ends.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scratch import fresh_path
 from ..operators.windows import last_n
+from .tables import Landing
 
 BUFFER, BUFFERS = 50, 200
 SPANS_PER_BATCH, SPANS_EVERY = 512, "2 seconds"
@@ -26,11 +27,15 @@ SPANS_PER_BATCH, SPANS_EVERY = 512, "2 seconds"
 def source(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     """A stream of a Parquet file or of those in a folder; the schema is that of what is there.
 
-    The path is given as a pattern, since a plain path must be a folder.
+    The path is given as a pattern, since a plain path must be a folder: what would be a pattern's sign stands for itself.
     """
-    schema = spark.read.parquet(path).schema
-    path = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("ignoreMissingFiles", "true").parquet(path)
+    path = path.rstrip("/")
+    if re.search("[{}]", path):
+        raise ValueError("a path with braces can't be given as a pattern")
+    plain = re.sub(r"([\[\]*?\\])", r"\\\1", path)
+    pattern = plain if plain != path else f"{path[:-1]}[{path[-1]}]"
+    schema = spark.read.parquet(pattern).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("ignoreMissingFiles", "true").parquet(pattern)
 
 
 def start(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append", every: str | None = None) -> StreamingQuery:
@@ -45,29 +50,23 @@ def run(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None],
 
 
 def batches(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the batches that were written below a path, in order."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
-
-
-def _written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """What all batches below a path hold."""
-    numbers = batches(spark, path)
-    if not numbers:
-        return spark.createDataFrame([], like.schema)
-    return spark.read.schema(like.schema).parquet(*[f"{path}/batch={n}" for n in numbers])
+    """The numbers of the batches that lie whole below a path, in order."""
+    return Landing(spark, path).batches()
 
 
 def landed(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """What a stream wrote. In complete mode only the last batch counts."""
     spark = stream.sparkSession
     folder = folder or fresh_path(spark, f"stream-{name}")
-    run(stream, folder, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}"), mode)
-    if mode == "complete" and (numbers := batches(spark, f"{folder}/rows")):
-        return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch={numbers[-1]}")
-    return _written(spark, f"{folder}/rows", stream)
+    rows = Landing(spark, f"{folder}/rows")
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows.write(batch, number)
+        if mode == "complete":
+            rows.keep_last(number)
+
+    run(stream, folder, write, mode)
+    return rows.read(stream.schema)
 
 
 def good_and_bad(stream: DataFrame, good: Column, name: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -80,70 +79,75 @@ def good_and_bad(stream: DataFrame, good: Column, name: str, folder: str | None
 def acknowledged(stream: DataFrame, process: Callable[[DataFrame], DataFrame], ended: Column, name: str, folder: str | None = None, tries: int = 3) -> DataFrame:
     """What process made of a stream's rows, under the rule of acknowledgement.
 
-    A batch is acknowledged (its checkpoint goes on) unless process fails and some of its rows are not ended:
-    then it is tried again, and after the last try the failure ends the stream with the batch not acknowledged,
+    A batch is acknowledged (its checkpoint goes on) unless process fails, in whatever way, and some of its rows are not
+    ended: then it is tried again, and after the last try the failure ends the stream with the batch not acknowledged,
     so that the next run with the folder is given it again. If all rows of a failing batch are ended, it is
     acknowledged without a result.
     """
     spark = stream.sparkSession
     folder = folder or fresh_path(spark, f"stream-{name}")
-    kind = spark.createDataFrame([], stream.schema)
+    rows, kind = Landing(spark, f"{folder}/rows"), spark.createDataFrame([], stream.schema)
 
     def write(batch: DataFrame, number: int) -> None:
         for left in reversed(range(tries)):
             try:
-                process(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+                rows.write(process(batch), number)
                 return
-            except PySparkException:
+            except Exception:
                 if not batch.where(~F.coalesce(ended, F.lit(False))).limit(1).count():
-                    process(kind).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+                    rows.write(process(kind), number)
                     return
                 if not left:
                     raise
 
     run(stream, folder, write)
-    return _written(spark, f"{folder}/rows", process(kind))
+    return rows.read(process(kind).schema)
 
 
-def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], name: str, folder: str | None = None) -> tuple[dict[str, DataFrame], dict[str, list[int]]]:
+def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], name: str, folder: str | None = None, heartbeat: Column | None = None) -> tuple[dict[str, DataFrame], dict[str, list[int]]]:
     """Several tables from one stream, and of each sink the batches that it still lacks.
 
-    A sink that fails leaves the others alone. Its batch is kept as it came and tried again with each later
-    batch, at the end, and by later runs with the folder, so that a passing fault loses no rows.
+    A sink that fails, whether in a task, in its own code or in the store, leaves the others alone. Its batch is kept as it
+    came and tried again with each later batch, at the end, and by later runs with the folder, until it is in the sink's
+    ledger, so that a passing fault loses no rows. Rows of the heartbeat are for the link alone and reach no sink.
     """
     spark = stream.sparkSession
     folder = folder or fresh_path(spark, f"stream-{name}")
+    tables = {s: Landing(spark, f"{folder}/{s}") for s in sinks}
+    kept = Landing(spark, f"{folder}/kept", apart=1 << 30)  # batches stay apart, since each is tried by itself
+    stream = stream if heartbeat is None else stream.where(~F.coalesce(heartbeat, F.lit(False)))
 
     def attempt(sink: str, number: int, batch: DataFrame) -> bool:
         try:
-            sinks[sink](batch).write.mode("overwrite").parquet(f"{folder}/{sink}/batch={number}")
+            tables[sink].write(sinks[sink](batch), number)
             return True
-        except PySparkException:  # one listener's fault isn't another's
+        except Exception:  # one listener's fault isn't another's
             return False
 
     def lacking() -> dict[str, list[int]]:
-        kept = batches(spark, f"{folder}/kept")
-        return {s: [n for n in kept if n not in done] for s in sinks for done in [set(batches(spark, f"{folder}/{s}"))]}
+        return {s: [n for n in kept.batches() if not t.done(n)] for s, t in tables.items()}
 
     def again() -> None:
         for sink, numbers in lacking().items():
             for n in numbers:
-                attempt(sink, n, spark.read.schema(stream.schema).parquet(f"{folder}/kept/batch={n}"))
+                attempt(sink, n, kept.batch(n, stream.schema))
+        lost = {n for numbers in lacking().values() for n in numbers}
+        for n in set(kept.batches()) - lost:
+            kept._drop(f"batch={n}")
 
     def write(batch: DataFrame, number: int) -> None:
         again()
         batch = batch.persist()
         try:
             if not all([attempt(s, number, batch) for s in sinks]):
-                batch.write.mode("overwrite").parquet(f"{folder}/kept/batch={number}")
+                kept.write(batch, number)
         finally:
             batch.unpersist()
 
     run(stream, folder, write)
     again()
-    left = lacking()
-    tables = {s: spark.read.parquet(*[f"{folder}/{s}/batch={n}" for n in done]) for s in sinks if (done := batches(spark, f"{folder}/{s}"))}
-    return tables, {s: n for s, n in left.items() if n}
+    found = {s: spark.read.parquet(*folders) for s, t in tables.items() if (folders := t.folders())}
+    return found, {s: n for s, n in lacking().items() if n}
 
 
 def span_rows(spans: DataFrame) -> DataFrame:
@@ -158,12 +162,14 @@ def span_rows(spans: DataFrame) -> DataFrame:
 
 def export_spans(stream: DataFrame, folder: str, every: str | None = SPANS_EVERY) -> StreamingQuery:
     """Exports spans in micro-batches; files of at most `SPANS_PER_BATCH` rows. A batch that fails is left out: tracing
-    must not hold up what is traced. The exported rows are below `rows` of the folder."""
+    must not hold up what is traced. The exported rows are the table below `rows` of the folder."""
+
+    rows = Landing(stream.sparkSession, f"{folder}/rows")
 
     def write(batch: DataFrame, number: int) -> None:
         try:
-            span_rows(batch).write.option("maxRecordsPerFile", SPANS_PER_BATCH).mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        except PySparkException:
+            rows.write(span_rows(batch), number, maxRecordsPerFile=SPANS_PER_BATCH)
+        except Exception:
             return
 
     return start(stream, folder, write, every=every)
@@ -180,16 +186,18 @@ def replay_buffers(stream: DataFrame, key: str, order: list[str], name: str, n:
     which hold n rows a key at most."""
     spark = stream.sparkSession
     folder = folder or fresh_path(spark, f"stream-{name}")
+    table = Landing(spark, f"{folder}/rows")
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = [k for k in batches(spark, f"{folder}/rows") if k < number]
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/rows/batch={before[-1]}")) if before else batch
+        before = [k for k in table.batches() if k < number]
+        rows = batch.unionByName(table.batch(before[-1], batch.schema)) if before else batch
         keys = rows.select(key).distinct().orderBy(F.desc(key)).limit(most)
-        last_n(rows.join(F.broadcast(keys), key, "left_semi"), [key], order, n).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        table.write(last_n(rows.join(F.broadcast(keys), key, "left_semi"), [key], order, n), number)
+        table.keep_last(before[-1] if before else number)  # the one before serves if this batch is delivered again
 
     run(stream, folder, merge)
-    done = batches(spark, f"{folder}/rows")
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch={done[-1]}") if done else spark.createDataFrame([], stream.schema)
+    last = table.batches()[-1:]
+    return table.batch(last[0], stream.schema) if last else spark.createDataFrame([], stream.schema)
 
 
 def projection(events: DataFrame, key: str, ts: str, order: str, kind: str, terminal: list[str]) -> DataFrame:

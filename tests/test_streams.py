@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from plumbline.streaming import streams
+from plumbline.streaming.tables import Landing
 
 KIND = "id long, key string, at timestamp, text string"
 
@@ -85,6 +86,103 @@ def test_fan_out_loses_nothing(feed):
     assert ids(tables["broken"]) == ids(tables["all"]) == [1, 2, 3, 4] and not left
 
 
+def test_fan_out_loses_nothing_of_a_sink_that_fails_in_a_task(spark, feed):
+    """Half a batch may be there when the fault comes: it is neither read nor taken for the whole."""
+    feed.add(*[(i, "a", 1, "x") for i in range(10)]).add(*[(i, "a", 2, "x") for i in range(10, 20)]).add(*[(i, "a", 3, "x") for i in range(20, 30)])
+    calls, broken = [], [True]
+
+    def task(batch):  # fails on the executor, on its first batch
+        calls.append(1)
+        return batch.repartition(3).select(F.when(F.lit(len(calls) == 1) & (F.col("id") == 3), F.raise_error(F.lit("disk")).cast("long")).otherwise(F.col("id")).alias("id"))
+
+    def code(batch):  # fails in Python
+        if broken[0]:
+            raise ValueError("listener")
+        return batch.select("id")
+
+    def worker(batch):  # fails in a Python worker
+        now = broken[0]
+
+        def each(pieces):
+            for x in pieces:
+                if now:
+                    raise OSError("socket")
+                yield x[["id"]]
+
+        return batch.mapInPandas(each, "id long")
+
+    sinks = {"task": task, "code": code, "worker": worker, "all": lambda b: b.select("id")}
+    tables, left = streams.fan_out(feed.stream(), sinks, "s", feed.folder)
+    assert ids(tables["task"]) == ids(tables["all"]) == list(range(30)) and left == {"code": [0, 1, 2], "worker": [0, 1, 2]}
+    broken[0] = False
+    tables, left = streams.fan_out(feed.stream(), sinks, "s", feed.folder)
+    assert all(ids(tables[s]) == list(range(30)) for s in sinks) and not left
+
+
+def test_fan_out_when_every_batch_of_every_sink_fails(feed):
+    feed.add((1, "a", 1, "x"))
+    fails = {"s": lambda b: b.select(F.raise_error(F.lit("no")).alias("id"))}
+    assert streams.fan_out(feed.stream(), fails, "s", feed.folder) == ({}, {"s": [0]})
+
+
+def test_heartbeats_reach_no_sink(feed):
+    feed.add((1, "a", 1, "x"), (2, "a", 1, "heartbeat"), (3, "a", 1, None))
+    tables, _ = streams.fan_out(feed.stream(), {"all": lambda b: b.select("id")}, "s", feed.folder, F.col("text") == "heartbeat")
+    assert ids(tables["all"]) == [1, 3]
+
+
+def test_acknowledgement_of_other_failures(feed):
+    feed.add((1, "done", 1, "x")).add((2, "open", 2, "x"))
+    broken = [True]
+
+    def process(batch):
+        if broken[0] and batch.where("key = 'open' or key = 'done'").count():
+            raise ValueError("not a Spark fault")
+        return batch.select("id")
+
+    ask = lambda: streams.acknowledged(feed.stream(), process, F.col("key") == "done", "s", feed.folder, 2)
+    with pytest.raises(PySparkException):
+        ask()
+    broken[0] = False
+    assert ids(ask()) == [2]  # row 1 was ended when its batch failed
+
+
+def test_a_write_that_fails_halfway_is_not_read(spark, feed):
+    table = Landing(spark, f"{feed.folder}/t")
+    rows = spark.range(0, 100, 1, 4).withColumnRenamed("id", "n")
+    table.write(rows, 0)
+    bad = rows.select(F.when(F.col("n") == 99, F.raise_error(F.lit("disk")).cast("long")).otherwise(F.col("n")).alias("n"))
+    for number in (0, 1):  # in place of a whole batch, and anew
+        with pytest.raises(PySparkException):
+            table.write(bad, number)
+        assert table.batches() == [] and table.read(rows.schema).count() == 0
+    table.write(rows, 1)
+    assert table.batches() == [1] and table.read(rows.schema).count() == 100
+
+
+def test_old_batches_are_put_together(spark, feed):
+    table = Landing(spark, f"{feed.folder}/t", apart=3)
+    kind = spark.range(1).schema
+    for n in range(9):
+        table.write(spark.range(n * 10, n * 10 + 10), n)
+        assert ids(table.read(kind)) == list(range(n * 10 + 10))
+        assert len(table.folders()) <= 4 and table.done(n)
+    table.write(spark.range(5), 0)  # an old batch can't come again
+    table.write(spark.range(80, 85), 8)  # the newest one can
+    assert ids(table.read(kind)) == list(range(85))
+    table.compact()
+    assert ids(table.read(kind)) == list(range(85)) and table.batches() == [8]
+
+
+def test_a_path_with_signs_of_patterns(spark, tmp_path):
+    for name in ("plain/", "ends]", "a*b"):
+        path = f"{tmp_path}/{name}"
+        spark.range(3).write.parquet(path)
+        assert ids(streams.landed(streams.source(spark, path), "s")) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        streams.source(spark, f"{tmp_path}/x{{1}}")
+
+
 def test_deduplication_over_batches(feed):
     feed.add((1, "a", 1, "x"), (1, "a", 1, "x")).add((1, "a", 2, "x"), (2, "a", 2, "x"))
     assert ids(streams.landed(streams.deduplicated(feed.stream(), ["id"], "at"), "s")) == [1, 2]
