@@ -83,25 +83,25 @@ def stream_liveness_gaps(t):
     return S.gaps(rows, "user_id", "ts", "event_id", 45_000).select("event_id", "user_id", "silent_s")
 
 
-CLOCK_SQL = "clock AS (SELECT max(epoch_ms(ts)) AS c FROM events)"
+CLOCK_SQL = "clock AS (SELECT max(epoch_us(ts) // 1000) AS c FROM events)"
 
 
-@query(f"""WITH {CLOCK_SQL}, signals AS (SELECT user_id, epoch_ms(ts) AS at, event_id, event_type <> 'view' AS good FROM events UNION ALL SELECT DISTINCT user_id, c, NULL, false FROM events, clock),
-    gaps AS (SELECT *, at - lag(at) OVER w > 45000000 AS stale, lag(at) OVER w + 45000000 AS stale_at,
-        coalesce(sum(good::INT) OVER (PARTITION BY user_id ORDER BY at, event_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM signals WINDOW w AS (PARTITION BY user_id ORDER BY at, event_id NULLS LAST))
-    SELECT user_id AS key, 'stale' AS state, min(stale_at) AS at FROM gaps WHERE stale GROUP BY user_id, part
-    UNION ALL SELECT user_id, 'recovered', max(at) FILTER (good) FROM gaps GROUP BY user_id, part HAVING bool_or(stale) AND bool_or(good)""")
+@query(f"""WITH {CLOCK_SQL}, signals AS (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, event_id, event_type <> 'view' AS good FROM events UNION ALL SELECT DISTINCT user_id, c, NULL, false FROM events, clock),
+    gaps AS (SELECT *, at_ms - lag(at_ms) OVER w > 45000000 AS stale, lag(at_ms) OVER w + 45000000 AS stale_at,
+        coalesce(sum(good::INT) OVER (PARTITION BY user_id ORDER BY at_ms, event_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM signals WINDOW w AS (PARTITION BY user_id ORDER BY at_ms, event_id NULLS LAST))
+    SELECT user_id AS key, 'stale' AS state, min(stale_at) AS at_ms FROM gaps WHERE stale GROUP BY user_id, part
+    UNION ALL SELECT user_id, 'recovered', max(at_ms) FILTER (good) FROM gaps GROUP BY user_id, part HAVING bool_or(stale) AND bool_or(good)""")
 def stream_liveness_timers(t):
     """Views are signals of the link, all other events messages; the clock is the greatest time of the stream."""
     return W.landed(W.liveness(_events(t), "user_id", "ts", "event_id", F.col("event_type") != "view", 45_000), "watchdog")
 
 
-@query(f"""WITH {CLOCK_SQL}, moves AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS key, epoch_ms(ts) AS at, event_id AS n,
+@query(f"""WITH {CLOCK_SQL}, moves AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS key, epoch_us(ts) // 1000 AS at_ms, event_id AS n,
         CASE event_type WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'REJECTED' ELSE 'opened' END AS kind FROM events),
-    opened AS (SELECT key, min(at) AS opened, arg_min(n, (at, n)) AS by FROM moves WHERE kind = 'opened' GROUP BY key),
-    decisions AS (SELECT m.*, coalesce((at > opened OR at = opened AND n > by) AND at - opened <= 14400000, false) AS timely FROM moves m LEFT JOIN opened USING (key) WHERE kind <> 'opened'),
-    marked AS (SELECT *, timely AND row_number() OVER (PARTITION BY key, timely ORDER BY at, n) = 1 AS wins FROM decisions)
-    SELECT key, CASE WHEN wins THEN kind ELSE 'REFUSED' END AS status, 'user' AS reviewer, at FROM marked
+    opened AS (SELECT key, min(at_ms) AS opened, arg_min(n, (at_ms, n)) AS open_n FROM moves WHERE kind = 'opened' GROUP BY key),
+    decisions AS (SELECT m.*, coalesce((at_ms > opened OR at_ms = opened AND n > open_n) AND at_ms - opened <= 14400000, false) AS timely FROM moves m LEFT JOIN opened USING (key) WHERE kind <> 'opened'),
+    marked AS (SELECT *, timely AND row_number() OVER (PARTITION BY key, timely ORDER BY at_ms, n) = 1 AS wins FROM decisions)
+    SELECT key, CASE WHEN wins THEN kind ELSE 'REFUSED' END AS status, 'user' AS reviewer, at_ms FROM marked
     UNION ALL SELECT key, 'REJECTED', 'system', opened + 14400000 FROM opened, clock WHERE c - opened > 14400000 AND key NOT IN (SELECT key FROM marked WHERE wins)""")
 def stream_gate_timers(t):
     """A gate for each user and day: the first of other events opens it, purchases approve and errors reject."""

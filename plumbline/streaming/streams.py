@@ -27,13 +27,12 @@ SPANS_PER_BATCH, SPANS_EVERY = 512, "2 seconds"
 def source(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     """A stream of a Parquet file or of those in a folder; the schema is that of what is there.
 
-    The path is given as a pattern, since a plain path must be a folder: what would be a pattern's sign stands for itself.
+    The path is given as a pattern, since a plain path must be a folder; so it may have no sign of patterns itself.
     """
     path = path.rstrip("/")
-    if re.search("[{}]", path):
-        raise ValueError("a path with braces can't be given as a pattern")
-    plain = re.sub(r"([\[\]*?\\])", r"\\\1", path)
-    pattern = plain if plain != path else f"{path[:-1]}[{path[-1]}]"
+    if re.search(r"[{}\[\]*?\\]", path):
+        raise ValueError(f"the path of a stream has a sign of patterns: {path}")
+    pattern = f"{path[:-1]}[{path[-1]}]"
     schema = spark.read.parquet(pattern).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("ignoreMissingFiles", "true").parquet(pattern)
 

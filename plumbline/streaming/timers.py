@@ -92,7 +92,7 @@ class Watchdog(Timed):
     signal that counts the time anew, but only a message proves that the link is alive again."""
 
     fields = "last long, degraded boolean"
-    columns = ["key", "state", "at"]
+    columns = ["key", "state", "at_ms"]
 
     def __init__(self, most: int, event_time: bool) -> None:
         self.most, self.event_time = most, event_time
@@ -119,7 +119,7 @@ class Gate(Timed):
     wins; a decision after that, or of a gate that isn't open, is refused and changes nothing."""
 
     fields = "opened long, decided boolean"
-    columns = ["key", "status", "reviewer", "at"]
+    columns = ["key", "status", "reviewer", "at_ms"]
 
     def __init__(self, most: int, event_time: bool) -> None:
         self.most, self.event_time = most, event_time
@@ -153,21 +153,21 @@ def _timed(events: DataFrame, key: str, ts: str, order: str, kind: Column, proce
 
 
 def liveness(events: DataFrame, key: str, ts: str, order: str, message: Column, seconds: int = STALE_SECONDS, delay: str = "0 seconds", event_time: bool = True) -> DataFrame:
-    """(key, state, at in milliseconds): when links went stale, and when a message proved that they were alive again.
+    """(key, state, at_ms): when links went stale, and when a message proved that they were alive again.
 
     Rows that aren't messages are signals of the link itself, such as a subscription that was made anew.
     """
     kind = F.when(F.coalesce(message, F.lit(False)), "message").otherwise("signal")
-    return _timed(events, key, ts, order, kind, Watchdog(seconds * 1000, event_time), delay, "state string, at long")
+    return _timed(events, key, ts, order, kind, Watchdog(seconds * 1000, event_time), delay, "state string, at_ms long")
 
 
 def gates(events: DataFrame, key: str, ts: str, order: str, kind: Column, seconds: int, delay: str = "0 seconds", event_time: bool = True) -> DataFrame:
-    """(key, status, reviewer, at in milliseconds): how gates were decided, and which decisions were refused.
+    """(key, status, reviewer, at_ms): how gates were decided, and which decisions were refused.
 
     kind: opened, or the status that a decision asks for. The time of a decision counts, not when it came: one that was made
     in time and comes within the delay wins over the timeout.
     """
-    return _timed(events, key, ts, order, kind, Gate(seconds * 1000, event_time), delay, "status string, reviewer string, at long")
+    return _timed(events, key, ts, order, kind, Gate(seconds * 1000, event_time), delay, "status string, reviewer string, at_ms long")
 
 
 def landed(timed: DataFrame, name: str, folder: str | None = None) -> DataFrame:

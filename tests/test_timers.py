@@ -28,7 +28,7 @@ def feed(spark, tmp_path):
 
 
 def seen(df):
-    return sorted((r["key"], *[r[c] for c in df.columns if c not in ("key", "at")], r["at"] // 1000 - 1_700_000_000) for r in df.collect())
+    return sorted((r["key"], *[r[c] for c in df.columns if c not in ("key", "at_ms")], r["at_ms"] // 1000 - 1_700_000_000) for r in df.collect())
 
 
 def alive(feed, delay="0 seconds"):
@@ -89,7 +89,7 @@ def test_the_machines_clock(spark, feed):
     watched = timers.liveness(feed.stream(), "key", "at", "n", F.col("kind") == "message", 2, event_time=False)
     query = timers.start(watched, feed.folder, "500 milliseconds")
     rows = streams.Landing(spark, f"{feed.folder}/rows")
-    said = lambda: [r["state"] for r in rows.read(watched.schema).orderBy("at").collect()]
+    said = lambda: [r["state"] for r in rows.read(watched.schema).orderBy("at_ms").collect()]
     try:
         until = time.time() + 60
         while said() != ["stale"] and time.time() < until:
