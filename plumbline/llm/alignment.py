@@ -5,11 +5,12 @@ space and the text; the byte offsets at which tokens of both end cut them into g
 their byte ranges overlap. Neither crosses a space between two other characters, so a text is taken as its words, each
 with the space before it, and what is known of a word (its groups and its links) serves wherever it stands.
 
-A pair of linked ids is one int64, id A shifted left by `SHIFT` plus id B. Its count is the number of documents that
-hold it: every task sums the pairs that are distinct in a document (np.unique), the sums are sorted by key over range
-partitions and runs of a key summed up. The sorted shards are files, all keys and then all counts; the tasks of the
-second pass map them into memory and find their pairs by searchsorted, so no worker holds the table. The highest count
-of each id of A has one number for each id of the vocabulary and is broadcast.
+A pair of linked ids is one int64, id A shifted left by `SHIFT` plus id B. Texts are encoded once: each document's distinct
+pairs, with how often it has them, are kept (sorted differences, compressed). The count of a pair is the number of
+documents that hold it: every task sums the pairs of its documents (np.unique), the sums are sorted by key over range
+partitions and runs of a key summed up. The sorted shards are files, all keys and then all counts; tasks map them into
+memory and find the kept pairs by searchsorted, so no worker holds the table. The highest count of each id of A has one
+number for each id of the vocabulary and is broadcast.
 
 Null and empty texts, and texts whose bytes the two token sequences don't both give back, have no tokens: zeros and an
 empty digest. Special tokens' strings are plain text. Equal texts of several rows count as one document each. A table
@@ -29,11 +30,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh_path, partitions_for, text_of
+from .common import checkpointed, fresh_path, partitions_for, text_of, written
 from .tokens import IRREGULAR, RUN, SLICE_BYTES, SLICE_TEXTS, WORD_CUT, _joined
 from .tokens import SPACE as WHITE
 
@@ -91,18 +93,17 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
 class Aligner:
     """Aligns the distinct words of slices of texts, and knows the last ones: a table with a place for each word.
 
-    numbers: for each word whether both token sequences give its bytes, its tokens of A and of B, its groups, its links,
-    its links of the highest count and the sum of its links' counts (the last two if counts are given).
+    numbers: for each word whether both token sequences give its bytes, its tokens of A and of B, its groups, its links.
     """
 
-    def __init__(self, path_a: str, path_b: str, counts: Counts | None = None, top: np.ndarray | None = None, known: int = KNOWN) -> None:
+    def __init__(self, path_a: str, path_b: str, known: int = KNOWN) -> None:
         self.of = vocabularies(path_a, path_b)
-        self.counts, self.top, self.most = counts, top, known
+        self.most = known
         self._forget()
 
     def _forget(self) -> None:
         self.words, self.groups = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
-        self.numbers = np.zeros((7, 0), dtype=np.int64)
+        self.numbers = np.zeros((5, 0), dtype=np.int64)
         self.keys = np.zeros(0, dtype=np.int64)
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -173,12 +174,9 @@ class Aligner:
         order = np.empty(len(a) + len(b), dtype=np.int64)  # in each group A's tokens, then B's
         order[np.arange(len(a)) + before_b[group_a]] = a + len(self.of.raw[0]) * last_a
         order[np.arange(len(b)) + upto_a[group_b]] = b + 2 * len(self.of.raw[0]) + len(self.of.raw[1]) * last_b
-        per = lambda x, weights=None: np.bincount(x, weights, minlength=len(words)).astype(np.int64)
-        n_a, n_b, n_links = per(word_a), per(word_b), per(word)
-        count = self.counts.of(keys) if self.counts else np.zeros(len(keys), dtype=np.int64)
-        best = count == self.top[keys >> SHIFT] if self.counts else np.zeros(len(keys), dtype=bool)
-        sums = np.diff(np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(n_links)]])
-        self.numbers = np.concatenate([self.numbers, [valid, n_a, n_b, per(word_a[last_a]), n_links, per(word[best]), sums]], axis=1)
+        per = lambda x: np.bincount(x, minlength=len(words)).astype(np.int64)
+        n_a, n_b = per(word_a), per(word_b)
+        self.numbers = np.concatenate([self.numbers, [valid, n_a, n_b, per(word_a[last_a]), per(word)]], axis=1)
         self.words, self.keys = pa.concat_arrays([self.words, words]), np.r_[self.keys, keys]
         self.groups = pa.concat_arrays([self.groups, _joined(self.of.written.take(pa.array(order)), np.r_[0, np.cumsum(n_a + n_b)])])
 
@@ -217,16 +215,17 @@ class Slice:
         """Of each text the sums of the numbers of its words, all but the first."""
         return [np.where(self.valid, self._sums(x), 0) for x in self.numbers[1:]]
 
-    def pairs(self) -> np.ndarray:
-        """The keys that are distinct within a text, of all valid texts."""
-        known = self.numbers.shape[1]
-        text = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        of = np.unique((text * known + self.place)[self.valid[text]])
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct keys of each valid text with how often it has them, in order, and how many each text has."""
+        known, texts = self.numbers.shape[1], len(self.starts) - 1
+        text = np.repeat(np.arange(texts), np.diff(self.starts))
+        of, times = np.unique((text * known + self.place)[self.valid[text]], return_counts=True)
         text, word = of // known, of % known
         sizes = self.numbers[4]
         n = sizes[word]
         at = spread((np.cumsum(sizes) - sizes)[word], n)
-        return np.unique(np.repeat(text, n) << KEY_BITS | self.keys[at]) & (1 << KEY_BITS) - 1
+        keys, times = merged(np.repeat(text, n) << KEY_BITS | self.keys[at], np.repeat(times, n))
+        return keys & (1 << KEY_BITS) - 1, times, np.bincount(keys >> KEY_BITS, minlength=texts)
 
     def digests(self) -> list[str]:
         """The digest of each text's groups."""
@@ -243,38 +242,70 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 @lru_cache(1)
-def _aligner(path_a: str, path_b: str, files: tuple[str, ...] = (), top: Broadcast | None = None) -> Aligner:
-    """One for each worker process and pass; what it knows lives on between batches and tasks."""
-    counts = Counts([f if os.path.isabs(f) else SparkFiles.get(f) for f in files]) if files else None
-    return Aligner(path_a, path_b, counts, top.value if top else None)
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """One for each worker process; what it knows lives on between batches and tasks."""
+    return Aligner(path_a, path_b)
 
 
-def _partial(path_a: str, path_b: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(path_a, path_b)
-        keys, counts, held = [], [], 0
+def packed(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted keys and how often they are there: differences and numbers by the places of their bytes, compressed."""
+    by_place = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return zstandard.compress(by_place(np.diff(keys, prepend=0).astype("<i8")) + by_place(times.astype("<u4")), 1)
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    whole = lambda x, kind: np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel()
+    return np.cumsum(whole(raw[: 8 * n], "<i8")), whole(raw[8 * n :], "<u4").astype(np.int64)
 
-        def handed() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(keys[0]), SHARD):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0][at : at + SHARD]), pa.array(counts[0][at : at + SHARD])], names=["key", "n"])
 
+def _taken(path_a: str, path_b: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, s in aligner.slices(b.column(0)):
-                k, n = np.unique(s.pairs(), return_counts=True)
-                keys, counts, held = [*keys, k], [*counts, n.astype(np.int64)], held + len(k)
-                if held > PARTIAL:
-                    keys, counts = ([x] for x in merged(np.concatenate(keys), np.concatenate(counts)))
-                    held = len(keys[0])
-                    if held > PARTIAL // 2:
-                        yield from handed()
-                        keys, counts, held = [], [], 0
-        if keys:
-            keys, counts = ([x] for x in merged(np.concatenate(keys), np.concatenate(counts)))
-            yield from handed()
+            for at, s in _aligner(path_a, path_b).slices(b.column(1)):
+                keys, times, sizes = s.pairs()
+                ends = np.cumsum(sizes)
+                data = [packed(keys[e - n : e], times[e - n : e]) for e, n in zip(ends, sizes)]
+                arrays = [b.column(0).slice(at, len(sizes)), *[pa.array(x) for x in s.totals()], pa.array(s.digests(), pa.string()), pa.array(sizes), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs", "pairs"])
 
     return run
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of the documents of a batch of (pairs, n_pairs, ...), some documents at a time: the place of the first, sizes, keys, times."""
+    sizes = b.column("n_pairs").to_numpy()
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SHARD)))
+        found = [unpacked(x.as_py(), n) for x, n in zip(b.column("pairs").slice(at, to - at), sizes[at:to])]
+        yield at, sizes[at:to], np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        at = to
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, counts, held = [], [], 0
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys[0]), SHARD):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0][at : at + SHARD]), pa.array(counts[0][at : at + SHARD])], names=["key", "n"])
+
+    for b in batches:
+        for _, _, own, _ in _parts(b):
+            k, n = np.unique(own, return_counts=True)
+            keys, counts, held = [*keys, k], [*counts, n.astype(np.int64)], held + len(k)
+            if held > PARTIAL:
+                keys, counts = ([x] for x in merged(np.concatenate(keys), np.concatenate(counts)))
+                held = len(keys[0])
+                if held > PARTIAL // 2:
+                    yield from handed()
+                    keys, counts, held = [], [], 0
+    if keys:
+        keys, counts = ([x] for x in merged(np.concatenate(keys), np.concatenate(counts)))
+        yield from handed()
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of (key, n) with runs of a key summed up, as shards of at most `SHARD` pairs with the highest count of each id of A in them."""
 
@@ -329,39 +360,57 @@ def published(spark: SparkSession, folder: str, copies: bool = False) -> tuple[s
     return tuple(sorted(f.getName() for f in found))
 
 
-def counted(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Shards (first, ids, top, data) of the counts of all pairs over a table of texts, kept."""
-    partial = checkpointed(texts.mapInArrow(_partial(path_a, path_b), "key long, n long"))
-    dealt = partial.repartitionByRange(partitions_for(texts), "key").sortWithinPartitions("key")
+def counted(taken: DataFrame) -> DataFrame:
+    """Shards (first, ids, top, data) of the counts of all pairs that documents have, kept."""
+    partial = checkpointed(taken.select("n_pairs", "pairs").mapInArrow(_partial, "key long, n long"))
+    dealt = partial.repartitionByRange(partitions_for(taken), "key").sortWithinPartitions("key")
     return checkpointed(dealt.mapInArrow(_shards, "first long, ids array<long>, top array<long>, data binary"))
 
 
-def _digested(path_a: str, path_b: str, files: tuple[str, ...], top: Broadcast):
+@lru_cache(1)
+def _mapped(files: tuple[str, ...]) -> Counts:
+    return Counts([f if os.path.isabs(f) else SparkFiles.get(f) for f in files])
+
+
+def _weighed(files: tuple[str, ...], top: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(path_a, path_b, files, top)
         for b in batches:
-            for at, s in aligner.slices(b.column(1)):
-                arrays = [b.column(0).slice(at, len(s.valid)), *[pa.array(x) for x in s.totals()], pa.array(s.digests(), pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+            best, total = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+            for at, sizes, keys, times in _parts(b):
+                count = _mapped(files).of(keys) if len(keys) else keys
+                cuts = np.r_[0, np.cumsum(sizes)]
+                per = lambda x: np.diff(np.r_[0, np.cumsum(x)][cuts])
+                best[at : at + len(sizes)] = per(times * (count == top.value[keys >> SHIFT]))
+                total[at : at + len(sizes)] = per(times * count)
+            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
+            arrays = [*[b.column(c) for c in names], pa.array(best), pa.array(total), b.column("groups_sha256")]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_best", "count_sum", "groups_sha256"])
 
     return run
 
 
+def taken(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each document its tokens, groups, links, the digest of its groups and its pairs, kept."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return written(rows.mapInArrow(_taken(path_a, path_b), f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_pairs long, pairs binary"), "pairs")
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", copies: bool = False) -> DataFrame:
     """For each document its tokens, groups and links, the links of the highest count of their id of A, the sum of the
     links' counts, and a digest of its groups. `copies` makes executors fetch the files of counts."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    shards = counted(rows.select("text"), path_a, path_b)
+    held = taken(docs, path_a, path_b, doc_id, text)
+    shards = counted(held)
     folder = fresh_path(spark, "pair-counts")
     shards.select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
     best = shards.select(F.explode(F.arrays_zip("ids", "top"))).groupBy("col.ids").agg(F.max("col.top").alias("top")).collect()  # one row for each id at most
     top = np.zeros(1 << KEY_BITS - SHIFT, dtype=np.int64)
     for r in best:
         top[r["ids"]] = r["top"]
-    run = _digested(path_a, path_b, published(spark, folder, copies), spark.sparkContext.broadcast(top))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    run = _weighed(published(spark, folder, copies), spark.sparkContext.broadcast(top))
+    kind = held.schema["doc_id"].dataType.simpleString()
+    return held.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -373,4 +422,4 @@ def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 keys, n = np.frombuffer(data.as_py(), dtype="<i8").reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys >> SHIFT), pa.array(keys & (1 << SHIFT) - 1), pa.array(n)], names=["a", "b", "n"])
 
-    return counted(docs.select(text_of().alias("text")), path_a, path_b).select("data").mapInArrow(run, "a long, b long, n long")
+    return counted(taken(docs, path_a, path_b)).select("data").mapInArrow(run, "a long, b long, n long")
