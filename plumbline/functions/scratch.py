@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -36,6 +37,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_path(df: DataFrame, name: str) -> str:
+    """A path in the shared folder for what is made of a table of files, the same as long as their names, sizes and times are."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    state = hashlib.sha256()
+    for file in sorted(df.inputFiles()):
+        path = place(spark._jvm.java.net.URI(file))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        state.update(f"{file}:{status.getLen()}:{status.getModificationTime()}\n".encode())
+    return f"{shared_dir(spark)}/{name}-{state.hexdigest()[:32]}"
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, kept, for the small side of a join: to be broadcast if it has at most so many rows, else shuffled."""
     df = checkpointed(df)

@@ -1,4 +1,4 @@
-"""Tables that micro-batches land in: a folder for each batch, and a ledger of those that are whole.
+"""Tables that are written batch by batch, such as micro-batches: a folder for each, and a ledger of those that are whole.
 
 A batch counts once its mark is in the ledger, and the mark is set after its data is written, so what a failed write left
 behind is never read. A batch that is delivered again loses its mark, replaces itself and gets the mark back. Old batches
@@ -47,12 +47,12 @@ class Landing:
     def done(self, number: int) -> bool:
         return number <= self.upto() or number in self._marks("batch")
 
-    def write(self, rows: DataFrame, number: int, **options: object) -> None:
-        """Writes a batch, in place of what it wrote before."""
+    def write(self, rows: DataFrame, number: int, by: list[str] = (), **options: object) -> None:
+        """Writes a batch, in place of what it wrote before, partitioned by columns."""
         if number <= self.upto():
             return
         self._drop(f"batch={number}")
-        rows.write.options(**options).mode("overwrite").parquet(f"{self.path}/batch={number}")
+        rows.write.options(**options).partitionBy(*by).mode("overwrite").parquet(f"{self.path}/batch={number}")
         self._mark(f"batch={number}")
         if len(self.batches()) > self.apart:
             self.compact()
@@ -70,17 +70,26 @@ class Landing:
 
     def compact(self) -> None:
         """Puts all batches but the newest together."""
-        old, numbers = self.upto(), self.batches()[:-1]
-        if not numbers:
-            return
-        last = numbers[-1]
-        gone = [f"whole={old}"] * (old >= 0) + [f"batch={n}" for n in numbers]
-        rows = self.spark.read.parquet(*[f"{self.path}/{x}" for x in gone])
-        rows.coalesce(max(1, rows.rdd.getNumPartitions() // 8)).write.mode("overwrite").parquet(f"{self.path}/whole={last}")
+        numbers = self.batches()[:-1]
+        if numbers:
+            rows = self.spark.read.parquet(*[f for f in self.folders() if not f.endswith(f"/batch={self.batches()[-1]}")])
+            self.fold(rows.coalesce(max(1, rows.rdd.getNumPartitions() // 8)), numbers[-1])
+
+    def fold(self, rows: DataFrame, last: int, by: list[str] = ()) -> None:
+        """Puts rows in the place of all batches up to the last, at once: by the mark of the folder that has them."""
+        old = self.upto()
+        gone = [f"whole={old}"] * (old >= 0) + [f"batch={n}" for n in self.batches() if n <= last]
+        rows.write.partitionBy(*by).mode("overwrite").parquet(f"{self.path}/whole={last}")
         self._mark(f"whole={last}")
         for name in gone:
             self._drop(name)
 
+    def empty(self) -> None:
+        """Drops all there is."""
+        for kind in ("whole", "batch"):
+            for n in self._marks(kind):
+                self._drop(f"{kind}={n}")
+
     def keep_last(self, number: int) -> None:
         """Drops the batches before a number: for tables whose last batch says all."""
         for n in self._marks("batch"):

@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as T
+from ..functions.scratch import fresh_path
+from ..operators import fulltext as FT
 from ..operators import retrieval as V
 from ..operators import rules as R
+from ..operators import similar as SM
 from ..operators import windows as W
 from .registry import query
 
@@ -36,13 +39,18 @@ def _queries(t):
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
+def _keywords(t):
+    """From the index that is kept of the documents."""
+    return FT.index_of(t.documents, "documents", ("doc_id", "text")).search(_queries(t), V.CANDIDATES)
+
+
 def _arms(t):
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     symbols = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("symbol"))
     ids = t.benchmark.select(F.col("item_id").alias("query_id"))
     return {
         "vector": V.vector_arm(vectors, vectors.withColumnRenamed("id", "query_id").join(ids, "query_id", "left_semi")),
-        "keyword": V.keyword_arm(_documents(t), _queries(t)),
+        "keyword": _keywords(t),
         "symbol": V.symbol_arm(symbols, symbols.toDF("query_id", "fragment").join(ids, "query_id", "left_semi")),
     }
 
@@ -55,9 +63,27 @@ def knn_cosine(t):
 
 @query(f"WITH {KEYWORD_SQL} SELECT query_id, id, score, rank FROM keyword")
 def keyword_topk(t):
+    return _keywords(t)
+
+
+@query(f"WITH {KEYWORD_SQL} SELECT query_id, id, score, rank FROM keyword")
+def keyword_scan(t):
+    """The same without an index."""
     return V.keyword_arm(_documents(t), _queries(t))
 
 
+@query(f"SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT CASE doc_id % 3 WHEN 0 THEN doc_id - 1 ELSE doc_id END AS doc_id, unnest({TERMS}) AS term FROM documents WHERE doc_id % 3 <> 2) WHERE term LIKE 'th%' GROUP BY ALL")
+def fulltext_updates(t):
+    """An index whose documents were moved to other ids, replaced and removed: what its postings say in the end."""
+    docs = _documents(t)
+    index = FT.TextIndex(t.spark, fresh_path(t.spark, "text-updates")).build(docs)
+    index.update(docs.where("id % 3 = 0").withColumn("id", F.col("id") - 1))
+    index.remove(docs.where("id % 3 = 0"))
+    index.remove(docs.where("id % 3 = 2").join(docs.where("id % 3 = 0").select((F.col("id") - 1).alias("id")), "id", "left_anti"))
+    terms = docs.select(F.explode(FT.words()).alias("term")).where("term like 'th%'").distinct()
+    return index.postings(terms).select("id", "term", "tf")
+
+
 @query(f"WITH {PARTS_SQL} SELECT query_id, id, score, rank FROM symbol")
 def symbol_topk(t):
     symbols = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("symbol"))
@@ -68,14 +94,28 @@ def symbol_topk(t):
     SELECT name, other, round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) AS similarity FROM sims WHERE len(list_intersect(g, h)) > 0
     QUALIFY row_number() OVER (PARTITION BY name ORDER BY len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) DESC, other) <= 3""")
 def trigram_topk(t):
-    names = t.part.select("p_name").distinct()
-    grams = names.select("p_name", F.explode(T.trigrams(F.col("p_name"))).alias("g"), F.size(T.trigrams(F.col("p_name"))).alias("n"))
-    other = grams.select(F.col("p_name").alias("other"), F.col("g").alias("h"), F.col("n").alias("m"))
-    pairs = grams.join(other, (F.col("g") == F.col("h")) & (F.col("p_name") != F.col("other"))).groupBy("p_name", "other", "n", "m").agg(F.count("*").alias("both"))
-    scored = pairs.select(F.col("p_name").alias("name"), "other", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("similarity"))
+    names = t.part.select(F.col("p_name").alias("s"))
+    scored = SM.nearest(names, names, 3, itself=False).select(F.col("s").alias("name"), "other", SM.similarity().alias("similarity"))
     return V.ranked(scored, ["name"], 3, F.desc("similarity"), F.col("other")).select("name", "other", F.round("similarity", 6).alias("similarity"))
 
 
+FRAGMENT_SQL = "substr(p_name, 3, p_partkey % 7) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_' ELSE '%' END || substr(p_name, 4 + p_partkey % 7, p_partkey % 5)"
+
+
+@query(f"""WITH asked AS (SELECT p_partkey AS query_id, {FRAGMENT_SQL} AS fragment FROM part WHERE p_partkey % 100 = 0),
+    met AS (SELECT DISTINCT query_id, fragment, p_partkey AS id, p_name AS symbol FROM asked, part WHERE lower(p_name) LIKE '%' || lower(fragment) || '%'),
+    sets AS (SELECT *, {GRAMS.format('symbol')} AS g, {GRAMS.format('fragment')} AS h FROM met),
+    scores AS (SELECT query_id, id, round(coalesce(len(list_intersect(g, h)) / nullif(len(g) + len(h) - len(list_intersect(g, h)), 0), 0), 6) AS score FROM sets)
+    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= 20""")
+def symbol_contains(t):
+    """Parts whose names contain fragments of other names, with wildcards in them."""
+    key = F.col("p_partkey")
+    wild = F.when(key % 3 == 0, "").when(key % 3 == 1, "_").otherwise("%")
+    fragment = F.concat(F.substring("p_name", F.lit(3), (key % 7).cast("int")), wild, F.substring("p_name", (4 + key % 7).cast("int"), (key % 5).cast("int")))
+    asked = t.part.where("p_partkey % 100 = 0").select(key.alias("query_id"), fragment.alias("fragment"))
+    return SM.containing(t.part.select(key.alias("id"), F.col("p_name").alias("symbol")), asked, 20)
+
+
 @query(f"WITH {VECTOR_SQL.format('id IN (SELECT item_id FROM benchmark)')}, {KEYWORD_SQL}, {SOURCES_SQL}, {FUSED_SQL} SELECT * FROM fused")
 def rrf_fusion(t):
     return V.fused(_arms(t))
@@ -96,7 +136,7 @@ def hybrid_search(t):
 def arm_isolation(t):
     """An arm that has nothing leaves the others as they are."""
     nothing = V.vector_arm(t.embeddings.where("vec_id < 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), t.spark.createDataFrame([], "query_id long, vector array<float>"))
-    return V.fused({"vector": nothing, "keyword": V.keyword_arm(_documents(t), _queries(t))})
+    return V.fused({"vector": nothing, "keyword": _keywords(t)})
 
 
 @query("""SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(ceil(length(text) / 4)::BIGINT) OVER (PARTITION BY source ORDER BY lang, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 3000""")

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions.scratch import fresh_path
+from ..functions.tables import Landing
 from ..operators import traces as R
 from ..operators.store import top
 from ..streaming import streams as S
 from ..streaming import timers as W
-from ..streaming.tables import Landing
 from .registry import query
 
 

@@ -1,6 +1,6 @@
 """Streaming operators: at-least-once landing, bad rows, acknowledgement, fan-out, projections, buffers, liveness.
 
-Streams run with Structured Streaming and land in Parquet tables with a ledger of whole batches (`tables.Landing`), so a
+Streams run with Structured Streaming and land in Parquet tables with a ledger of whole batches (`functions.tables.Landing`), so a
 batch that is delivered again replaces itself and one that failed halfway is never read. Every operator takes the folder
 that holds its state and its tables: called again with it, a stream goes on where its checkpoint ends; without one it
 begins afresh in a new folder of the shared place. `every` gives a processing-time trigger (and the query runs until it is
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scratch import fresh_path
+from ..functions.tables import Landing
 from ..operators.windows import last_n
-from .tables import Landing
 
 BUFFER, BUFFERS = 50, 200
 SPANS_PER_BATCH, SPANS_EVERY = 512, "2 seconds"

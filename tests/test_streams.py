@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from plumbline.streaming import streams
-from plumbline.streaming.tables import Landing
+from plumbline.functions.tables import Landing
 
 KIND = "id long, key string, at timestamp, text string"
 
