@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,31 +27,66 @@ def runnable(nodes: DataFrame, scope: str, key: str, needs: str, status: str) ->
 
 
 def levels(nodes: DataFrame, links: DataFrame, scope: str, key: str) -> DataFrame:
-    """nodes with `level`, the longest path to them over links (scope, src, dst).
+    """nodes with `level`, the longest path to them over links (scope, src, dst) between known nodes.
 
-    Each round takes the nodes that no link leads to any more and the links that begin there; it works on what
-    is left only. Where links remain but no such node, the graph has a cycle: a ValueError.
+    A node's level is the greatest of its base and of each link's begin plus the link's length. A round takes the nodes
+    that no link leads to, whose level is their base, and lets their links raise what they lead to. Nodes with one link
+    into them hang on its begin: over chains of such nodes, pointers are doubled until they hang on one that isn't, and
+    links that begin at them begin there instead, longer. So a chain of n nodes takes log2(n) steps and not n, and what is
+    left after a round has two links into it at least. In the end levels come back along the pointers. A graph with a
+    cycle is a ValueError.
     """
-    left = checkpointed(nodes.select(F.col(scope).alias("s"), F.col(key).alias("k")).distinct())
-    ends = checkpointed(links.select(F.col(scope).alias("s"), "src", "dst").distinct())
-    found = None
-    level = 0
+    left = checkpointed(nodes.select(F.col(scope).alias("s"), F.col(key).alias("k")).where("s is not null and k is not null").distinct().withColumn("b", F.lit(0)))
+    known = lambda end: left.select("s", F.col("k").alias(end))
+    ends = links.select(F.col(scope).alias("s"), "src", "dst").distinct().join(known("src"), ["s", "src"], "left_semi").join(known("dst"), ["s", "dst"], "left_semi")
+    ends = checkpointed(ends.withColumn("w", F.lit(1)))
+    placed, hung = [], []
     while left.limit(1).count():
-        marked = left.join(ends.select("s", F.col("dst").alias("k"), F.lit(True).alias("later")).distinct(), ["s", "k"], "left")
-        marked = checkpointed(marked)
-        free = marked.where("later is null").select("s", "k")
-        if not free.limit(1).count():
+        into = ends.groupBy("s", F.col("dst").alias("k")).agg(F.count("*").alias("n"), F.min(F.struct("src", "w")).alias("only"))
+        state = checkpointed(left.join(into, ["s", "k"], "left"))
+        free = state.where("n is null").select("s", "k", "b")
+        if not state.where("n is null or n = 1").limit(1).count():
+            raise ValueError("the graph has a cycle")
+        placed.append(free.withColumnRenamed("b", "level"))
+        begun = free.select("s", F.col("k").alias("src"), F.col("b").alias("from"))
+        told = ends.join(begun, ["s", "src"], "left")
+        raised = told.where("from is not null").select("s", F.col("dst").alias("k"), (F.col("from") + F.col("w")).alias("more"))
+        ends = checkpointed(told.where("from is null").drop("from"))
+        single = state.where("n = 1").select("s", "k", "b", F.col("only.src").alias("up"), F.col("only.w").alias("w"))
+        chains = _doubled(single.join(free.select("s", F.col("k").alias("up")), ["s", "up"], "left_anti"))
+        hung.append(chains)
+        mine = chains.select("s", "k").withColumn("hangs", F.lit(True))
+        rest = ends.join(mine.withColumnRenamed("k", "dst"), ["s", "dst"], "left_anti")
+        moved = rest.join(chains.select("s", F.col("k").alias("src"), "up", F.col("b").alias("base"), F.col("w").alias("far")), ["s", "src"], "left")
+        moved = checkpointed(moved.select("s", F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("far", F.lit(0))).alias("w"), (F.col("base") + F.col("w")).alias("more")))
+        if moved.where("src = dst").limit(1).count():
             raise ValueError("the graph has a cycle")
-        placed = free.withColumn("level", F.lit(level))
-        found = placed if found is None else found.union(placed)
-        left = marked.where("later").select("s", "k")
-        ends = checkpointed(ends.join(free.select("s", F.col("k").alias("src")), ["s", "src"], "left_anti"))
-        level += 1
-    if found is None:
-        return nodes.withColumn("level", F.lit(0))
+        raised = raised.union(moved.where("more is not null").select("s", F.col("dst").alias("k"), "more")).groupBy("s", "k").agg(F.max("more").alias("more"))
+        ends = checkpointed(moved.groupBy("s", "src", "dst").agg(F.max("w").alias("w")))
+        stay = state.where("n is not null").select("s", "k", "b").join(mine, ["s", "k"], "left_anti").join(raised, ["s", "k"], "left")
+        left = checkpointed(stay.select("s", "k", F.greatest("b", F.coalesce("more", "b")).alias("b")))
+    if not placed:
+        return nodes.withColumn("level", F.lit(0)).where("false")
+    found = reduce(DataFrame.union, placed)
+    for chains in reversed(hung):
+        above = found.select("s", F.col("k").alias("up"), F.col("level").alias("top"))
+        found = checkpointed(found.union(chains.join(above, ["s", "up"]).select("s", "k", F.greatest("b", F.col("top") + F.col("w")))))
     return nodes.join(found, (F.col(scope) == F.col("s")) & (F.col(key) == F.col("k"))).drop("s", "k")
 
 
+def _doubled(single: DataFrame) -> DataFrame:
+    """Nodes (s, k, b, up, w) that hang on others, so that `up` hangs on none: level(k) = max(b, level(up) + w)."""
+    now = checkpointed(single)
+    for _ in range(now.count().bit_length() + 1):
+        above = now.select("s", F.col("k").alias("up"), F.col("b").alias("b2"), F.col("up").alias("up2"), F.col("w").alias("w2"))
+        both = checkpointed(now.join(above, ["s", "up"], "left"))
+        if not both.where("up2 is not null").limit(1).count():
+            return now
+        raised = F.greatest("b", F.coalesce(F.col("b2") + F.col("w"), "b"))
+        now = both.select("s", "k", raised.alias("b"), F.coalesce("up2", "up").alias("up"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"))
+    raise ValueError("the graph has a cycle")
+
+
 def expand(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, hops) reached from seeds (node) over links (src, dst) in at most `depth` hops, without the seeds.
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import checkpointed
+from ..functions.sums import running_sum
+
+#: Rows of a key that a round of a greedy budget looks at: Spark limits groups before it moves them up to so many.
+ROUND = 1000
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -19,17 +23,19 @@ def ordinal(keys: list[str], order: list[Column | str]) -> Column:
 
 
 def prefix_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, most: int) -> DataFrame:
-    """Rows of each key up to the first that would exceed the budget; costs are positive."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(cost).over(by)).where(F.col("used") <= most)
+    """Rows of each key up to the first that would exceed the budget; costs are positive and the order has no ties.
+
+    A key of any size is spread over range partitions, and their sums are carried on.
+    """
+    return running_sum(df, keys, order, cost, "used").where(F.col("used") <= most)
 
 
 def greedy_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, most: int) -> DataFrame:
     """The rows of each key that a fold in this order keeps: the first always, then each that still fits.
 
     cost is a whole number, and the order has no ties. A round looks, of each key, at the first rows that fit
-    into what is left, at most as many as their costs could fill it, so no key's rows are gathered whole; rows
-    that no longer fit are not looked at again. Rows that cost nothing fit, unless the first
+    into what is left, at most `ROUND` of them, so each task keeps that many of a key before rows are moved and no
+    key's rows are gathered whole; rows that no longer fit are not looked at again. Rows that cost nothing fit, unless the first
     row alone passes the budget.
     """
     rows = checkpointed(df)
@@ -45,7 +51,7 @@ def greedy_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, m
         left = checkpointed(left.join(state, same).where((place > F.col("__last")) & (F.col("__used") + F.col(cost) <= most)))
         if not left.limit(1).count():
             break
-        some = left.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most)
+        some = left.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= min(most, ROUND))
         item = F.struct(place.alias("at"), F.col(cost).cast("long").alias("cost"))
         fold = F.aggregate("__items", F.struct(F.col("__used").alias("used"), F.filter("__items", lambda x: F.lit(False)).alias("kept")), lambda acc, x: F.when(acc["used"] + x["cost"] <= most, F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))
         folded = some.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"), F.first("__used").alias("__used"))
