@@ -12,7 +12,8 @@ that at most one in `RARE` ordinary windows reaches. Two halves of the learnt ro
 this, so that no document is measured by what was made of it, and a logistic regression on the histograms gives the score.
 
 Learning takes at most `SAMPLE` labelled rows of either label, those of the least hashed ids, whole texts; several labels
-of one id are averaged, and those of unknown documents and null labels are left out. If one of the labels has no row, the
+of one id are averaged, those of unknown documents and null labels are left out, and of several rows of one id the least
+text is learnt. If one of the labels has no row, the
 score is the share of label 1 (0 without any row). Null and empty texts have no windows and get the score of an empty
 histogram. Repeated rows get the same score. A table without rows gives none. Further columns, of any name, are neither
 read nor returned. Long texts are read in chunks and taken whole.
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of
+from .common import checkpointed, partitions_for, text_of
 
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 SAMPLE = 4096
@@ -67,16 +68,24 @@ def windows(text: str) -> Counter[str]:
         to = min(at + CHUNK, len(text))
         while to < len(text) and text[to].isalpha():  # no run is cut
             to += 1
-        for run, n in Counter(LETTERS.findall(text[at:to].lower())).items():
-            for place in range(0, max(1, len(run) - WINDOW // 2), WINDOW // 2) if len(run) > WINDOW else (0,):
-                out[run[place : place + WINDOW]] += n
+        out.update(LETTERS.findall(text[at:to].lower()))
         at = to
+    for run in [r for r in out if len(r) > WINDOW]:
+        n = out.pop(run)
+        for place in range(0, len(run) - WINDOW // 2, WINDOW // 2):
+            out[run[place : place + WINDOW]] += n
     return out
 
 
+#: Each byte as two; different bytes differ (the factor is odd).
+TWO = [(b * 40503 + 12345 & 0xFFFF).to_bytes(2, "little") for b in range(256)]
+
+
 def doubled(raw: bytes) -> bytes:
-    """Each byte as two; different bytes differ (the factor is odd)."""
-    return (np.frombuffer(raw, dtype=np.uint8).astype(np.uint32) * 40503 + 12345 & 0xFFFF).astype("<u2").tobytes()
+    return b"".join([TWO[b] for b in raw])
+
+
+LED = doubled(LEAD)
 
 
 def runs(window: str) -> list[str]:
@@ -115,23 +124,23 @@ class Dictionaries:
         return self.__dict__ | {"_known": {}}
 
     def margin(self, window: str) -> int:
-        found = self._known.get(window)
-        if found is None:
-            found = 0
-            if not self.runs.isdisjoint(runs(window)):
-                raw = doubled(LEAD + f" {window} ".encode())
-                plain, toxic = (len(_compressor(x).compress(raw)) for x in (self.ordinary, self.toxic))
-                found = min(max(plain - toxic, 0), MARGINS - 1)
-            if len(self._known) >= KNOWN:
-                self._known.clear()
-            self._known[window] = found
+        found = 0
+        if not self.runs.isdisjoint(runs(window)):
+            raw = LED + doubled(f" {window} ".encode())
+            plain, toxic = (len(_compressor(x).compress(raw)) for x in (self.ordinary, self.toxic))
+            found = min(max(plain - toxic, 0), MARGINS - 1)
+        if len(self._known) >= KNOWN:
+            self._known.clear()
+        self._known[window] = found
         return found
 
-    def histogram(self, text: str) -> np.ndarray:
+    def histogram(self, text: str) -> list[int]:
         """How many windows of a text have each margin."""
-        out = np.zeros(MARGINS, dtype=np.int64)
+        out = [0] * MARGINS
+        known = self._known.get
         for window, n in windows(text).items():
-            out[self.margin(window)] += n
+            margin = known(window)
+            out[self.margin(window) if margin is None else margin] += n
         return out
 
 
@@ -175,7 +184,7 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.dictionaries is None or not texts:
             return np.full(len(texts), self.prior)
-        h = np.stack([self.dictionaries.histogram(t) for t in texts])
+        h = np.array([self.dictionaries.histogram(t) for t in texts])
         return self._share(self._scaled(self._evidence(h)) @ self.weights)
 
 
@@ -191,7 +200,7 @@ def _histograms(made: dict[int, Dictionaries]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b.column("text"), b.column("half").to_pylist())
-            h = [made[half].histogram(text.as_py()).tolist() for text, half in rows]
+            h = [made[half].histogram(text.as_py()) for text, half in rows]
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.list_(pa.int64())), b.column("label")], names=["histogram", "label"])
 
     return run
@@ -203,10 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     averaged = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     some = lambda df, which: df.where(F.col("label") == which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = some(averaged, 0).union(some(averaged, 1))
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
-    of = lambda which: rows.where(F.col("label") == which).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample)
-    learnt = checkpointed(of(0).union(of(1)).select("text", "label", half))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").repartition(partitions_for(docs), "doc_id")
+    learnt = checkpointed(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label", half))
     n = {(r["label"], r["half"]): r["n"] for r in learnt.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     plain, toxic = (n.get((which, 0), 0) + n.get((which, 1), 0) for which in (0, 1))
     if not plain or not toxic:
