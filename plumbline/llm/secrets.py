@@ -12,7 +12,9 @@ share are expected to be random. The step-up needs one count for each class and
 number for each class.
 
 Spans are in code points with the end exclusive. Null and empty texts have none. An added span that meets a
-base span is not reported again. Repeated rows each get their spans and count each.
+base span is not reported again. Repeated rows each get their spans and count each. A table without rows gives
+none. Further columns, of any name, stay as they are where a text is masked, and are not read otherwise. Places
+are running sums by doubling, so a very long text takes time n log n in its spans.
 """
 
 from __future__ import annotations
@@ -47,20 +49,67 @@ BINS = 20
 LAST_BIN = 400
 
 
+#: Steps of a running sum: it covers arrays of up to 2 ** STEPS elements, more than a text of 2 GB has spans.
+STEPS = 27
+#: Code points of the blocks that a text is cut into before pieces are taken from it: a piece is looked for in its blocks only.
+PIECE = 4096
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, join=lambda a, b: a + b) -> Column:
+    """What join makes of each element and all before it: by doubling, so in n log n steps and not in n squared."""
+    def step(wide: int):
+        shifted = lambda x: F.zip_with(F.slice(x, F.lit(wide + 1), F.size(x)), F.slice(x, F.lit(1), F.size(x) - wide), join)
+        return lambda x: F.when(F.size(x) > wide, F.concat(F.slice(x, F.lit(1), F.lit(wide)), shifted(x))).otherwise(x)
+
+    for k in range(STEPS):
+        values = let(values, step(1 << k))
+    return values
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of the leftmost non-overlapping matches: gaps and matches alternate."""
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"), h.alias("hit")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + x["h"]
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("found"))
+    def placed(hits: Column) -> Column:
+        ends = running(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h)))
+        return F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
+
+    return F.when(text.rlike(pattern), let(hits, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+
+
+def _before(marks: Column, points: Column, at_point: bool) -> Column:
+    """Of each point, how many marks lie before it (or at it, too); both are sorted, and so is the result."""
+    first, second = (0, 1) if at_point else (1, 0)
+    events = F.array_sort(F.concat(F.transform(marks, lambda m: F.struct(m.alias("at"), F.lit(first).alias("order"), F.lit(1).alias("mark"))), F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(second).alias("order"), F.lit(0).alias("mark")))))
+    counted = let(events, lambda e: F.zip_with(e, running(F.transform(e, lambda x: x["mark"])), lambda x, n: F.struct(x["mark"].alias("mark"), n.alias("n"))))
+    return F.transform(F.filter(counted, lambda x: x["mark"] == 0), lambda x: x["n"])
+
+
+def apart(found: Column, others: Column) -> Column:
+    """The spans of found that meet none of the others; found has no overlaps and is in order.
+
+    More others begin before a span's end than end at or before its start just if one of them meets it.
+    """
+    begun = _before(F.array_sort(F.transform(others, lambda o: o["start"])), F.transform(found, lambda c: c["end"]), False)
+    ended = _before(F.array_sort(F.transform(others, lambda o: o["end"])), F.transform(found, lambda c: c["start"]), True)
+    free = F.zip_with(begun, ended, lambda b, e: b == e)
+    pairs = F.zip_with(found, free, lambda c, f: F.struct(c.alias("c"), f.alias("f")))
+    kept = F.transform(F.filter(pairs, lambda p: p["f"]), lambda p: p["c"])
+    return F.when((F.size(found) == 0) | (F.size(others) == 0), found).otherwise(kept)
+
 
-    found = F.aggregate(lengths, none, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none["found"])
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to before end of a text in blocks of `PIECE`."""
+    own = F.slice(blocks, F.floor(start / PIECE).cast("int") + 1, (F.floor((end - 1) / PIECE) - F.floor(start / PIECE)).cast("int") + 1)
+    base = lambda i: (F.floor(start / PIECE).cast("int") + i) * PIECE
+    part = lambda b, i: F.substring(b, F.greatest(start - base(i), F.lit(0)) + 1, F.least(end, base(i) + PIECE) - F.greatest(start, base(i)))
+    return F.when(end > start, F.array_join(F.transform(own, part), "")).otherwise("")
 
 
 def _count(text: Column, part: Column | str) -> Column:
@@ -146,8 +195,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     labelled = [_labelled(s, i) for i, s in found]
     tokens = F.filter(spans(t, TOKEN), lambda c: c["hit"].rlike("[0-9]") & c["hit"].rlike("[A-Za-z]"))
     docs = docs.withColumn("__base", F.array_sort(F.concat(*labelled))).withColumn("__candidates", F.transform(tokens, _inferred))
-    clear = F.filter("__candidates", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    docs = docs.withColumn("__candidates", clear).withColumn("__candidates", F.transform("__candidates", _coded))
+    docs = docs.withColumn("__candidates", apart(F.col("__candidates"), F.col("__base"))).withColumn("__candidates", F.transform("__candidates", _coded))
     return docs.withColumn("__candidates", F.transform("__candidates", _tested))
 
 
@@ -189,13 +237,14 @@ def masked(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", fdr: flo
     """docs with every secret span of the text replaced; spans that meet share one mask. Null texts stay null."""
     found = written(scanned(docs.select(F.struct(*docs.columns).alias("__row")), f"__row.`{text}`"), "scanned")
     hit = all_spans(found, thresholds(found, fdr)).withColumn("__text", F.col("__row")[text])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        kept = F.substring(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], kept, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    def cleaned(blocks: Column) -> Column:
+        reach = running(F.transform("__spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))  # where the spans so far end
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        parts = F.zip_with("__spans", before, lambda s, at: F.when(s["start"] >= at, F.concat(piece(blocks, at, s["start"]), F.lit(mask))).otherwise(""))
+        last = F.array_max(F.transform("__spans", lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), piece(blocks, last, F.length("__text")))
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length("__text")))
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, tail)).otherwise(F.col("__text"))
+    blocks = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = F.when(F.size("__spans") > 0, let(blocks, cleaned)).otherwise(F.col("__text"))
     return hit.select(*[clean.alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns])

@@ -1,11 +1,14 @@
 """Secret scans against brute-force versions in plain Python."""
 
+import itertools
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 from plumbline.llm import secrets
+from pyspark.sql import functions as F
 
 BASE = {
     "assign": re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -112,3 +115,46 @@ def test_masking(spark, documents, odd):
     assert got[20] == 'é [SECRET]" end'
     assert got[1] is None and got[2] == "" and out.count() == df.count()
     assert secrets.masked(df.limit(0)).count() == 0
+
+
+def test_pieces_running_sums_and_overlaps(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        text = "".join(r.choice("aé漢🙂 ") for _ in range(r.choice([0, 5, secrets.PIECE, 3 * secrets.PIECE + 7])))
+        cuts = sorted(r.sample(range(len(text) + 1), 2)) if text else [0, 0]
+        values = [r.randint(-9, 9) for _ in range(r.choice([0, 1, 2, 7, 64, 100]))]
+        marks = sorted(r.sample(range(400), 2 * r.randint(0, 20)))
+        found = [marks[k : k + 2] for k in range(0, len(marks), 2)]
+        others = [sorted(r.sample(range(400), 2)) for _ in range(r.choice([0, 0, 1, 3]))]
+        rows.append((i, text, *cuts, values, found, others))
+    df = spark.createDataFrame(rows, "i int, text string, a int, b int, v array<int>, f array<array<int>>, o array<array<int>>")
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{secrets.PIECE}}}"), F.lit(0))
+    pairs = lambda c: F.transform(c, lambda x: F.struct(x[0].alias("start"), x[1].alias("end")))
+    got = df.select("i", secrets.piece(blocks, F.col("a"), F.col("b")), secrets.running(F.col("v")), secrets.running(F.col("v"), lambda a, b: F.greatest(a, b)), secrets.apart(pairs(F.col("f")), pairs(F.col("o"))))
+    for (i, part, sums, tops, left), (_, text, a, b, v, f, o) in zip(sorted(map(tuple, got.collect())), rows):
+        assert part == text[a:b] and sums == list(itertools.accumulate(v)) and tops == list(itertools.accumulate(v, max))
+        assert [list(x) for x in left] == [c for c in f if not any(s < c[1] and c[0] < e for s, e in o)]
+
+
+def test_many_hits_in_one_long_text(spark):
+    """Time that grows with the square would take minutes here."""
+    def seconds(n):
+        text = " ".join(f"token=abc{i:07d}x then k{i:06d}aQzR7tYp2LmXw9sDv{i % 97}Z" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        (row,) = secrets.scan(df).select(F.size("__base"), F.size("__spans")).collect()
+        (out,) = secrets.masked(df).collect()
+        assert row[0] == n and out["text"].count("[SECRET]") >= n and "token=abc" not in out["text"]
+        return time.perf_counter() - began
+
+    seconds(1000)  # compiled code
+    assert seconds(32_000) < 12 * max(seconds(8000), 1)
+
+
+def test_megabyte_text_and_empty_table(spark):
+    text = "plain words é 🙂 " * 130_000 + "password = hunter2222"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = secrets.scan(df).select(secrets.rendered("__spans").alias("s")).collect()
+    assert row["s"] == f"assign:{len(text) - 21}:{len(text)}"
+    assert secrets.scan(df.limit(0)).count() == 0
