@@ -1,12 +1,15 @@
 """License scans by sentence rules.
 
 A text is cut into sentences twice: across its lines (after marks that end a sentence, colons at a line's end
-and blank lines), so that hard-wrapped notices are whole, and at every line end too, so that a line without a
-mark is one. Normalised sentences (lower case, words of letters, digits, `.`, `+` and `-` only) that are known
-get their identifier. A document's identifiers are those of the first cut in order, and after a gap those of
-the second that the first has not. They are matched against the rules in order, each a run of identifiers. A
-rule takes the identifiers that it matches, wherever they stand, so that a later and shorter rule sees what is
-left; no rule matches across the gap.
+or after words that lead to a list, and blank lines), so that hard-wrapped notices are whole, and at every line
+end too, so that a line without a mark is one. The dot of a company's form (`Acme Inc. nor`) ends no sentence where
+a small letter or a word such as AND follows. Normalised sentences (lower case, words of letters, digits, `.`, `+` and `-` only, without
+the number, letter or dash of a list before them) that are known get their identifier; so do those with a phrase of
+`FAMILIES`, whoever's name stands in them. A document's identifiers are those of the first cut in order, and after
+a gap those of the second that the first has not. They are matched against the rules in order, each a run of
+identifiers. A rule takes the identifiers that it matches, wherever they stand, so that a later and shorter rule
+sees what is left; no rule matches across the gap. A rule doesn't hold where one of its `UNLESS` stands anywhere:
+a licence with a clause more is rather unmatched than taken for a shorter one.
 
 Null and empty texts have none. Repeated rows each get their result. Further columns, of any name, are neither
 read nor returned. Texts without any of `ANCHORS` are not cut: every known sentence has one of them, as they
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +30,15 @@ from .common import text_of
 
 ACROSS = r"[.;!?]+(?:[ \t\r\n]+|$)|:[ \t\r]*\n|\n[ \t\r#*/;]*\n"
 LINES = r"[.;!?]+(?:[ \t\r\n]+|$)|[\r\n]+"
+# Forms of companies whose dot ends no sentence, and words whose colon leads to a list.
+FORMS, LEADS = "Inc|Ltd|Co|Corp|LLC|Bros", "conditions|following|met"
+#: What is replaced before a text is cut, and what is taken from the beginning of a normalised sentence.
+TIDY = [
+    (rf"(^|[^A-Za-z])({FORMS})[.]([ \t\r\n#*/;]+[a-z(])", r"{1}{2}{3}"),
+    (rf"(^|[^A-Za-z])({FORMS.upper()})[.]([ \t\r\n#*/;]+(?:AND|OR|NOR|AS)[^A-Za-z])", r"{1}{2}{3}"),
+    (rf"(^|[^A-Za-z])({LEADS}|{LEADS.upper()}):", r"{1}{2}."),
+]
+MARK = "^(?:(?:[-+.]+|[a-z]|[ivx]{1,4}|[0-9]{1,2}[.]?) )+"
 # Normalised sentences of licence texts and notices, and their identifiers.
 SENTENCES = {
     "licensed under the apache license version 2.0": "apache2-short",
@@ -84,19 +98,33 @@ SENTENCES = {
     "spdx-license-identifier gpl-3.0-only": "gpl3-spdx",
     "spdx-license-identifier mpl-2.0": "mpl2-spdx",
 }
+# Phrases of sentences that come with many names in them, and their identifiers.
+FAMILIES = {
+    "endorse or promote products": "bsd-names",
+    "advertising materials mentioning": "bsd-advert",
+    "^this software is provided by .* as is and any express or implied warranties": "bsd-warranty",
+    "^the software shall be used for good not evil$": "json-good",
+    "^except as contained in this notice the name": "x11-names",
+}
+# Identifiers beside which rules of a licence don't hold.
+UNLESS = {"BSD-2-Clause": ("bsd-names", "bsd-advert"), "BSD-3-Clause": ("bsd-advert",), "MIT": ("json-good", "x11-names")}
 # Fixed values, in the order in which they are tried: the identifiers that stand together, and the licence.
 RULES = [
     (("apache2-notice", "apache2-use", "apache2-warranty", "apache2-see"), "Apache-2.0"),
     (("apache2-notice", "apache2-use"), "Apache-2.0"),
+    (("mit-grant", "mit-notice", "json-good", "no-warranty", "mit-liability"), "JSON"),
+    (("mit-grant", "mit-notice", "no-warranty", "mit-liability", "x11-names"), "X11"),
     (("mit-grant", "mit-notice", "no-warranty", "mit-liability"), "MIT"),
     (("mit-grant", "mit-notice", "no-warranty"), "MIT"),
     (("mit-grant", "mit-notice"), "MIT"),
     (("isc-grant", "isc-warranty", "isc-liability"), "ISC"),
     (("isc-grant",), "ISC"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names", "bsd-warranty"), "BSD-4-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"), "BSD-2-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-names"), "BSD-3-Clause"),
-    (("bsd-grant",), "BSD-2-Clause"),
+    (("bsd-grant",), "LicenseRef-BSD"),
     (("gpl3-later", "gpl-warranty", "gpl-fitness", "gpl-details", "gpl-copy"), "GPL-3.0"),
     (("gpl2-later", "gpl-warranty", "gpl-fitness", "gpl-details", "gpl-copy"), "GPL-2.0"),
     (("gpl3-later", "gpl-warranty", "gpl-fitness"), "GPL-3.0"),
@@ -149,29 +177,36 @@ def anchors(keys: list[str], at_least: int = 6) -> list[str]:
     return out
 
 
-ANCHORS = anchors(list(SENTENCES))
+ANCHORS = anchors([*SENTENCES, *FAMILIES])
 ANCHOR = "|".join(ANCHORS)
 
 
 def sentences(text: Column, cut: str) -> Column:
     """array<string> of normalised sentences."""
-    tidy = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.+-]+", " ")), r"[ .]+$", "")
-    return F.transform(F.split(text, cut), tidy)
+    plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.+-]+", " ")), r"[ .]+$", "")
+    return F.transform(F.split(text, cut), lambda s: F.regexp_replace(plain(s), MARK, ""))
 
 
 def identified(text: Column, cut: str) -> Column:
     """array<string> of the identifiers of known sentences, in order."""
+    for pattern, put in TIDY:
+        text = F.regexp_replace(text, pattern, put.replace("{", "$").replace("}", ""))
     names = F.create_map(*[F.lit(x) for item in SENTENCES.items() for x in item])
-    return F.filter(F.transform(sentences(text, cut), lambda s: F.element_at(names, s)), lambda i: i.isNotNull())
+    family = lambda s: F.coalesce(*[F.when(s.rlike(phrase), i) for phrase, i in FAMILIES.items()])
+    return F.filter(F.transform(sentences(text, cut), lambda s: F.coalesce(F.element_at(names, s), family(s))), lambda i: i.isNotNull())
 
 
 def matched(sequence: Column) -> tuple[Column, Column]:
     """Of identifiers as ` a  b `: the licences by the rules in order, and what no rule took."""
     licences = []
+    whole = sequence
     for ids, licence in RULES:
-        run = "".join(f" {i} " for i in ids)
-        licences.append(F.when(F.contains(sequence, F.lit(run)), F.lit(licence)))
-        sequence = F.replace(sequence, F.lit(run), F.lit("  "))
+        run = F.lit("".join(f" {i} " for i in ids))
+        if others := UNLESS.get(licence):
+            beside = reduce(or_, [F.contains(whole, F.lit(f" {other} ")) for other in others])
+            run = F.when(beside, "\0").otherwise(run)  # which is in no sequence
+        licences.append(F.when(F.contains(sequence, run), F.lit(licence)))
+        sequence = F.replace(sequence, run, F.lit("  "))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*licences)))), sequence
 
 
@@ -192,14 +227,20 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def scan_sql() -> str:
     """The same as scan() over documents, in DuckDB's SQL."""
     names = ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items())
+    family = " ".join(f"WHEN regexp_matches(s, '{phrase}') THEN '{i}'" for phrase, i in FAMILIES.items())
     licences = [("".join(f" {i} " for i in ids), licence) for ids, licence in RULES]
     tries = ["s0 AS (SELECT *, sequence AS q, []::VARCHAR[] AS found FROM ids)"]
     for k, (run, licence) in enumerate(licences, 1):
-        tries.append(f"s{k} AS (SELECT * REPLACE (replace(q, '{run}', '  ') AS q, CASE WHEN contains(q, '{run}') THEN list_append(found, '{licence}') ELSE found END AS found) FROM s{k - 1})")
-    known = lambda cut: f"list_filter(list_transform(regexp_split_to_array(text, '{cut}'), lambda s: (MAP {{{names}}})[regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9.+-]+', ' ', 'g')), '[ .]+$', '')]), lambda i: i IS NOT NULL)"
+        holds = " AND ".join([f"contains(q, '{run}')", *[f"NOT contains(sequence, ' {other} ')" for other in UNLESS.get(licence, ())]])
+        tries.append(f"s{k} AS (SELECT * REPLACE (CASE WHEN {holds} THEN replace(q, '{run}', '  ') ELSE q END AS q, CASE WHEN {holds} THEN list_append(found, '{licence}') ELSE found END AS found) FROM s{k - 1})")
+    tidied = "text"
+    for pattern, put in TIDY:
+        tidied = f"regexp_replace({tidied}, '{pattern}', '{put.replace('{', chr(92)).replace('}', '')}', 'g')"
+    plain = "regexp_replace(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9.+-]+', ' ', 'g')), '[ .]+$', ''), '" + MARK + "', '')"
+    known = lambda cut: f"list_filter(list_transform(list_transform(regexp_split_to_array(text, '{cut}'), lambda s: {plain}), lambda s: coalesce((MAP {{{names}}})[s], CASE {family} END)), lambda i: i IS NOT NULL)"
     led = lambda ids: f"coalesce(list_aggregate(list_transform({ids}, lambda i: ' ' || i || ' '), 'string_agg', ''), '')"
     return f"""
-    WITH marked AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{ANCHOR}') THEN text ELSE '' END AS text FROM documents),
+    WITH marked AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{ANCHOR}') THEN {tidied} ELSE '' END AS text FROM documents),
     named AS (SELECT doc_id, {known(ACROSS)} AS across, {known(LINES)} AS lines FROM marked),
     apart AS (SELECT doc_id, across, list_filter(lines, lambda i: NOT list_contains(across, i)) AS lines FROM named),
     ids AS (SELECT doc_id, list_concat(across, lines) AS ids, {led("across")} || '|' || {led("lines")} AS sequence FROM apart),

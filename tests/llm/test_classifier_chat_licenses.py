@@ -108,14 +108,27 @@ NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"].replace("THIS SOFTWARE", "3. N
 
 def plain_scan(text):
     """scan() of one text in plain Python: sentences, identifiers and rules, without a prefilter."""
+    text = re.sub(r"((?:^|[^A-Za-z])(?:Inc|Ltd|Co|Corp|LLC|Bros))\.(?=[ \t\r\n#*/;]+[a-z(])", r"\1", text)
+    text = re.sub(r"((?:^|[^A-Za-z])(?:INC|LTD|CO|CORP|LLC|BROS))\.(?=[ \t\r\n#*/;]+(?:AND|OR|NOR|AS)[^A-Za-z])", r"\1", text)
+    text = re.sub(r"((?:^|[^A-Za-z])(?:conditions|following|met|CONDITIONS|FOLLOWING|MET)):", r"\1.", text)
     ends = {"across": r"[.;!?]+(?=\s|\Z)|:[ \t\r]*\n|\n[ \t\r#*/;]*\n", "lines": r"[.;!?]+(?=\s|\Z)|[\r\n]"}
     found = {}
+
+    def identifier(words):
+        while words and re.fullmatch(r"[-+.]+|[a-z]|[ivx]{1,4}|[0-9]{1,2}\.?", words[0]) and len(words) > 1:
+            words = words[1:]
+        sentence = " ".join(words)
+        families = [i for phrase, i in licenses.FAMILIES.items() if re.search(phrase, sentence)]
+        return licenses.SENTENCES.get(sentence) or (families[0] if families else None)
+
     for name, cut in ends.items():
-        kept = (re.findall(r"[a-z0-9.+-]+", s.lower()) for s in re.split(cut, text))
-        found[name] = [licenses.SENTENCES[k] for k in (re.sub(r"[ .]+$", "", " ".join(s)) for s in kept) if k in licenses.SENTENCES]
+        kept = (re.sub(r"[ .]+$", "", " ".join(re.findall(r"[a-z0-9.+-]+", s.lower()))) for s in re.split(cut, text))
+        found[name] = [i for k in kept if (i := identifier(k.split(" ")))]
     runs, licences = [found["across"], [i for i in found["lines"] if i not in found["across"]]], set()
     ids = [i for r in runs for i in r]
     for rule, licence in licenses.RULES:
+        if set(licenses.UNLESS.get(licence, ())) & set(ids):
+            continue
         for r in runs:
             at = 0
             while at <= len(r) - len(rule):
@@ -126,6 +139,36 @@ def plain_scan(text):
     return " ".join(ids), len(ids), ",".join(sorted(licences)), sum(i is not None for r in runs for i in r)
 
 
+def test_notices_as_they_are_written(spark, documents):
+    """Named holders, lettered and dashed clauses, whole texts on one line, clauses more than the known licence has."""
+    three, two, mit = NOTICES["BSD-3-Clause"], NOTICES["BSD-2-Clause"], NOTICES["MIT"]
+    named = three.replace("the copyright holder nor", "Acme Inc. nor").replace("PROVIDED BY THE COPYRIGHT HOLDERS", "PROVIDED BY ACME INC.")
+    author = re.sub("Neither the name .* may be used", "The name of the author may not be used", three)
+    advert = three.replace("3. Neither", "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by Acme.\n4. Neither")
+    lettered = lambda t: t.replace("\n1. ", "\na) ").replace("\n2. ", "\nb) ").replace("\n3. ", "\nc) ")
+    dashed = lambda t: re.sub(r"\n[123]\. ", "\n  - ", t)
+    flat = lambda t: re.sub(r"\s+", " ", t)
+    good = mit.replace("THE SOFTWARE IS", "The Software shall be used for Good, not Evil.\nTHE SOFTWARE IS")
+    x11 = mit + "\nExcept as contained in this notice, the name of Acme Ltd. shall not be used in advertising."
+    late = two + "\nThe names of Acme may not be used to endorse or promote products derived from this software."
+    cases = [
+        (named, "BSD-3-Clause"), (author, "BSD-3-Clause"), (lettered(named), "BSD-3-Clause"), (lettered(two), "BSD-2-Clause"), (dashed(three), "BSD-3-Clause"), (dashed(two), "BSD-2-Clause"),
+        (flat(three), "BSD-3-Clause"), (flat(named), "BSD-3-Clause"), (flat(two), "BSD-2-Clause"), (flat(mit), "MIT"), (f"Copyright 2021 Acme Co. All rights reserved. {flat(mit)}", "MIT,Proprietary"),
+        (two.split("\n")[0], "LicenseRef-BSD"), (good, "JSON"), (x11, "X11"), (late, "LicenseRef-BSD"), (NOTICES["Apache-2.0"].replace("\n", "\n# "), "Apache-2.0"), (flat(NOTICES["GPL-3.0"]), "GPL-3.0"),
+    ]
+    texts = [t for t, _ in cases] + [advert, "\n".join(f"// {line}" for t in textwrap.wrap(flat(named), 60) for line in [t])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(documents([(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [(i, got[i][2]) for i in range(len(cases))] == [(i, want) for i, (_, want) in enumerate(cases)]
+    assert not {"BSD-2-Clause", "BSD-3-Clause"} & set(got[len(cases)][2].split(",")) and got[len(cases) + 1][2] == "BSD-3-Clause"
+    assert [got[i] for i in range(len(texts))] == [plain_scan(t) for t in texts]
+
+
+def test_a_megabyte_of_notices(spark, documents):
+    text = "\n\n".join([NOTICES["MIT"], "word " * 50, NOTICES["GPL-3.0"]] * 600)
+    (row,) = licenses.scan(documents([(1, text, "a")])).collect()
+    assert len(text) > 1_000_000 and row["licences"] == "GPL-3.0,MIT" and row["n_sentences"] == 600 * 9
+
+
 def test_whole_notices(spark, documents):
     texts, want = [], []
     for licence, notice in NOTICES.items():
