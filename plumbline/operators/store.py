@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import checkpointed
+
 
 def lookup(df: DataFrame, **keys: object) -> DataFrame:
     """Rows whose columns equal the given values."""
@@ -65,6 +67,44 @@ def replace_partitions(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key).distinct(), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
+def overwrite_partitions(new: DataFrame, path: str, key: str, asked: DataFrame | None = None) -> None:
+    """Writes new in the place of the partitions of a table that its keys name; files of other partitions stay untouched.
+
+    The table lies below a path, partitioned by key. asked (key): keys that are replaced even if new has no rows for
+    them; those partitions go. Running it again gives the same table.
+    """
+    spark = new.sparkSession
+    new = checkpointed(new)
+    new.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(key).parquet(path)
+    if asked is None:
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in asked.select(key).distinct().join(new.select(key), key, "left_anti").where(F.col(key).isNotNull()).toLocalIterator():
+        files.delete(place(place(path), f"{key}={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(row[0]))}"), True)
+
+
+def appended(rows: DataFrame, path: str, key: str, arrays: list[str] = ()) -> DataFrame:
+    """Appends rows to a table below a path with keys of their own, and gives them back with their keys.
+
+    A key follows the greatest that the table has; keys of one call may have gaps. arrays are columns that have an element
+    each for the same things: a row in which their sizes differ fails the call before anything is written (nulls count as
+    no array).
+    """
+    spark = rows.sparkSession
+    if len(arrays) > 1:
+        sizes = [F.size(c) for c in arrays]
+        alike = reduce(lambda a, b: a & b, [(sizes[0] == s) | F.col(arrays[0]).isNull() | F.col(c).isNull() for c, s in zip(arrays[1:], sizes[1:])])
+        if odd := rows.where(~alike).select(*[s.alias(c) for s, c in zip(sizes, arrays)]).limit(1).collect():
+            raise ValueError(f"sizes differ: {odd[0].asDict()}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    top = spark.read.parquet(path).agg(F.max(key)).first()[0] if there else None
+    keyed = checkpointed(rows.withColumn(key, F.monotonically_increasing_id() + F.lit((top if top is not None else -1) + 1)))
+    keyed.write.mode("append").parquet(path)
+    return keyed
+
+
 def without_parents(table: DataFrame, gone: DataFrame, key: str, gone_key: str) -> DataFrame:
     """Rows of a dependent table that outlive their deleted parents."""
     return table.join(gone.select(F.col(gone_key).alias("__gone")).distinct(), F.col(key) == F.col("__gone"), "left_anti")

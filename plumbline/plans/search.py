@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import text as T
 from ..functions.scratch import fresh_path
+from ..operators import chunks as CH
 from ..operators import fulltext as FT
 from ..operators import retrieval as V
 from ..operators import rules as R
@@ -134,9 +135,18 @@ def hybrid_search(t):
 
 @query(f"WITH {KEYWORD_SQL} SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score, 'keyword' AS sources FROM keyword GROUP BY ALL")
 def arm_isolation(t):
-    """An arm that has nothing leaves the others as they are."""
-    nothing = V.vector_arm(t.embeddings.where("vec_id < 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), t.spark.createDataFrame([], "query_id long, vector array<float>"))
-    return V.fused({"vector": nothing, "keyword": _keywords(t)})
+    """Arms that have nothing, fail in a task or fail in their code leave the others as they are."""
+
+    def fails():
+        raise OSError("no embedding service")
+
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    bad = t.documents.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("disk")).cast("int")).alias("rank"))
+    arms = {
+        "vector": fails, "keyword": lambda: _keywords(t), "symbol": lambda: bad,
+        "near": lambda: V.vector_arm(vectors.where("id < 0"), t.spark.createDataFrame([], "query_id long, vector array<float>")),
+    }
+    return V.fused(V.surviving(arms)[0])
 
 
 @query("""SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(ceil(length(text) / 4)::BIGINT) OVER (PARTITION BY source ORDER BY lang, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 3000""")
@@ -385,6 +395,32 @@ def paragraph_chunks(t):
     return parts.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("part").cast("long").alias("n_chars"), F.md5("part").alias("hash"))
 
 
+@query("""WITH starts AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 100, 1)::BIGINT, 300)) AS start FROM documents WHERE length(text) > 0)
+    SELECT doc_id, start // 300 AS chunk, start, length(substr(text, start + 1, 400)) AS n_chars, md5(substr(text, start + 1, 400)) AS hash FROM starts""")
+def window_chunks(t):
+    found = CH.windows(t.documents, size=400, overlap=100)
+    return found.select("doc_id", "chunk", "start", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("hash"))
+
+
+@query("""WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS l, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+    orders2 AS (SELECT DISTINCT k, m FROM lines),
+    every AS (SELECT k, 0 AS pos, 'p.o.Order' || k AS symbol, 'CLASS' AS kind, 3 AS start_line, 4 + 3 * m + 4 AS end_line FROM orders2
+        UNION ALL SELECT k, i, 'p.o.Order' || k || CASE f WHEN 'R' THEN '#<init>' ELSE '#line' || l END, 'METHOD', 2 + 3 * i, 4 + 3 * i FROM lines
+        UNION ALL SELECT k, m + 1, 'p.o.Order' || k || '$State', 'CLASS', 5 + 3 * m, 7 + 3 * m FROM orders2
+        UNION ALL SELECT k, m + 2, 'p.o.Order' || k || '$State#of', 'METHOD', 6 + 3 * m, 6 + 3 * m FROM orders2)
+    SELECT k AS path, (row_number() OVER (PARTITION BY k ORDER BY pos) - 1)::INT AS n, symbol, kind, start_line::INT AS start_line, end_line::INT AS end_line FROM every""")
+def structural_chunks(t):
+    """A class for each order with a method or constructor for each of its lines, and an enum inside."""
+    name = F.concat(F.lit("Order"), F.col("l_orderkey").cast("string"))
+    called = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("  public "), name)).otherwise(F.concat(F.lit("  @Line('{') <T> java.util.List<T> line"), F.col("l_linenumber").cast("string")))
+    method = F.concat(called, F.lit('(int n) {\n    if (n > 0) { log("}"); } // {\n  }\n'))
+    lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("l_orderkey", name.alias("name"), F.struct("l_linenumber", method.alias("m")).alias("x"))
+    body = F.array_join(F.array_sort(F.collect_list("x")).getField("m"), "")
+    source = F.concat(F.lit("/* class None { */\npackage p.o;\nfinal class "), F.first("name"), F.lit(" extends Base<Order> {\n  int[] sizes = {1, 2}; int total = f(3);\n"), body, F.lit("  enum State { A(\"x\") { }, B;\n    static State of() { return A; }\n  }\n}\n"))
+    files = lines.groupBy(F.col("l_orderkey").alias("path")).agg(source.alias("content"))
+    return CH.structural(files).drop("content")
+
+
 @query()
 def schema_catalog(t):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.scratch import fresh_path
 from ..operators import store as S
 from .registry import query
 
@@ -265,6 +266,32 @@ def replace_partition(t):
     return S.replace_partitions(old, new, "s_nationkey")
 
 
+@query("""SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (2, 3))
+    UNION ALL SELECT s_suppkey + 1000, 'again', s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)""")
+def partition_overwrite(t):
+    """Suppliers by nation, written; those of one region are written anew, twice, and another region has none left."""
+    path = fresh_path(t.spark, "suppliers")
+    old = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    S.overwrite_partitions(old, path, "s_nationkey")
+    nations = lambda *regions: t.nation.where(F.col("n_regionkey").isin(*regions)).select(F.col("n_nationkey").alias("s_nationkey"))
+    new = old.join(nations(2), "s_nationkey", "left_semi").select((F.col("s_suppkey") + 1000).alias("s_suppkey"), F.lit("again").alias("s_name"), "s_nationkey")
+    for _ in range(2):
+        S.overwrite_partitions(new, path, "s_nationkey", nations(2, 3))
+    return t.spark.read.schema(old.schema).parquet(path)
+
+
+@query("SELECT c_custkey, count(*) AS n, count(*) AS keys FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 2 = 0 GROUP BY c_custkey UNION ALL SELECT c_custkey, 2 * count(*), 2 * count(*) FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 2 = 1 GROUP BY c_custkey")
+def append_keys(t):
+    """Orders appended in two calls, those of odd customers in both, with keys that the table gives."""
+    path = fresh_path(t.spark, "appended")
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", F.array("o_orderkey").alias("a"), F.array("o_orderstatus").alias("b"))
+    first = S.appended(rows, path, "key", ["a", "b"])
+    again = S.appended(rows.where("c_custkey % 2 = 1"), path, "key", ["a", "b"])
+    given = first.union(again).select("key", F.col("c_custkey").alias("c"))
+    table = t.spark.read.parquet(path)
+    return table.join(given, (table["key"] == given["key"]) & (F.col("c") == F.col("c_custkey"))).groupBy("c_custkey").agg(F.count("*").alias("n"), F.count_distinct(table["key"]).alias("keys"))
+
+
 @query("""SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY l_orderkey""")
 def cascade_delete(t):
     return S.without_parents(t.lineitem, t.orders.where("o_orderstatus = 'P'"), "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
