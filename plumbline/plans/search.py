@@ -402,7 +402,7 @@ def window_chunks(t):
     return found.select("doc_id", "chunk", "start", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("hash"))
 
 
-@query("""WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS l, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+@query("""WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS l, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag = 'R') AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
     orders2 AS (SELECT DISTINCT k, m FROM lines),
     every AS (SELECT k, 0 AS pos, 'p.o.Order' || k AS symbol, 'CLASS' AS kind, 3 AS start_line, 4 + 3 * m + 4 AS end_line FROM orders2
         UNION ALL SELECT k, i, 'p.o.Order' || k || CASE f WHEN 'R' THEN '#<init>' ELSE '#line' || l END, 'METHOD', 2 + 3 * i, 4 + 3 * i FROM lines
