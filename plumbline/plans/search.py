@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as T
-from ..functions.scratch import fresh_path
+from ..functions.scratch import fresh_path, kept_path
+from ..operators import cells as VC
 from ..operators import chunks as CH
 from ..operators import fulltext as FT
 from ..operators import retrieval as V
@@ -62,6 +63,16 @@ def knn_cosine(t):
     return V.vector_arm(vectors, vectors.where("id % 100 = 0").withColumnRenamed("id", "query_id"))
 
 
+@query(f"WITH {VECTOR_SQL.format('id % 100 = 0')} SELECT query_id, id, distance, rank FROM vector")
+def knn_cells(t):
+    """The same from the kept index by cells, all of which are probed."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = VC.CellIndex(t.spark, kept_path(t.embeddings, "cells"))
+    if not index.built():
+        index.build(vectors)
+    return index.search(vectors.where("id % 100 = 0").withColumnRenamed("id", "query_id"), probes=VC.MOST_CELLS)
+
+
 @query(f"WITH {KEYWORD_SQL} SELECT query_id, id, score, rank FROM keyword")
 def keyword_topk(t):
     return _keywords(t)
