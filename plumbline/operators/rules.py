@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Package prefixes and the artifacts that replace them.
 ARTIFACTS = [
     ("javax.xml.ws", "jakarta.xml.ws:jakarta.xml.ws-api:4.0.1"),
@@ -186,6 +188,30 @@ def merged(sources: list[DataFrame], key: str, order: str) -> DataFrame:
     return every.withColumn("__n", rank).where("__n = 1").withColumnRenamed("__source", "priority").drop("__n", "__key")
 
 
+def normal_path(path: str) -> Column:
+    """A path as it is compared: slashes only, in lower case."""
+    return F.lower(F.translate(path, "\\", "/"))
+
+
+def enriched(targets: DataFrame, steps: DataFrame, removed: DataFrame, legacy: DataFrame, breaking: DataFrame) -> DataFrame:
+    """targets (project, path) with `reason` and `detail`: why each file is in the plan.
+
+    The rationale of the first step of the file counts (steps: project, n, path, rationale; by n), unless it is blank, even
+    if a later step of the same file has one. Then what scans explain, in this order: imports that are removed (removed:
+    project, path, flag; all of them are the detail), legacy namespaces, breaking interfaces (project, path each); else
+    `unexplained`. Paths are compared by `normal_path`. Steps without a path are none.
+    """
+    key = normal_path("path").alias("__key")
+    first = steps.where(F.length(F.trim("path")) > 0).groupBy("project", key).agg(F.min_by("rationale", "n").alias("__said"))
+    flags = removed.where("flag is not null").groupBy("project", key).agg(F.array_join(F.array_sort(F.collect_set("flag")), ", ").alias("__flags"))
+    out = targets.withColumn("__key", normal_path("path")).join(first, ["project", "__key"], "left").join(flags, ["project", "__key"], "left")
+    for name, scan in (("__legacy", legacy), ("__breaking", breaking)):
+        out = out.join(scan.select("project", key).distinct().withColumn(name, F.lit(True)), ["project", "__key"], "left")
+    said = F.length(F.trim(F.coalesce("__said", F.lit("")))) > 0
+    reason = F.when(said, "model").when(F.col("__flags").isNotNull(), "removed").when(F.col("__legacy"), "legacy").when(F.col("__breaking"), "breaking").otherwise("unexplained")
+    return out.select(*targets.columns, reason.alias("reason"), F.when(said, F.col("__said")).otherwise(F.col("__flags")).alias("detail"))
+
+
 def error_blocks(lines: DataFrame, key: str, number: str, line: str, head: str) -> DataFrame:
     """Lines with the number of their block; a block begins at a line that matches `head`, earlier lines are dropped."""
     by = Window.partitionBy(key).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
@@ -216,6 +242,17 @@ def parent_upgrade(version: Column, target: str = PARENT_VERSION) -> Column:
     return F.when(lower.isNull(), "none").when(lower, "upgrade").otherwise("keep")
 
 
+def level_upgrade(declared: DataFrame, file: str, level: str, target: int) -> DataFrame:
+    """(file, least, decision) of the Java levels that files declare, a row for each declaration or one of null.
+
+    `add` if a file declares none, `unknown` if none of what it declares is a number, `upgrade` if the least number is
+    below the target, else `keep`.
+    """
+    least = F.min(T.java_major(F.col(level)))
+    decision = F.when(F.count(level) == 0, "add").when(least.isNull(), "unknown").when(least < target, "upgrade").otherwise("keep")
+    return declared.groupBy(file).agg(least.alias("least"), decision.alias("decision"))
+
+
 def dependency_changes(dependencies: DataFrame, renames: DataFrame, bumps: DataFrame) -> DataFrame:
     """dependencies (grp, artifact, version) with the new names and version, and `change`: rename, bump or keep.
 

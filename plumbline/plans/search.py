@@ -334,6 +334,36 @@ def plan_enrichment(t):
     return joined.select("doc_id", F.coalesce("a", "b", F.when(F.col("n_chars") > 5000, "long"), F.lit("plain")).alias("reason"))
 
 
+@query("""WITH steps AS (SELECT o_custkey AS project, o_orderkey AS n, 'src/A' || (o_orderkey % 9) || '.java' AS path, CASE o_orderpriority WHEN '1-URGENT' THEN ' ' WHEN '2-HIGH' THEN NULL ELSE o_orderpriority END AS rationale FROM orders WHERE o_orderstatus = 'F'),
+    targets AS (SELECT DISTINCT o_custkey AS project, 'SRC' || chr(92) || 'a' || (o_orderkey % 9) || '.java' AS path FROM orders),
+    first AS (SELECT project, lower(path) AS k, arg_min_null(rationale, n) AS said FROM steps GROUP BY ALL),
+    lines AS (SELECT o_custkey AS project, 'src/a' || (o_orderkey % 9) || '.java' AS k, CASE WHEN l_linenumber > 5 THEN 'R' ELSE 'S' END || l_linenumber AS flag, l_returnflag AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+    flags AS (SELECT project, k, string_agg(DISTINCT flag, ', ' ORDER BY flag) AS flags FROM lines WHERE flag LIKE 'R%' GROUP BY ALL),
+    found AS (SELECT t.*, nullif(trim(said), '') AS said, flags, EXISTS (SELECT 1 FROM lines l WHERE l.project = t.project AND l.k = lower(replace(t.path, chr(92), '/')) AND r = 'R') AS legacy,
+        EXISTS (SELECT 1 FROM lines l WHERE l.project = t.project AND l.k = lower(replace(t.path, chr(92), '/')) AND r = 'A') AS breaking
+        FROM targets t LEFT JOIN first f ON f.project = t.project AND f.k = lower(replace(t.path, chr(92), '/')) LEFT JOIN flags g ON g.project = t.project AND g.k = lower(replace(t.path, chr(92), '/')))
+    SELECT project, path, CASE WHEN said IS NOT NULL THEN 'model' WHEN flags IS NOT NULL THEN 'removed' WHEN legacy THEN 'legacy' WHEN breaking THEN 'breaking' ELSE 'unexplained' END AS reason, coalesce(said, flags) AS detail FROM found""")
+def plan_rationales(t):
+    """A customer's orders name files of a project, their lines what scans find in them; paths differ in case and slashes."""
+    file = lambda head: F.concat(F.lit(head), (F.col("o_orderkey") % 9).cast("string"), F.lit(".java"))
+    said = F.when(F.col("o_orderpriority") == "1-URGENT", " ").when(F.col("o_orderpriority") != "2-HIGH", F.col("o_orderpriority"))
+    project = F.col("o_custkey").alias("project")
+    steps = t.orders.where("o_orderstatus = 'F'").select(project, F.col("o_orderkey").alias("n"), file("src/A").alias("path"), said.alias("rationale"))
+    lines = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(project, file("src/a").alias("path"), F.concat(F.when(F.col("l_linenumber") > 5, "R").otherwise("S"), F.col("l_linenumber").cast("string")).alias("flag"), "l_returnflag")
+    targets = t.orders.select(project, file("SRC\\a").alias("path")).distinct()
+    return R.enriched(targets, steps, lines.where("flag like 'R%'"), lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"))
+
+
+@query("""WITH declared AS (SELECT o_orderkey, CASE l_linenumber % 4 WHEN 0 THEN '1.' || (5 + l_linenumber) WHEN 1 THEN '' || (l_partkey % 22) WHEN 2 THEN '${java.version}' END AS level FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey),
+    least AS (SELECT o_orderkey, count(level) AS n, min(TRY_CAST(regexp_extract(regexp_replace(level, '^1[.]', ''), '^([0-9]+)$', 1) AS INT)) AS least FROM declared GROUP BY ALL)
+    SELECT o_orderkey, least, CASE WHEN n = 0 THEN 'add' WHEN least IS NULL THEN 'unknown' WHEN least < 17 THEN 'upgrade' ELSE 'keep' END AS decision FROM least""")
+def java_level(t):
+    case = F.col("l_linenumber") % 4
+    level = F.when(case == 0, F.concat(F.lit("1."), (5 + F.col("l_linenumber")).cast("string"))).when(case == 1, (F.col("l_partkey") % 22).cast("string")).when(case == 2, "${java.version}")
+    declared = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", level.alias("level"))
+    return R.level_upgrade(declared, "o_orderkey", "level", 17)
+
+
 @query("""WITH every AS (SELECT 0 AS priority, url AS path, page_id FROM pages WHERE url LIKE '%/en/%' UNION ALL SELECT 1, upper(url), page_id FROM pages WHERE url LIKE 'https%' UNION ALL SELECT 2, replace(url, '/', chr(92)), page_id FROM pages)
     SELECT priority, path, page_id FROM every QUALIFY row_number() OVER (PARTITION BY lower(replace(path, chr(92), '/')) ORDER BY priority, page_id) = 1""")
 def ordered_union_merge(t):

@@ -110,6 +110,16 @@ def stream_gate_timers(t):
     return W.landed(W.gates(_events(t).withColumn("gate", gate), "gate", "ts", "event_id", kind, 14_400), "gates")
 
 
+@query("""WITH RECURSIVE asked AS (SELECT user_id, event_id AS n, epoch_us(ts) // 1000 AS at_ms, (event_id % 7) * 14400000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+    walk AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::BIGINT[] AS ends, NULL::BIGINT AS n, NULL::BOOLEAN AS admitted, 0::BIGINT AS at_ms FROM asked
+        UNION ALL SELECT a.user_id, a.i, CASE WHEN len(list_filter(w.ends, lambda e: e > a.at_ms)) < 2 THEN list_append(list_filter(w.ends, lambda e: e > a.at_ms), a.at_ms + a.ms) ELSE list_filter(w.ends, lambda e: e > a.at_ms) END,
+            a.n, len(list_filter(w.ends, lambda e: e > a.at_ms)) < 2, a.at_ms FROM walk w JOIN asked a ON a.user_id = w.user_id AND a.i = w.i + 1)
+    SELECT user_id AS key, n, admitted, len(ends)::INT AS running, at_ms FROM walk WHERE i > 0""")
+def stream_admissions(t):
+    """Each user's events as requests that run for some hours, two at once at most."""
+    return W.landed(W.admissions(_events(t), "user_id", "ts", "event_id", F.col("event_id") % 7 * 14_400_000, 2), "admissions")
+
+
 @query("""SELECT DISTINCT ts, user_id, event_type FROM (SELECT ts, user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-20' UNION ALL SELECT ts, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10') ORDER BY ts DESC, user_id, event_type LIMIT 50""")
 def stream_snapshot_history(t):
     snapshot = t.events.where("ts < TIMESTAMP_NTZ '2024-01-20'").select("ts", "user_id", "event_type")

@@ -1,6 +1,6 @@
-"""Streaming operators that keep state for each key and act when time passes: liveness, and gates that expire.
+"""Streaming operators that keep state for each key and act when time passes: liveness, gates that expire, caps on what runs.
 
-Both run with `transformWithState` on RocksDB. In event time, rows wait in the state until the watermark has passed them
+They run with `transformWithState` on RocksDB. In event time, rows wait in the state until the watermark has passed them
 and are then taken in the order of their times, so results don't depend on how rows were dealt into batches, as long as
 none is later than the delay; rows that are later are dropped before they get here. A timer stands at the next moment at
 which something may happen to a key, and the watermark is the clock that it is compared with. In processing time, rows are
@@ -143,6 +143,31 @@ class Gate(Timed):
         return None if held["opened"] is None or held["decided"] else held["opened"] + self.most + 1
 
 
+class Admission(Timed):
+    """Requests of a scope are let in as long as fewer than `most` of those let in before are still running; others are
+    refused and never run. A request says for how many milliseconds it runs."""
+
+    fields = "running string"
+    columns = ["key", "n", "admitted", "running", "at_ms"]
+
+    def __init__(self, most: int, event_time: bool) -> None:
+        self.most, self.event_time = most, event_time
+
+    def pass_to(self, held: dict, at: int) -> list[tuple]:
+        held["running"] = ",".join(end for end in (held["running"] or "").split(",") if end and int(end) > at)
+        return []
+
+    def take(self, held: dict, at: int, n: int, kind: str) -> list[tuple]:
+        ends = [end for end in held["running"].split(",") if end]
+        admitted = len(ends) < self.most
+        if admitted:
+            held["running"] = ",".join([*ends, str(at + int(kind))])
+        return [(n, admitted, len(ends) + admitted, at)]
+
+    def next_at(self, held: dict) -> int | None:
+        return None
+
+
 def _timed(events: DataFrame, key: str, ts: str, order: str, kind: Column, processor: Timed, delay: str, out: str) -> DataFrame:
     at = F.col(ts).cast("timestamp")
     rows = events.select(F.col(key).alias("key"), at.alias("ts"), F.unix_millis(at).alias("at"), F.col(order).cast("long").alias("n"), kind.alias("kind"))
@@ -170,6 +195,12 @@ def gates(events: DataFrame, key: str, ts: str, order: str, kind: Column, second
     return _timed(events, key, ts, order, kind, Gate(seconds * 1000, event_time), delay, "status string, reviewer string, at_ms long")
 
 
+def admissions(events: DataFrame, key: str, ts: str, order: str, milliseconds: Column, most: int, delay: str = "0 seconds", event_time: bool = True) -> DataFrame:
+    """(key, n, admitted, running, at_ms): which requests of each scope are let in under a cap of `most` at once, and how many then run."""
+    kind = F.coalesce(milliseconds, F.lit(0)).cast("long").cast("string")
+    return _timed(events, key, ts, order, kind, Admission(most, event_time), delay, "n long, admitted boolean, running int, at_ms long")
+
+
 def landed(timed: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """What a stream of these operators wrote, with its state in the folder."""
     with _stores(timed.sparkSession):

@@ -117,3 +117,23 @@ def test_replay(spark):
     rows = [(1, "p", "REWRITE", 1, "SUCCEEDED", "x"), (1, "p", "REWRITE", 2, "SUCCEEDED", "y"), (1, "p", "REWRITE", 3, "FAILED", "z"), (1, "q", "PARENT", 1, "SUCCEEDED", "last"), (1, "q", "DEPENDENCY", 5, "SUCCEEDED", "before"), (1, "r", "POM", 1, "FAILED", "none")]
     results = spark.createDataFrame(rows, "task long, path string, kind string, attempt int, status string, text string")
     assert {r["path"]: r["text"] for r in control.replayed(results, "task", "path").collect()} == {"p": "y", "q": "last"}
+
+
+def test_reasons_of_plans(spark):
+    steps = [("p", 2, "a\\B.java", "later"), ("p", 1, "A/b.JAVA", "first"), ("p", 1, "c", " "), ("p", 2, "c", "too late"), ("p", 3, None, "x"), ("p", 4, " ", "x"), ("q", 1, "d", "other project")]
+    removed = [("p", "C", "sun.misc"), ("p", "c", "javax.xml"), ("p", "c", "sun.misc"), ("p", "e", None)]
+    targets = [("p", "a/b.java"), ("p", "c"), ("p", "d"), ("p", "e"), ("p", "f"), ("q", "D")]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    found = rules.enriched(
+        frame(targets, "project string, path string"), frame(steps, "project string, n int, path string, rationale string"), frame(removed, "project string, path string, flag string"),
+        frame([("p", "d"), ("p", "D"), ("p", "c")], "project string, path string"), frame([("p", "d"), ("p", "e")], "project string, path string"),
+    ).collect()
+    assert sorted((r["project"], r["path"], r["reason"], r["detail"]) for r in found) == [
+        ("p", "a/b.java", "model", "first"), ("p", "c", "removed", "javax.xml, sun.misc"), ("p", "d", "legacy", None), ("p", "e", "breaking", None), ("p", "f", "unexplained", None), ("q", "D", "model", "other project"),
+    ]
+
+
+def test_java_levels(spark):
+    rows = [("a", "1.8"), ("a", "17"), ("b", "21"), ("b", "${x}"), ("c", "${x}"), ("d", None), ("e", "17.0.1")]
+    found = rules.level_upgrade(spark.createDataFrame(rows, "pom string, level string"), "pom", "level", 17).collect()
+    assert sorted(map(tuple, found)) == [("a", 8, "upgrade"), ("b", 21, "keep"), ("c", None, "unknown"), ("d", None, "add"), ("e", 17, "keep")]

@@ -84,6 +84,15 @@ def test_a_decision_of_no_gate_and_one_at_the_deadline(feed):
     assert decided(feed) == [("m", "APPROVED", "user", 60), ("n", "REFUSED", "user", 1), ("o", "REFUSED", "user", 61), ("o", "REJECTED", "system", 60)]
 
 
+def test_requests_over_the_cap_are_refused(feed):
+    """Over batches and a restart; one that ends at the moment another comes makes room."""
+    ask = lambda: [r[2:] for r in seen(timers.landed(timers.admissions(feed.stream(), "key", "at", "n", F.col("kind").cast("long"), 2), "a", feed.folder))]
+    feed.add(("a", 0, "10000"), ("a", 1, "30000"), ("a", 2, "5000"), ("b", 2, "0")).add(("a", 9, "1"), ("z", 9, "1"))
+    assert sorted(ask(), key=lambda r: r[2]) == [(True, 1, 0), (True, 2, 1), (False, 2, 2), (True, 1, 2), (False, 2, 9), (True, 1, 9)]
+    feed.add(("a", 10, "60000"), ("a", 11, "1")).add(("z", 40, "1"))
+    assert sorted(ask(), key=lambda r: r[2])[6:] == [(True, 2, 10), (False, 2, 11), (True, 1, 40)]
+
+
 def test_the_machines_clock(spark, feed):
     feed.add(("a", 0, "message"))
     watched = timers.liveness(feed.stream(), "key", "at", "n", F.col("kind") == "message", 2, event_time=False)
