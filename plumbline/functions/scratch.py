@@ -51,5 +51,9 @@ def kept_path(df: DataFrame, name: str) -> str:
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, kept, for the small side of a join: to be broadcast if it has at most so many rows, else shuffled."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return near(checkpointed(df), rows)
+
+
+def near(kept: DataFrame, rows: int = 100_000) -> DataFrame:
+    """small() of what is kept already."""
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import checkpointed
+from ..functions.scratch import checkpointed, near
 
 
 def edges(nodes: DataFrame, key: str, needs: str, scope: str) -> DataFrame:
@@ -90,11 +90,12 @@ def _doubled(single: DataFrame) -> DataFrame:
 def expand(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, hops) reached from seeds (node) over links (src, dst) in at most `depth` hops, without the seeds.
 
-    Each hop's new nodes are kept, so the plan grows by one join a hop; it ends early when a hop finds none.
+    Each hop's new nodes are kept, so the plan grows by one join a hop; it ends early when a hop finds none. While few nodes
+    are new, they go to the links and no link is moved. Links may be repeated.
     """
     seen = frontier = checkpointed(seeds.select("node", F.lit(0).alias("hops")).distinct())
     for hop in range(1, depth + 1):
-        reached = links.join(frontier, links.src == frontier.node).select(F.col("dst").alias("node")).distinct()
+        reached = links.join(near(frontier), F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
         frontier = checkpointed(reached.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops")))
         if not frontier.limit(1).count():
             break

@@ -18,6 +18,8 @@ from ..functions.scratch import checkpointed, small
 #: The similarities at which nearest ones are searched; at 0 any common trigram will do.
 STEPS = (0.8, 0.6, 0.45, 0.3, 0.15, 0.0)
 PARTS = 16
+#: Among so few strings any common trigram will do at once: a query meets no more of them than that.
+FEW = 1000
 
 
 def gram_sets(strings: DataFrame, *others: DataFrame) -> list[DataFrame]:
@@ -63,7 +65,7 @@ def nearest(queries: DataFrame, strings: DataFrame, n: int, itself: bool = True,
     that are as near as the last of them; fewer if fewer have a trigram in common. Without `itself` equal strings don't count."""
     known, asked = gram_sets(strings, queries)
     out = None
-    for t in steps:
+    for t in steps if known.limit(FEW + 1).count() > FEW else steps[-1:]:
         pairs = candidates(asked, known, t)
         pairs = checkpointed(pairs if itself else pairs.where("s <> other"))
         if t:

@@ -236,7 +236,7 @@ def dag_slots(t):
     SELECT dst AS node, 1 AS hops FROM one WHERE dst NOT IN ('p1', 'p2') UNION ALL SELECT dst, 2 FROM two WHERE dst NOT IN (SELECT dst FROM one) AND dst NOT IN ('p1', 'p2')""")
 def bfs_expand_2hop(t):
     pairs = t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
-    links = pairs.union(pairs.select("dst", "src")).distinct()
+    links = pairs.union(pairs.select("dst", "src"))
     return G.expand(links, t.spark.createDataFrame([("p1",), ("p2",)], "node string"), 2)
 
 

@@ -192,7 +192,7 @@ def index_build(t):
     SELECT query_id, id, hops FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hops, id) <= 40""")
 def dependency_neighbours(t):
     pairs = t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
-    links = pairs.union(pairs.select("dst", "src")).distinct()
+    links = pairs.union(pairs.select("dst", "src"))
     hits = t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
     return V.dependency_neighbours(hits, links, 2, 40)
 

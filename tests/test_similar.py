@@ -37,8 +37,9 @@ def test_candidates_are_all_pairs_that_are_so_near(spark, t):
     assert sorted(found) == sorted(want)
 
 
-@pytest.mark.parametrize("itself", [True, False])
-def test_nearest(spark, itself):
+@pytest.mark.parametrize(("itself", "few"), [(True, 0), (False, 0), (False, 1000)])
+def test_nearest(spark, monkeypatch, itself, few):
+    monkeypatch.setattr(similar, "FEW", few)
     values = strings(3, 90)
     found = {}
     for r in similar.nearest(table(spark, values), table(spark, values), 3, itself).withColumn("x", similar.similarity()).collect():
