@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import checkpointed
+
 # Statuses of tasks that have ended, and commands with the statuses that allow them and what follows.
 TERMINAL = ["SUCCEEDED", "FAILED", "CANCELLED"]
 ALLOWED = [
@@ -52,10 +56,33 @@ def sweep(folders: DataFrame, tasks: DataFrame, now: Column, days: int) -> DataF
     return joined.select(*folders.columns, F.col("status").isNull().alias("orphan"), decision.alias("decision"))
 
 
-def sweep_counts(decided: DataFrame) -> DataFrame:
+def removed(decided: DataFrame, remove: Callable[[object], None]) -> DataFrame:
+    """decided after `remove` was called, in tasks, with the name of each folder to delete: `failed` where it raised.
+
+    One that fails doesn't keep the others, and stays for the next sweep. A task that is run again removes again, so
+    `remove` has to take a folder that is gone already for removed.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def outcome(name: object, decision: str) -> str:
+            if decision != "delete":
+                return decision
+            try:
+                remove(name)
+            except Exception:
+                return "failed"
+            return decision
+
+        for b in batches:
+            yield b.assign(decision=[outcome(n, d) for n, d in zip(b["name"], b["decision"])])
+
+    return checkpointed(decided.mapInPandas(each, decided.schema))
+
+
+def sweep_counts(decided: DataFrame, with_failed: bool = False) -> DataFrame:
     """One row: how many folders were scanned, and of each decision."""
     n = lambda d: F.count_if(F.col("decision") == d)
-    return decided.agg(F.count("*").alias("scanned"), n("delete").alias("deleted"), n("keep").alias("kept"), n("active").alias("active"), F.count_if("orphan").alias("orphans"))
+    return decided.agg(F.count("*").alias("scanned"), n("delete").alias("deleted"), n("keep").alias("kept"), n("active").alias("active"), F.count_if("orphan").alias("orphans"), *([n("failed").alias("failed")] if with_failed else []))
 
 
 def emptied(tables: dict[str, DataFrame], dry_run: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:

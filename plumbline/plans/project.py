@@ -129,6 +129,21 @@ def retention_sweep(t):
     return C.sweep_counts(C.sweep(folders, tasks, F.expr("TIMESTAMP_NTZ '1997-01-01'"), 90))
 
 
+@query("""WITH decided AS (SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'active' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'delete' END ELSE 'keep' END AS decision FROM orders)
+    SELECT count(*) AS scanned, count(*) FILTER (decision = 'delete') AS deleted, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'active') AS active, 0::BIGINT AS orphans, count(*) FILTER (decision = 'failed') AS failed FROM decided""")
+def retention_removal(t):
+    """A sweep whose removals fail for some folders."""
+
+    def remove(name):
+        if name % 7 == 0:
+            raise OSError(f"folder {name} is in use")
+
+    key = F.col("o_orderkey")
+    folders = t.orders.select(key.alias("name"), key.alias("task_id"), F.col("o_orderdate").alias("modified"))
+    tasks = t.orders.select(key.alias("task_id"), F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("RUNNING").alias("status"), F.col("o_orderdate").alias("ended"))
+    return C.sweep_counts(C.removed(C.sweep(folders, tasks, F.expr("TIMESTAMP_NTZ '1996-03-31'"), 90), remove), with_failed=True)
+
+
 @query("SELECT 'events' AS name, count(*) AS before, 0 AS after FROM events UNION ALL SELECT 'orders', count(*), 0 FROM orders UNION ALL SELECT 'lineitem', count(*), 0 FROM lineitem")
 def reset_counts(t):
     left, counts = C.emptied({"events": t.events, "orders": t.orders, "lineitem": t.lineitem}, dry_run=False)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Folders whose files are not sources.
 IGNORED = ["target", "build", "out", ".git", ".idea", ".mvn", "node_modules", ".gradle"]
 MOST_FILES = 20
+#: How deep reports may lie below a project, the file's name included.
+DEEPEST = 8
 
 
 def relative(path: Column, root: str) -> Column:
@@ -68,9 +70,11 @@ def checked_catalogue(cases: DataFrame, version: int) -> DataFrame:
 
 
 def test_suites(spark: SparkSession, root: str) -> DataFrame:
-    """(path, total, failed, skipped, passed, failed_names) of surefire reports; broken files are left out."""
+    """(path, total, failed, skipped, passed, failed_names) of surefire reports; broken files are left out, and those that lie
+    more than `DEEPEST` folders and names below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "TEST-*.xml").load(root)
-    rows = files.where(F.element_at(F.split("path", "/"), -2) == "surefire-reports").select("path", F.decode("content", "UTF-8").alias("xml"))
+    near = F.size(F.split(relative(F.col("path"), root), "/")) <= DEEPEST
+    rows = files.where((F.element_at(F.split("path", "/"), -2) == "surefire-reports") & near).select("path", F.decode("content", "UTF-8").alias("xml"))
     kind = "_tests long, _failures long, _errors long, _skipped long, testcase array<struct<_name:string,_classname:string,failure:string,error:string>>"
     parsed = rows.select("path", F.from_xml("xml", kind).alias("s")).where("s._tests is not null")
     bad = F.filter("s.testcase", lambda c: c["failure"].isNotNull() | c["error"].isNotNull())

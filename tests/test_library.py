@@ -203,6 +203,11 @@ def test_files(spark, tmp_path):
     reports.mkdir(parents=True)
     (reports / "TEST-a.xml").write_text('<testsuite tests="4" failures="1" errors="0" skipped="1"><testcase name="m" classname="A"><failure>no</failure></testcase><testcase name="n" classname="A"/></testsuite>')
     (reports / "TEST-b.xml").write_text("broken")
+    for depth, name in ((5, "near"), (6, "far")):  # with the report's folder and its name, 8 and 9 deep
+        deep = tmp_path / "deep" / name / "/".join("abcdefg"[:depth]) / "surefire-reports"
+        deep.mkdir(parents=True)
+        (deep / "TEST-x.xml").write_text('<testsuite tests="1"><testcase name="m" classname="A"/></testsuite>')
+    assert ["/near/" in r["path"] for r in files.test_suites(spark, str(tmp_path / "deep")).collect()] == [True]
     got = files.test_suites(spark, str(tmp_path / "r")).collect()
     assert [(r["total"], r["failed"], r["skipped"], r["passed"], r["failed_names"]) for r in got] == [(4, 1, 1, 2, ["A#m"])]
     (tmp_path / "cov.csv").write_text("G,P,C,a,b,c,d,LINE_MISSED,LINE_COVERED\nx,y,z,0,0,0,0,3,9\nshort,1\n")
