@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, partitions_for, text_of
@@ -72,41 +72,50 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     placed = spark.createDataFrame([], "id long, seq long, offset long")
     opened = 0
     while True:
-        top = gaps.agg(F.max("room").alias("top"), F.count("*").alias("n")).first()
-        hopeless = F.col("size") > (top["top"] or 0)
-        own = F.count_if(hopeless & (2 * F.col("size") > length))
-        now = left.agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least"), F.sum(F.when(hopeless, F.col("size"))).alias("need"), own.alias("own")).first()
-        if not now["n"]:
+        sizes, rooms = _histograms(left, gaps)
+        if not sizes:
             break
-        new = max(now["own"], -(-(now["need"] or 0) // length))
+        top, n = max(rooms, default=0), sum(sizes.values())
+        own = sum(k for size, k in sizes.items() if size > top and 2 * size > length)
+        need = sum(k * size for size, k in sizes.items() if size > top)
+        new = max(own, -(-need // length))
         gaps = gaps.union(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(length).cast("long").alias("room")))
         opened += new
-        found, left = _superstep(left, gaps, now, top["n"] + new)
+        found, left = _superstep(left, gaps, {"n": n, "most": max(sizes), "least": min(sizes)}, sum(rooms.values()) + new)
         start = F.sum("size").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
         placed = placed.union(found.select("id", "seq", (F.lit(length) - F.col("room") + F.coalesce(start, F.lit(0))).alias("offset")))
         taken = found.select("seq", (-F.col("size")).alias("room"))
-        gaps = checkpointed(gaps.union(taken).groupBy("seq").agg(F.sum("room").alias("room")).where(F.col("room") >= now["least"]))
+        gaps = checkpointed(gaps.union(taken).groupBy("seq").agg(F.sum("room").alias("room")).where(F.col("room") >= min(sizes)))
     full = numbered.where(F.col("length") >= length).select("__id", (F.col("__id") + opened).alias("seq"), F.lit(0).cast("long").alias("offset"))
     out = numbered.join(placed.union(full).withColumnRenamed("id", "__placed"), F.col("__id") == F.col("__placed"))
     return out.select(*cut.columns, F.col("seq").alias("sequence_id"), "offset")
 
 
-def _superstep(left: DataFrame, gaps: DataFrame, now: Row, n_gaps: int) -> tuple[DataFrame, DataFrame]:
+def _histograms(left: DataFrame, gaps: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """How many pieces have each size and how many gaps each room: a number for each length at most, in one job."""
+    rows = left.select(F.lit(True).alias("piece"), F.col("size").alias("value")).union(gaps.select(F.lit(False), "room"))
+    out: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for r in rows.groupBy("piece", "value").count().collect():
+        out[0 if r["piece"] else 1][r["value"]] = r["count"]
+    return out
+
+
+def _superstep(left: DataFrame, gaps: DataFrame, now: dict[str, int], n_gaps: int) -> tuple[DataFrame, DataFrame]:
     """What pieces (id, size) take which gap (seq, room, slot) in one sweep, and the pieces that found none.
 
     now: the number of pieces and their most and least size. A gap that holds several pieces of the greatest size
     has as many slots, all but the last of just that size, as long as there are not many more slots than pieces.
     """
-    most = now["most"]
-    slots = F.least(F.greatest(F.floor(F.col("room") / most), F.lit(1)), F.lit(1 + -(-4 * now["n"] // n_gaps)))
-    offered = gaps.where(F.col("room") >= now["least"]).withColumn("slots", slots.cast("int"))
+    n, most, least = now["n"], now["most"], now["least"]
+    slots = F.least(F.greatest(F.floor(F.col("room") / most), F.lit(1)), F.lit(1 + -(-4 * n // n_gaps)))
+    offered = gaps.where(F.col("room") >= least).withColumn("slots", slots.cast("int"))
     offered = offered.select("seq", "room", "slots", F.explode(F.sequence(F.lit(1), "slots")).alias("slot"))
     value = F.when(F.col("slot") < F.col("slots"), F.lit(most)).otherwise(F.col("room") - most * (F.col("slots") - 1))
     none = F.lit(None).cast("long")
     rows = offered.select(value.alias("value"), F.lit(1).alias("step"), "seq", "room", F.col("slot").cast("long").alias("slot"), none.alias("id"))
     rows = rows.union(left.select("size", F.lit(-1), none, none, none, "id"))
     order = [F.desc("value"), F.desc("step"), "seq", "slot", "id"]
-    parts = max(1, min(partitions_for(left), (now["n"] + n_gaps) // SWEEP_ROWS))
+    parts = max(1, min(partitions_for(left), (n + n_gaps) // SWEEP_ROWS))
     swept = checkpointed(rows.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id()))
 
     # The stack of open slots: its height is the running sum of steps, less the least sum so far (pieces that found it empty).
@@ -122,8 +131,9 @@ def _superstep(left: DataFrame, gaps: DataFrame, now: Row, n_gaps: int) -> tuple
     level = F.when(F.col("step") == 1, height).otherwise(height + 1)
     levels = placed.select("value", "step", "seq", "room", "slot", "id", level.alias("level"))
 
-    # On one level slots and pieces alternate, and a piece takes the slot before it. A level has a slot and a piece of each size at most.
-    by_level = Window.partitionBy("level").orderBy(*order)
-    taken = levels.where("level > 0").select("step", "id", F.col("value").alias("size"), *[F.lag(c).over(by_level).alias(c) for c in ("seq", "room", "slot")])
-    found = checkpointed(taken.where("step = -1").select("id", "size", "seq", "room", "slot"))
-    return found, checkpointed(levels.where("step = -1 and level = 0").select("id", F.col("value").alias("size")))
+    # On one level slots and pieces alternate, and a piece takes the slot before it. A level has a slot and a piece of each
+    # size at most; pieces that found the stack empty are on none, each by itself.
+    by_level = Window.partitionBy("level", F.when(F.col("level") == 0, F.col("id"))).orderBy(*order)
+    taken = levels.select("step", "id", F.col("value").alias("size"), *[F.lag(c).over(by_level).alias(c) for c in ("seq", "room", "slot")])
+    matched = checkpointed(taken.where("step = -1").drop("step"))
+    return matched.where("seq is not null"), matched.where("seq is null").select("id", "size")
