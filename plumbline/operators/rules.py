@@ -154,9 +154,12 @@ def refusals(**failed: Column) -> Column:
     return all_violations(*[(failed[r.lower()], r) for r in REFUSALS if r.lower() in failed])
 
 
+# The levels before a message of the build, and the words of its details with their colon, ASCII or full-width.
+LEVEL = r"(?:\[(?:ERROR|WARNING|INFO)\])"
+DETAILS, COLONS = "symbol|location|符号|位置", ":："
 #: The head of a compiler message: an optional level, file, line and column, and the message; and lines that go with it.
-ERROR_HEAD = r"^(?:\[[A-Z]+\]\s*)?(\S.*\.java):\[(\d+),(\d+)\]\s*(.*)$"
-ERROR_DETAIL = r"^(?:\[[A-Z]+\])?\s*((?:symbol|location|符号|位置)\s*[::].*)$"
+ERROR_HEAD = rf"^(?:{LEVEL}\s*)?(\S.*\.java):\[(\d+),(\d+)\]\s*(.*)$"
+ERROR_DETAIL = rf"^{LEVEL}?\s*((?:{DETAILS})\s*[{COLONS}].*)$"
 
 
 def compile_errors(lines: DataFrame, key: str, number: str, line: str) -> DataFrame:

@@ -2,26 +2,26 @@
 
 from plumbline.operators import chunks
 
-ORDER = """package com.example.legacy;
+SHELF = """package shop.stock;
 
-public class OrderService {
-    private final String name;
+public final class Shelf {
+    protected int width = 3;
 
-    public OrderService(String name) {
-        this.name = name;
+    public Shelf(int width) {
+        this.width = Math.max(width, 1);
     }
 
-    public String greet(int times) {
-        StringBuilder sb = new StringBuilder();
-        for (int i = 0; i < times; i++) {
-            sb.append(name).append('!');
+    int free(java.util.List<Integer> used) {
+        int left = width;
+        while (!used.isEmpty()) {
+            left -= used.remove(0);
         }
-        return sb.toString();
+        return left;
     }
 
-    static class Nested {
-        int value() {
-            return 42;
+    static class Row {
+        long cells() {
+            return 7L;
         }
     }
 }
@@ -64,15 +64,14 @@ def symbols(source):
 
 
 def test_heads_methods_and_nested_types():
-    found = chunks.java_chunks(ORDER)
+    found = chunks.java_chunks(SHELF)
     assert [c[:4] for c in found] == [
-        ("com.example.legacy.OrderService", "CLASS", 3, 23), ("com.example.legacy.OrderService#<init>", "METHOD", 6, 8),
-        ("com.example.legacy.OrderService#greet", "METHOD", 10, 16), ("com.example.legacy.OrderService$Nested", "CLASS", 18, 22),
-        ("com.example.legacy.OrderService$Nested#value", "METHOD", 19, 21),
+        ("shop.stock.Shelf", "CLASS", 3, 23), ("shop.stock.Shelf#<init>", "METHOD", 6, 8), ("shop.stock.Shelf#free", "METHOD", 10, 16),
+        ("shop.stock.Shelf$Row", "CLASS", 18, 22), ("shop.stock.Shelf$Row#cells", "METHOD", 19, 21),
     ]
-    assert found[0][4] == "public class OrderService {\n    private final String name;\n}"
-    assert found[2][4].startswith("public String greet(int times) {\n    StringBuilder sb") and found[2][4].endswith("return sb.toString();\n}")
-    assert "private final" not in found[2][4] and found[3][4] == "static class Nested {\n}"
+    assert found[0][4] == "public final class Shelf {\n    protected int width = 3;\n}"
+    assert found[2][4].startswith("int free(java.util.List<Integer> used) {\n    int left") and found[2][4].endswith("return left;\n}")
+    assert "protected" not in found[2][4] and found[3][4] == "static class Row {\n}"
 
 
 def test_all_kinds_of_declarations():
@@ -90,12 +89,12 @@ def test_all_kinds_of_declarations():
 
 def test_sources_without_types_and_broken_ones(spark):
     assert symbols("") == symbols("package a; import b.C;") == symbols("just some words, no code at all") == []
-    rows = [("a", ORDER), ("b", "package p; public class A { void m( { } }"), ("c", None), ("d", "class A { void m() { }"), ("e", "class A { } }"), ("f", MANY), ("f", "class F { }")]
+    rows = [("a", SHELF), ("b", "class Torn { int f( { } }"), ("c", None), ("d", "class A { void m() { }"), ("e", "class A { } }"), ("f", MANY), ("f", "class F { }")]
     found = chunks.structural(spark.createDataFrame(rows, "path string, content string").repartition(3)).collect()
     by = {}
     for r in sorted(found, key=lambda r: (r["path"], r["n"])):
         by.setdefault(r["path"], []).append((r["symbol"], r["kind"]))
-    assert by["a"] == symbols(ORDER) and by["b"] == by["d"] == by["e"] == [(None, "BROKEN")] and "c" not in by and len(by["f"]) == len(symbols(MANY)) + 1
+    assert by["a"] == symbols(SHELF) and by["b"] == by["d"] == by["e"] == [(None, "BROKEN")] and "c" not in by and len(by["f"]) == len(symbols(MANY)) + 1
 
 
 def test_a_source_of_a_megabyte():

@@ -29,6 +29,13 @@ def test_scan_sources(spark):
     assert rules.scan_sources(files.limit(0)).count() == 0
 
 
+def test_details_with_a_full_width_colon(spark):
+    text = ["[ERROR] /a/B.java:[3,4] 找不到符号", "[ERROR]   符号：类 Foo", "  位置: 程序包 x", "[NOTE]  symbol: class No", "[WARNING] location： package y"]
+    lines = spark.createDataFrame([("l", i, t) for i, t in enumerate(text)], "log string, n int, line string")
+    (row,) = rules.compile_errors(lines, "log", "n", "line").collect()
+    assert row["details"] == ["符号：类 Foo", "位置: 程序包 x", "location： package y"] and row["message"] == "找不到符号"
+
+
 def test_compile_errors(spark):
     text = "[INFO] start\n[ERROR] /src/A.java:[12,7] cannot find symbol\n[ERROR]   symbol:   class B\n  location: class A\nnoise\n/src/C.java:[3,1] 找不到符号\n  符号:   类 D"
     lines = spark.createDataFrame([(1, text), (2, "no error")], "log long, t string").select("log", F.posexplode(F.split("t", "\n")).alias("n", "line"))
