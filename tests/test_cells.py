@@ -68,3 +68,13 @@ def test_odd_vectors_and_empty_tables(spark, tmp_path):
     assert sorted(found) == sorted((q, i, d) for q, near in ((1, ((1, 0), (8, 0), (8, 0), (7, 1))), (8, ((1, 0), (8, 0), (8, 0), (7, 1))), (7, ((7, 0), (1, 1), (8, 1), (8, 1)))) for i, d in near)
     none = cells.CellIndex(spark, str(tmp_path / "none")).build(vectors.limit(0))
     assert none.search(queries).count() == 0 and index.search(queries.limit(0)).count() == 0
+
+
+def test_the_exact_way_with_ids_that_are_strings(spark):
+    data = [("b", [1.0, 0.0]), ("aa", [1.0, 0.0]), ("é", [0.0, 1.0]), (None, [1.0, 0.0]), ("z", None)]
+    vectors = spark.createDataFrame(data, "id string, vector array<float>")
+    for block in (1, 10):
+        found = retrieval.vector_arm(vectors, vectors.withColumnRenamed("id", "query_id"), 2, block=block).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["id"], r["distance"]) for r in found] == [("aa", "aa", 0), ("aa", "b", 0), ("b", "aa", 0), ("b", "b", 0), ("é", "é", 0), ("é", "aa", 1)]
+    numbers = vectors.selectExpr("CAST(length(id) AS INT) AS id", "vector").where("id = 2")
+    assert retrieval.vector_arm(numbers, numbers.withColumnRenamed("id", "query_id")).schema["id"].dataType.simpleString() == "int"
