@@ -9,7 +9,9 @@ comes nearest to what is left is taken too. So a document is taken whole, `epoch
 beyond the cap.
 
 Null texts have size 0. A null source is a source of its own, the last. Repeated rows share a key and are
-taken together. A source without words has target 0, and none of its documents is taken.
+taken together. A source without words has target 0, and none of its documents is taken. A table without
+rows gives none. A very long text is counted whole where it lies, and only its size is moved. The targets are
+worked out over one row for each source, in one task: sources are taken to be thousands at most.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ pieces is offered as several slots. Pieces larger than every gap open as few new
 many rows there are; only counts, a sum and the extreme sizes go to the driver.
 
 Null and empty texts are one piece with the end id. Repeated rows are packed each. Rows with a null id too.
+Pieces of one size are taken in the order of their numbers, gaps of one room in that of theirs.
 Further columns of documents are not read; those of pieces stay, but for `__id`. A very long text is encoded
 whole in one task. A table without rows gives none.
 """

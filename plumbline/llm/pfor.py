@@ -13,7 +13,9 @@ Ids are encoded in ascending document order. A file (one row of the written tabl
 A block subtracts its minimum and packs the rest at the width that holds the 90th percentile; larger values
 stand in the exception list and leave zeros. The starts index lets a reader decode any run of ids alone.
 
-Null and empty texts hold the end id only. Rows with a null id come first; rows of one id lie side by side.
+Null and empty texts hold the end id only. Rows with a null id come first; rows of one id lie side by side, in
+the order of their texts. Further columns, of any name, are not read. A very long text is encoded in one task and
+lies in one file, which may so be larger than usual. A table without rows gives no file and no row.
 """
 
 from __future__ import annotations

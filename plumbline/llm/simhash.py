@@ -9,7 +9,9 @@ fingerprints is cut into pieces; the tree of each piece goes to the queries of e
 link is lost and no task holds more than two pieces. No tree passes through the driver.
 
 Nulls and texts without words have fingerprint zero. Repeated rows and equal texts share a fingerprint and
-so a group. Null ids are never the smallest id, unless a group has no other (then its component is null).
+so a group. Null ids are never the smallest id, unless a group has no other (then its component is null). A
+table without rows gives none. Further columns, of any name, are not read. A very long text is hashed whole, a
+block of shingles at a time, in one task.
 """
 
 from __future__ import annotations
