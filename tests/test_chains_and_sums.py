@@ -101,6 +101,6 @@ def test_greedy_budget_of_more_rows_than_a_round(spark, monkeypatch):
 
 
 def test_groups_are_limited_before_they_are_moved(spark):
-    df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
+    df = spark.range(100_000).select((F.col("id") % 3).alias("g"), "id")
     row = F.row_number().over(windows.Window.partitionBy("g").orderBy("id"))
     assert "WindowGroupLimit" in df.withColumn("n", row).where(F.col("n") <= windows.ROUND)._jdf.queryExecution().executedPlan().toString()
