@@ -110,3 +110,17 @@ def test_the_machines_clock(spark, feed):
         assert said()[:2] == ["stale", "recovered"]
     finally:
         query.stop()
+
+
+def test_many_keys_take_few_calls(spark, tmp_path, monkeypatch):
+    """Keys share lanes, so the calls to Python and the states are no more than there are lanes; a null key is one of its own."""
+    rows = spark.range(3000).select(F.col("id").alias("n"), F.when(F.col("id") > 0, F.col("id")).alias("key"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"), F.lit("opened").alias("kind"))
+    late = spark.range(1).select((F.col("id") + 3000).alias("n"), (F.col("id") + 3000).alias("key"), F.timestamp_seconds(F.lit(1_700_000_061)).alias("at"), F.lit("opened").alias("kind"))
+    rows.union(late).coalesce(1).write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(timers, "LANES", 8)
+    stream = timers.gates(streams.source(spark, str(tmp_path / "in")), "key", "at", "n", F.col("kind"), 60)
+    found = timers.landed(stream, "many", str(tmp_path / "out"))
+    assert found.schema["key"].dataType.simpleString() == "bigint"
+    assert sorted((r["key"] or 0, r["status"], r["reviewer"], r["at_ms"]) for r in found.collect()) == [(i, "REJECTED", "system", 1_700_000_060_000) for i in range(3000)]
+    states = spark.read.format("statestore").load(str(tmp_path / "out" / "state"))
+    assert states.count() == 8
