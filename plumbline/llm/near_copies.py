@@ -6,9 +6,10 @@ are keyed by MinHash bands here (20 of 5 minima: a pair at 0.8 shares none with
 within a shard a SimHash of 128 bits with a radius of 44 says which pairs are candidates. Every candidate is
 verified by the exact Jaccard similarity of its shingle sets, and only verified pairs are linked.
 
-Equal shingle sets are one node. Shards of up to `ALL_PAIRS` nodes give all candidates. Larger ones, in pieces of
-`PIECE` nodes of which each meets every other, first give the shortest spanning trees by Hamming distance and
-each node's `NEAREST` others, in proportion to their size, and what these verify is grouped. Then all nodes of
+Equal shingle sets are one node. The SimHashes of a shard form a BK-tree (as in op1), and a query follows only edges within
+the radius. Shards of up to `ALL_PAIRS` nodes give all candidates. Larger ones are cut into pieces of `PIECE` nodes:
+first each node of a piece gives the nearest of those that are in the piece's tree before it, so one candidate a node and
+band, and what these verify is grouped. Then each piece meets every other, and all nodes of
 a piece that have a candidate in another group are compared exactly, all with all, by a product of their
 shingle matrices: each text goes to a piece once, not to each of its candidates, so that a large group of texts
 that are alike but below 0.8 costs no join of pairs. No candidate is left out. Texts of fewer than five words are one
@@ -29,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_of, written
-from .simhash import components
+from .simhash import BKTree, components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 BITS, RADIUS = 128, 44
 ALL_PAIRS = 16
-NEAREST = 4
 PIECE = 512
 #: Shingles whose columns of a matrix are multiplied together.
 COLUMNS = 4096
@@ -105,50 +105,33 @@ def _signatures(names: list[str]):
     return run
 
 
-def _far(sims: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(sims ^ x).sum(axis=1, dtype=np.int64)
-
-
-def candidates(nodes: list[int], sims: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes within the radius: all of a small shard, else of shortest spanning trees and nearest ones."""
-    n = len(nodes)
-    if n <= ALL_PAIRS:
-        yield from across(nodes, sims, nodes)
-        return
-    best = np.full(n, BITS + 1)
-    source = np.full(n, -1)
-    done = np.zeros(n, dtype=bool)
-    at = 0
-    for _ in range(n):
-        done[at] = True
-        if source[at] >= 0 and best[at] <= RADIUS:
-            yield nodes[source[at]], nodes[at]
-        d = _far(sims, sims[at])
-        d[at] = BITS + 1
-        for j in np.argpartition(d, NEAREST)[:NEAREST]:
-            if d[j] <= RADIUS:
-                yield nodes[at], nodes[j]
-        nearer = (d < best) & ~done
-        best[nearer], source[nearer] = d[nearer], at
-        at = int(np.argmin(np.where(done, BITS + 2, best)))
-
-
-def across(nodes: list[int], sims: np.ndarray, groups: list[int]) -> Iterator[tuple[int, int]]:
-    """All pairs within the radius whose ends lie in different groups."""
-    group = np.array(groups)
-    for i in range(len(nodes) - 1 if (group != group[0]).any() else 0):
-        for j in np.flatnonzero((_far(sims[i + 1 :], sims[i]) <= RADIUS) & (group[i + 1 :] != group[i])):
-            yield nodes[i], nodes[i + 1 + j]
-
-
-def open_nodes(sims: np.ndarray, groups: np.ndarray) -> np.ndarray:
+def tree_of(sims: list[int]) -> BKTree:
+    tree = BKTree()
+    for x in sims:
+        tree.add(x)
+    return tree
+
+
+def candidates(nodes: list[int], sims: list[int]) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes within the radius: all of a small shard, else each node with the nearest of those before it."""
+    tree = BKTree()
+    for i, x in enumerate(sims):
+        near = sorted(((sims[j] ^ x).bit_count(), j) for j in tree.within(x, RADIUS))
+        for _, j in near if len(nodes) <= ALL_PAIRS else near[:1]:
+            yield nodes[j], nodes[i]
+        tree.add(x)
+
+
+def open_nodes(sims: list[int], groups: list[int]) -> list[bool]:
     """Which nodes are within the radius of a node in another group."""
-    out = np.zeros(len(groups), dtype=bool)
-    for i in range(len(groups) if (groups != groups[0]).any() else 0):
-        if not out[i]:
-            near = (groups != groups[i]) & (_far(sims, sims[i]) <= RADIUS)
-            out |= near
-            out[i] = near.any()
+    out = [False] * len(sims)
+    if len(set(groups)) > 1:
+        tree = tree_of(sims)
+        for i, x in enumerate(sims):
+            if not out[i]:
+                for j in tree.within(x, RADIUS):
+                    if groups[j] != groups[i]:
+                        out[i] = out[j] = True
     return out
 
 
@@ -192,16 +175,15 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, .
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first candidates of each shard."""
+    """The first candidates of each shard or piece of one."""
     pairs: set[tuple[int, int]] = set()
-    for (_, _, i, j), members in _unit_rows(batches):
-        _, _, _, _, parts, nodes, sims = zip(*members)
-        if len(nodes) > 1 and (i == j or len(set(parts)) == 2):
-            for a, b in candidates(nodes, np.frombuffer(b"".join(sims), dtype=np.uint64).reshape(len(nodes), -1)):
-                pairs.add((min(a, b), max(a, b)))
-                if len(pairs) > 50_000:
-                    yield _pairs(pairs)
-                    pairs = set()
+    for _, members in _unit_rows(batches):
+        *_, nodes, sims = zip(*members)
+        for a, b in candidates(nodes, [int.from_bytes(x) for x in sims]):
+            pairs.add((min(a, b), max(a, b)))
+        if len(pairs) > 50_000:
+            yield _pairs(pairs)
+            pairs = set()
     yield _pairs(pairs)
 
 
@@ -212,19 +194,18 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, _, _, parts, nodes, sims, groups = zip(*members)
         if unit[2] != unit[3] and len(set(parts)) < 2:
             continue
-        groups = np.array(groups)
-        keep = np.flatnonzero(open_nodes(np.frombuffer(b"".join(sims), dtype=np.uint64).reshape(len(nodes), -1), groups))
+        keep = np.flatnonzero(open_nodes([int.from_bytes(x) for x in sims], groups))
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        columns = [*(pa.array([x] * len(keep), k) for x, k in zip(unit, kinds)), pa.array(np.array(nodes)[keep]), pa.array(groups[keep])]
+        columns = [*(pa.array([x] * len(keep), k) for x, k in zip(unit, kinds)), pa.array(np.array(nodes)[keep]), pa.array(np.array(groups)[keep])]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each unit with rows (node, f, text)."""
+    """Links between the groups of each unit with rows (node, f, text)."""
     rows = ((*keys, shingles(text.as_py())) for b in batches for *keys, text in zip(*(c.to_pylist() for c in b.columns[:-1]), b.column(6)))
     for _, members in groupby(rows, key=itemgetter(0, 1, 2, 3)):
-        nodes, groups, sets = zip(*(m[4:] for m in members))  # a text is let go as soon as it is hashed
-        yield _pairs({(nodes[i], nodes[j]) for i, j in exact_links(list(sets), np.array(groups))})
+        _, groups, sets = zip(*(m[4:] for m in members))  # a text is let go as soon as it is hashed
+        yield _pairs({(groups[i], groups[j]) for i, j in exact_links(list(sets), np.array(groups))})
 
 
 def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -258,9 +239,12 @@ def pairs_of(units: DataFrame) -> DataFrame:
 
 
 def linked(nodes: DataFrame, signed: DataFrame, piece: int = PIECE) -> DataFrame:
-    """(v, f): for every node of a verified pair the smallest node of its group."""
+    """(v, f): for every node of a verified pair the smallest node of its group.
+
+    What the exact comparison adds are links between the groups that there are, so only those are joined once more.
+    """
     units = checkpointed(shards(nodes, piece))
-    edges = checkpointed(verified(pairs_of(units.drop("n")), signed))
+    edges = checkpointed(verified(pairs_of(units.where("i = j").drop("n")), signed))
     labels = components(edges)
     large = units.where(F.col("n") > ALL_PAIRS).join(labels, F.col("node") == F.col("v"), "left")
     large = large.select(*UNIT, "part", "node", "sim", F.coalesce("f", "node").alias("f")).repartition(*UNIT).sortWithinPartitions(*UNIT, "part", "node")
@@ -268,7 +252,12 @@ def linked(nodes: DataFrame, signed: DataFrame, piece: int = PIECE) -> DataFrame
     rows = left.join(texts_of(left.select("node").distinct(), signed), "node").select(*UNIT, "node", "f", "text")
     more = rows.repartition(*UNIT).sortWithinPartitions(*UNIT, "node").mapInArrow(_exact, "a long, b long")
     more = checkpointed(more)
-    return components(edges.union(more)) if more.limit(1).count() else labels
+    if not more.limit(1).count():
+        return labels
+    top = components(more.distinct()).select(F.col("v").alias("group"), F.col("f").alias("top"))
+    alone = top.join(labels, F.col("group") == F.col("v"), "left_anti")
+    joined = labels.join(top, F.col("f") == F.col("group"), "left").select("v", F.coalesce("top", "f").alias("f"))
+    return joined.union(alone.select("group", "top"))
 
 
 def texts_of(ends: DataFrame, signed: DataFrame) -> DataFrame:

@@ -105,3 +105,44 @@ def test_odd_documents(spark, documents, odd):
     assert kept.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "6", "8", "None"]
     assert near_copies.near_copies(df.limit(0)).count() == 0
+
+
+def family(n):
+    """SimHashes within the radius of each other."""
+    r = random.Random(5)
+    center = r.getrandbits(near_copies.BITS)
+    return [center ^ sum(1 << b for b in r.sample(range(near_copies.BITS), r.randint(0, 20))) for _ in range(n)]
+
+
+def test_candidates_of_a_shard_come_from_its_tree(monkeypatch):
+    """All of a small one; of a large one no more than it has nodes, so that links don't grow with the square of a group."""
+    asked = []
+
+    class Tree(simhash.BKTree):
+        def within(self, value, radius):
+            asked.append(radius)
+            return super().within(value, radius)
+
+    monkeypatch.setattr(near_copies, "BKTree", Tree)
+    few, many = family(near_copies.ALL_PAIRS), family(400)
+    near = lambda sims, i, j: (sims[i] ^ sims[j]).bit_count() <= near_copies.RADIUS
+    assert {(min(p), max(p)) for p in near_copies.candidates(list(range(len(few))), few)} == {(i, j) for j in range(len(few)) for i in range(j) if near(few, i, j)}
+    pairs = list(near_copies.candidates(list(range(400)), many))
+    assert len(pairs) == 399 and {j for _, j in pairs} == set(range(1, 400)) and all(near(many, i, j) for i, j in pairs)
+    groups = [i % 3 if i < 200 else 3 for i in range(400)]
+    far = [x ^ (1 << near_copies.BITS) - 1 if g == 3 else x for x, g in zip(many, groups)]
+    want = [any(near(far, i, j) and groups[i] != groups[j] for j in range(400)) for i in range(400)]
+    assert near_copies.open_nodes(far, groups) == want and sum(want) == 200
+    assert set(asked) == {near_copies.RADIUS}
+
+
+def test_later_links_join_groups_and_not_nodes(spark, monkeypatch):
+    """The second round of components gets links between groups that there are: fewer than the first."""
+    seen = []
+    monkeypatch.setattr(near_copies, "components", lambda edges: (seen.append({x for r in edges.collect() for x in r}), simhash.components(edges))[1])
+    texts = corpus()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = near_copies.near_copies(df, piece=20)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == groups(texts)
+    assert len(seen) == 2
+    assert 0 < len(seen[1]) < len(seen[0])
