@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.scratch import checkpointed, fresh_path, kept_path, small
 from ..functions.tables import Landing
 
 BUCKETS, SPREAD = 64, 8
+#: Characters of texts whose postings one task counts and sorts.
+SORTED = 16_000_000
 #: So many terms stand in the filter itself; more are joined.
 LISTED = 1000
 
@@ -44,19 +45,30 @@ class TextIndex:
         """The last generation; -1 of an index that has none."""
         return max(self._postings.batches(), default=self._postings.upto())
 
-    def _sorted(self, rows: DataFrame) -> DataFrame:
-        dealt = rows.withColumn("bucket", bucket_of("term", self.buckets)).repartition(self.buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(self.spread)))
+    def _sorted(self, rows: DataFrame, partitions: int) -> DataFrame:
+        """Postings as they are written: a task sorts about `SORTED` characters' worth of them, however many there are."""
+        spread = max(self.spread, -(-self.spread * partitions // self.buckets))
+        dealt = rows.withColumn("bucket", bucket_of("term", self.buckets)).repartition(partitions, "bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
         return dealt.sortWithinPartitions("bucket", "term", "id")
 
+    def _partitions(self, characters: int | None) -> int:
+        return max(self.buckets, -(-(characters or 0) // SORTED))
+
+    def _sorted_of(self, docs: DataFrame) -> DataFrame:
+        characters = docs.agg(F.sum(F.length("text").cast("long"))).collect()[0][0]
+        return self._sorted(self._counted(docs, self._partitions(characters)), self._partitions(characters))
+
     @staticmethod
-    def _counted(docs: DataFrame) -> DataFrame:
-        return docs.select("id", F.explode(words()).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    def _counted(docs: DataFrame, partitions: int) -> DataFrame:
+        """Words counted by document: all of an id are dealt to one task, so each is sent once and as a text."""
+        own = docs.select("id", "text").repartition(partitions, "id")
+        return own.select("id", F.explode(words()).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
     def build(self, docs: DataFrame) -> TextIndex:
         """A new index of all documents. Rows of one id are one document."""
         for table in (self._gone, self._postings):
             table.empty()
-        self._postings.write(self._sorted(self._counted(docs)), 0, ["bucket"])
+        self._postings.write(self._sorted_of(docs), 0, ["bucket"])
         return self
 
     def update(self, docs: DataFrame) -> TextIndex:
@@ -64,7 +76,7 @@ class TextIndex:
         generation = self.generation() + 1
         docs = checkpointed(docs.select("id", "text"))
         self._gone.write(docs.select("id").distinct().withColumn("before", F.lit(generation)), generation)
-        self._postings.write(self._sorted(self._counted(docs.where("text is not null"))), generation, ["bucket"])
+        self._postings.write(self._sorted_of(docs.where("text is not null")), generation, ["bucket"])
         return self
 
     def remove(self, ids: DataFrame) -> TextIndex:
@@ -95,12 +107,10 @@ class TextIndex:
 
     def search(self, queries: DataFrame, n: int) -> DataFrame:
         """(query_id, id, score, rank): the score adds tf / (tf + 1) over a query's terms. queries: query_id, text."""
-        from .retrieval import ranked
+        from .retrieval import best_by_words, query_words
 
-        terms = small(queries.select("query_id", F.explode(F.array_distinct(F.transform(T.query_terms(F.col("text")), F.lower))).alias("q")))
-        hits = self.postings(terms.select(F.col("q").alias("term"))).join(terms, F.col("term") == F.col("q"))
-        scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1)), 6).alias("score"))
-        return ranked(scores, ["query_id"], n, F.desc("score"), F.col("id"))
+        terms = query_words(queries)
+        return best_by_words(self.postings(terms.select(F.col("q").alias("term"))), terms, n)
 
     def compact(self) -> TextIndex:
         """Puts all generations together; what no longer counts goes."""
@@ -108,7 +118,7 @@ class TextIndex:
             whole = fresh_path(self.spark, "postings")
             self._read().write.parquet(whole)  # not onto what is being read
             rows = self.spark.read.schema(f"term string, id {self.id_type}, tf long").parquet(whole)
-            self._postings.fold(self._sorted(rows), self.generation(), ["bucket"])
+            self._postings.fold(self._sorted(rows, self._partitions(8 * rows.count())), self.generation(), ["bucket"])
             self._gone.empty()
         return self
 

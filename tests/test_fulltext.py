@@ -1,5 +1,6 @@
 """The kept full-text index against plain counting, over updates, removals and compaction."""
 
+import random
 import re
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from plumbline.operators import retrieval
+from plumbline.operators import fulltext, retrieval
 from plumbline.operators.fulltext import TextIndex, index_of
 
 KIND = "id long, text string"
@@ -91,3 +92,34 @@ def test_the_index_of_a_table_is_built_anew_once_its_files_change(spark, tmp_pat
     assert held(spark, first, ["cat"]) == [x for x in expected(DOCS) if x[0] == "cat"] and read().path == first.path
     table(spark, {8: "cat"}).write.mode("append").parquet(path)
     assert held(spark, read(), ["cat"]) == [x for x in expected(DOCS | {8: "cat"}) if x[0] == "cat"] and read().path != first.path
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_search_by_words_makes_no_row_for_each_query_and_document(spark, monkeypatch, kind):
+    """Blocks of queries and of documents against brute force; a task gives n documents of each query at most."""
+    r = random.Random(8)
+    docs = {i: r.choices("abcdefgh", k=r.randint(0, 9)) for i in range(120)}
+    asked = {q: set(r.choices("abcdefghz", k=r.randint(1, 5))) for q in range(7)}
+    postings = spark.createDataFrame([(i, w, x.count(w)) for i, x in docs.items() for w in set(x)], "id long, term string, tf long").withColumn("id", F.col("id").cast(kind))
+    terms = spark.createDataFrame([(q, w) for q, x in asked.items() for w in x], "query_id long, q string")
+    monkeypatch.setattr(retrieval, "DOCUMENT_BLOCK", 16)
+    given, before = [], retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda df, *args: (given.append(df.count()), before(df, *args))[1])
+    found = {}
+    for row in retrieval.best_by_words(postings, terms, 3, block=3).collect():
+        found.setdefault(row["query_id"], []).append((row["rank"], row["id"], row["score"]))
+    for q, words in asked.items():
+        scores = [(-round(sum(x.count(w) / (x.count(w) + 1) for w in words), 6), i if kind == "long" else str(i)) for i, x in docs.items() if words & set(x)]
+        assert [(i, x) for _, i, x in sorted(found.get(q, []))] == [(i, pytest.approx(-x, abs=1e-9)) for x, i in sorted(scores)[:3]]
+    assert len(given) == 3 and sum(given) <= 3 * 7 * 4
+    assert retrieval.best_by_words(postings, terms.limit(0), 3).count() == 0 and retrieval.best_by_words(postings.limit(0), terms, 3).count() == 0
+
+
+def test_tasks_of_an_index_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common word{i} word{i + 1}") for i in range(400)], "id long, text string")
+    monkeypatch.setattr(fulltext, "SORTED", 100)
+    index = fulltext.TextIndex(spark, str(tmp_path / "many"), buckets=2).build(docs)
+    files = [r["f"] for r in spark.read.parquet(f"{index._postings.path}/batch=0").select(F.input_file_name().alias("f")).distinct().collect()]
+    assert len(files) > 30  # two tasks wrote all of it before
+    asked = spark.createDataFrame([("common",), ("word7",)], "term string")
+    assert sorted((r["term"], r["id"], r["tf"]) for r in index.postings(asked).collect()) == sorted([("common", i, 1) for i in range(400)] + [("word7", 6, 1), ("word7", 7, 1)])
