@@ -18,6 +18,8 @@ from ..functions.scratch import checkpointed, small
 #: The similarities at which nearest ones are searched; at 0 any common trigram will do.
 STEPS = (0.8, 0.6, 0.45, 0.3, 0.15, 0.0)
 PARTS = 16
+#: Symbols whose runs of characters one task takes.
+DEALT = 25_000
 #: Among so few strings any common trigram will do at once: a query meets no more of them than that.
 FEW = 1000
 
@@ -100,7 +102,8 @@ def containing(symbols: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """
     from .retrieval import ranked
 
-    own = checkpointed(symbols.where("symbol is not null").select("id", "symbol", F.lower("symbol").alias("low")))
+    named = symbols.where("symbol is not null").select("id", "symbol", F.lower("symbol").alias("low"))
+    own = checkpointed(named.repartition(max(PARTS, -(-named.count() // DEALT)), "id"))  # a small file is one partition, whose runs are many
     asked = queries.where("fragment is not null").select("fragment").distinct().withColumn("words", F.filter(F.split(F.lower("fragment"), "[%_]"), lambda w: F.length(w) > 0))
     longest = F.least(F.coalesce(F.array_max(F.transform("words", lambda w: F.length(w))), F.lit(0)), F.lit(3))
     asked = checkpointed(asked.withColumn("size", longest))

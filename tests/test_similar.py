@@ -73,3 +73,13 @@ def test_containing(spark):
     for q, fragment in fragments:
         want = sorted((-round(near(s, fragment), 6), i) for i, s in symbols if fragment is not None and s is not None and like(s, fragment))[:4]
         assert [(i, x) for _, i, x in sorted(found.get(q, []))] == [(i, -x) for x, i in want], fragment
+
+
+def test_symbols_of_one_partition_are_dealt_over_tasks(spark, monkeypatch):
+    kept, before = [], similar.checkpointed
+    monkeypatch.setattr(similar, "DEALT", 2)
+    monkeypatch.setattr(similar, "checkpointed", lambda df: (kept.append(before(df)), kept[-1])[1])
+    symbols = spark.createDataFrame([(i, f"name{i}") for i in range(60)], "id long, symbol string").coalesce(1)
+    found = similar.containing(symbols, spark.createDataFrame([(1, "ame7")], "query_id long, fragment string"), 4)
+    assert [r["id"] for r in found.collect()] == [7]
+    assert kept[0].rdd.getNumPartitions() == 30
