@@ -32,6 +32,9 @@ PARTS_SQL = SYMBOL_SQL.format(GRAMS.format("p_name"), "p_partkey", "part", "p_na
 FUSED_SQL = """ranks AS (SELECT query_id, id, rank, 0 AS arm, 'vector' AS source FROM vector UNION ALL SELECT query_id, id, rank, 1, 'keyword' FROM keyword UNION ALL SELECT query_id, id, rank, 2, 'symbol' FROM symbol),
     fused AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(source, '+' ORDER BY arm) AS sources FROM ranks GROUP BY ALL)"""
 
+#: Tasks that read sources at least, and sources of a task at most, about.
+SOURCE_TASKS, SOURCES = 32, 25_000
+
 
 def _documents(t):
     return t.documents.select(F.col("doc_id").alias("id"), "text")
@@ -453,13 +456,14 @@ def window_chunks(t):
 def structural_chunks(t):
     """A class for each order with a method or constructor for each of its lines, and an enum inside."""
     name = F.concat(F.lit("Order"), F.col("l_orderkey").cast("string"))
-    called = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("  public "), name)).otherwise(F.concat(F.lit("  @Line('{') <T> java.util.List<T> line"), F.col("l_linenumber").cast("string")))
-    method = F.concat(called, F.lit('(int n) {\n    if (n > 0) { log("}"); } // {\n  }\n'))
-    lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("l_orderkey", name.alias("name"), F.struct("l_linenumber", method.alias("m")).alias("x"))
-    body = F.array_join(F.array_sort(F.collect_list("x")).getField("m"), "")
-    source = F.concat(F.lit("/* class None { */\npackage p.o;\nfinal class "), F.first("name"), F.lit(" extends Base<Order> {\n  int[] sizes = {1, 2}; int total = f(3);\n"), body, F.lit("  enum State { A(\"x\") { }, B;\n    static State of() { return A; }\n  }\n}\n"))
-    files = lines.groupBy(F.col("l_orderkey").alias("path")).agg(source.alias("content"))
-    return CH.structural(files).drop("content")
+    called = lambda x: F.when(x["r"], F.concat(F.lit("  public "), name)).otherwise(F.concat(F.lit("  @Line('{') <T> java.util.List<T> line"), x["l_linenumber"].cast("string")))
+    method = lambda x: F.concat(called(x), F.lit('(int n) {\n    if (n > 0) { log("}"); } // {\n  }\n'))
+    lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("l_orderkey", F.struct("l_linenumber", (F.col("l_returnflag") == "R").alias("r")).alias("x"))
+    lines = lines.repartition(max(SOURCE_TASKS, -(-t.orders.count() // SOURCES)), "l_orderkey")  # so that no task has many sources, or is left alone at the end
+    body = F.array_join(F.transform("x", method), "")
+    source = F.concat(F.lit("/* class None { */\npackage p.o;\nfinal class "), name, F.lit(" extends Base<Order> {\n  int[] sizes = {1, 2}; int total = f(3);\n"), body, F.lit("  enum State { A(\"x\") { }, B;\n    static State of() { return A; }\n  }\n}\n"))
+    files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.col("l_orderkey").alias("path"), source.alias("content"))
+    return CH.structural(files, contents=False)
 
 
 @query()

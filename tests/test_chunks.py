@@ -103,6 +103,21 @@ def test_a_source_of_a_megabyte():
     assert len(source) > 1_000_000 and len(found) == 15_001 and found[-1][0] == "Long#m14999" and found[-1][2] == 15_001
 
 
+def test_brackets_are_counted_out_only_where_they_are_deep(spark, monkeypatch):
+    deep = "class Deep {\n  void m() " + "{ f(" * 9 + ") }" * 9 + "\n  int[] a = {1, 2}, b = g(() -> {{ ((0)); }});\n  class Deeper { void n() { } }\n}\n"
+    assert symbols(deep) == [("Deep", "CLASS"), ("Deep#m", "METHOD"), ("Deep$Deeper", "CLASS"), ("Deep$Deeper#n", "METHOD")]
+    assert chunks.java_chunks(deep)[0][4] == "class Deep {\n    int[] a = {1, 2}, b = g(() -> {{ ((0)); }});\n}"
+    want = [chunks.java_chunks(x) for x in (SHELF, MANY)]
+    counted = []
+    monkeypatch.setattr(chunks, "_closed", lambda code, at, closed=chunks._closed: (counted.append(at), closed(code, at))[1])
+    assert [chunks.java_chunks(x) for x in (SHELF, MANY)] == want and not counted
+    assert symbols(deep) and counted
+    files = spark.createDataFrame([("a", SHELF), ("b", None), ("c", "class Torn {"), ("d", MANY)], "path string, content string")
+    bare = chunks.structural(files, contents=False)
+    assert bare.columns == ["path", "n", "symbol", "kind", "start_line", "end_line"]
+    assert sorted(map(tuple, bare.collect()), key=str) == sorted((tuple(r)[:-1] for r in chunks.structural(files).collect()), key=str)
+
+
 def test_windows(spark):
     texts = ["", None, "é" * 9, "ab🙂" * 4, "x" * 10, "y" * 13, "z" * 14, "w" * 1000 + "end"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
