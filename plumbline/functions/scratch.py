@@ -57,3 +57,12 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def near(kept: DataFrame, rows: int = 100_000) -> DataFrame:
     """small() of what is kept already."""
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+#: Tasks that dealt() makes at least.
+TASKS = 32
+
+
+def dealt(df: DataFrame, rows: int, most: int, *keys: str) -> DataFrame:
+    """df by its keys in tasks of some `most` rows each, if it has so many `rows`: Spark doesn't put these together to one for each core."""
+    return df.repartition(max(TASKS, -(-rows // most)), *keys)

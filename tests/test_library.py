@@ -214,3 +214,32 @@ def test_files(spark, tmp_path):
     assert files.coverage(spark, str(tmp_path / "cov.csv")).first()["coverage"] == 0.75
     with pytest.raises(ValueError):
         files.checked_catalogue(spark.createDataFrame([("a",), ("a",)], "id string"), 1)
+
+
+def test_dependency_neighbours_of_hubs(spark, monkeypatch):
+    links = [(f"n{i}", f"n{i * 7 % 40}") for i in range(40)] + [(f"n{i}", f"n{i * i % 40 + 1}") for i in range(40)]
+    links += [(hub, f"leaf{i:04}") for hub in ("n3", "n11") for i in range(2000)] + [(f"leaf{i:04}", "n5") for i in range(2000)]
+    hits = [(q, f"n{(q * k) % 40}") for q in range(12) for k in (1, 3)]
+    lead = {}
+    for a, b in links:
+        lead.setdefault(a, set()).add(b)
+
+    def want(depth, top):
+        for q in range(12):
+            seen = edge = {i for p, i in hits if p == q}
+            found = []
+            for hop in range(1, depth + 1):
+                edge = {b for a in edge for b in lead.get(a, ())} - seen
+                seen = seen | edge
+                found += sorted((hop, i) for i in edge)
+            yield from ((q, i, hop) for hop, i in found[:top])
+
+    kept = []
+    monkeypatch.setattr(retrieval, "checkpointed", lambda df, keep=retrieval.checkpointed: (kept.append(keep(df)), kept[-1])[1])
+    asked, over = spark.createDataFrame(hits, "query_id int, id string"), spark.createDataFrame(links, "src string, dst string")
+    for depth, top in ((1, 5), (2, 40), (3, 7), (4, 100)):
+        assert sorted(map(tuple, retrieval.dependency_neighbours(asked, over, depth, top).collect())) == sorted(want(depth, top))
+        assert max(k.count() for k in kept) <= max(12 * top, len(hits))  # a hub's neighbours aren't kept whole
+        kept.clear()
+    monkeypatch.setattr(retrieval, "near", lambda df, rows=0: df)  # many nodes
+    assert sorted(map(tuple, retrieval.dependency_neighbours(asked, over, 3, 7).collect())) == sorted(want(3, 7))
