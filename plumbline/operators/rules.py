@@ -169,10 +169,10 @@ def compile_errors(lines: DataFrame, key: str, number: str, line: str) -> DataFr
     """
     blocks = error_blocks(lines.select(key, number, F.col(line).alias("__line")), key, number, "__line", ERROR_HEAD)
     part = lambda n: F.regexp_extract("__line", ERROR_HEAD, n)
-    is_head, detail = F.col("__line").rlike(ERROR_HEAD), F.regexp_extract("__line", ERROR_DETAIL, 1)
-    head = F.max(F.when(is_head, F.struct(part(1).alias("file"), part(2).cast("int").alias("line"), part(3).cast("int").alias("column"), part(4).alias("message"))))
-    details = F.array_sort(F.collect_list(F.when(~is_head & (detail != ""), F.struct(number, F.trim(detail).alias("text")))))
-    return blocks.groupBy(key, "block").agg(head.alias("__h"), details.alias("__d")).select(key, "block", "__h.*", F.transform("__d", lambda d: d["text"]).alias("details"))
+    head = F.struct(part(1).alias("file"), part(2).cast("int").alias("line"), part(3).cast("int").alias("column"), part(4).alias("message"))
+    read = blocks.withColumn("__is", F.col("__line").rlike(ERROR_HEAD)).select(key, "block", number, F.when(F.col("__is"), head).alias("__h"), F.when(~F.col("__is"), F.regexp_extract("__line", ERROR_DETAIL, 1)).alias("__d"))
+    details = F.array_sort(F.collect_list(F.when(F.col("__d") != "", F.struct(number, F.trim("__d").alias("text")))))
+    return read.groupBy(key, "block").agg(F.max("__h").alias("__h"), details.alias("__d")).select(key, "block", "__h.*", F.transform("__d", lambda d: d["text"]).alias("details"))
 
 
 def containing_dir(files: DataFrame, path: str, dirs: DataFrame, folder: str) -> DataFrame:

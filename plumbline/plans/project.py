@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import dealt
 from ..operators import control as C
 from ..operators import rules as R
 from ..operators.windows import ordinal
@@ -17,8 +18,12 @@ _list = lambda rows: "[" + ", ".join(f"'{x}'" for x in rows) + "]"
 LINES_SQL = "numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)"
 
 
+#: Lineitems that a task sorts, about.
+LINES = 200_000
+
+
 def _numbered(t):
-    return t.lineitem.withColumn("k", ordinal(["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]))
+    return dealt(t.lineitem, t.lineitem.count(), LINES, "l_orderkey").withColumn("k", ordinal(["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]))
 
 
 def _best(catalogue, excluded):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as T
-from ..functions.scratch import fresh_path, kept_path
+from ..functions.scratch import dealt, fresh_path, kept_path
 from ..operators import cells as VC
 from ..operators import chunks as CH
 from ..operators import fulltext as FT
@@ -32,8 +32,8 @@ PARTS_SQL = SYMBOL_SQL.format(GRAMS.format("p_name"), "p_partkey", "part", "p_na
 FUSED_SQL = """ranks AS (SELECT query_id, id, rank, 0 AS arm, 'vector' AS source FROM vector UNION ALL SELECT query_id, id, rank, 1, 'keyword' FROM keyword UNION ALL SELECT query_id, id, rank, 2, 'symbol' FROM symbol),
     fused AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(source, '+' ORDER BY arm) AS sources FROM ranks GROUP BY ALL)"""
 
-#: Tasks that read sources at least, and sources of a task at most, about.
-SOURCE_TASKS, SOURCES = 32, 25_000
+#: Java sources and texts that a task reads, about.
+SOURCES, TEXTS = 25_000, 2_000
 
 
 def _documents(t):
@@ -381,7 +381,8 @@ def ordered_union_merge(t):
     sizes AS (SELECT doc_id, block, count(*) AS n FROM blocks WHERE block > 0 GROUP BY ALL)
     SELECT doc_id, block::BIGINT AS block, n AS n_lines, used::BIGINT AS used FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY block) AS used FROM sizes) WHERE used <= 20""")
 def error_blocks(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    docs = dealt(t.documents.select("doc_id", "text"), t.documents.count(), TEXTS, "doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     blocks = R.error_blocks(lines, "doc_id", "n", "line", "^[A-Z][a-z]+ [a-z]+").groupBy("doc_id", "block").agg(F.count("*").alias("n_lines"))
     return W.prefix_budget(blocks, ["doc_id"], ["block"], "n_lines", 20)
 
@@ -459,7 +460,7 @@ def structural_chunks(t):
     called = lambda x: F.when(x["r"], F.concat(F.lit("  public "), name)).otherwise(F.concat(F.lit("  @Line('{') <T> java.util.List<T> line"), x["l_linenumber"].cast("string")))
     method = lambda x: F.concat(called(x), F.lit('(int n) {\n    if (n > 0) { log("}"); } // {\n  }\n'))
     lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("l_orderkey", F.struct("l_linenumber", (F.col("l_returnflag") == "R").alias("r")).alias("x"))
-    lines = lines.repartition(max(SOURCE_TASKS, -(-t.orders.count() // SOURCES)), "l_orderkey")  # so that no task has many sources, or is left alone at the end
+    lines = dealt(lines, t.orders.count(), SOURCES, "l_orderkey")  # so that no task has many sources, or is left alone at the end
     body = F.array_join(F.transform("x", method), "")
     source = F.concat(F.lit("/* class None { */\npackage p.o;\nfinal class "), name, F.lit(" extends Base<Order> {\n  int[] sizes = {1, 2}; int total = f(3);\n"), body, F.lit("  enum State { A(\"x\") { }, B;\n    static State of() { return A; }\n  }\n}\n"))
     files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.col("l_orderkey").alias("path"), source.alias("content"))

@@ -1,12 +1,16 @@
 """Project scans, compile errors, upgrades, commands, retention and graph shapes."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import plans
 from plumbline.operators import control, rules
 
+SMALL = "/root/testdata/sf0.001"
+
 SOURCES = {
     "a/Old.java": "package a;\nimport javax.xml.ws.soap.SOAPFault;\nimport javax.annotation.processing.Filer;\nimport java.util.List;\nimport javax.xml.rpc.Call;\nimport javax.validation.Valid;\nclass Old extends WebMvcConfigurerAdapter {}",
     "b/New.java": "package b;\nimport java.util.List;\nclass New {}",
@@ -43,6 +47,16 @@ def test_compile_errors(spark):
     assert got == [(1, 1, "/src/A.java", 12, 7, "cannot find symbol", ["symbol:   class B", "location: class A"]), (1, 2, "/src/C.java", 3, 1, "找不到符号", ["符号:   类 D"])]
 
 
+def test_tasks_of_compile_errors_are_bounded(spark, monkeypatch):
+    """Lines are dealt by their number, once, and not by the number of cores."""
+    monkeypatch.setattr(plans.project, "LINES", 100)
+    for name in ("compile_errors", "project_scan"):
+        plan = plans.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\(l_orderkey#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)
+        assert dealt and {int(n) for n in dealt} == {-(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 100)}
+        assert name == "project_scan" or plan.count("Exchange") == 1
+
+
 def test_versions(spark):
     pairs = [("3.5", "3.5.16", "upgrade"), ("v3.5.16", None, "keep"), ("3.10.0", None, "keep"), ("2.7.18-RELEASE", None, "upgrade"), ("${boot}", None, "none"), (None, None, "none"), ("3.5.16.1", None, "keep")]
     df = spark.createDataFrame([(i, v) for i, (v, _, _) in enumerate(pairs)], "i int, v string")
